@@ -23,11 +23,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed import embedding_groups
+
+    return embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents")).drop("error")
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing}
+    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op9_media": op9_media}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import embed, mixing
 
-    return {"op3_mixing": mixing.SQL}
+    return {"op3_mixing": mixing.SQL, "op6_embeddings": embed.SQL}
