@@ -35,8 +35,14 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).drop("error")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), sequence=2048, end_id=1)
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op9_media": op9_media}
+    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op9_media": op9_media, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
