@@ -40,17 +40,24 @@ def fit_cells(unique: DataFrame, cell_rows: int) -> dict[tuple, np.ndarray]:
     counts = unique.groupBy("label", "dims").count().where(F.col("count") > cell_rows).orderBy(F.desc("count"), "label", "dims").limit(MAX_CELLS // 2).collect()
     total = sum(r["count"] for r in counts)
     wanted = {(r["label"], r["dims"]): max(2, min(math.ceil(r["count"] / cell_rows), MAX_CELLS * r["count"] // (2 * total))) for r in counts}
-    sample = unique.orderBy(F.xxhash64("uid"), "uid").select("label", "dims", "vec").limit(FIT_ROWS).collect() if wanted else []
-    by: dict[tuple, list[bytes]] = {}
-    for r in sample:
-        by.setdefault((r["label"], r["dims"]), []).append(bytes(r["vec"]))
-    out = {}
-    for key, rows in sorted(by.items()):
-        if key in wanted and len(rows) >= 2:
-            x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            out[key] = spherical_kmeans(x, min(wanted[key], max(2, len(rows) // 8)))
-    return out
+    if not wanted:
+        return {}
+
+    def fit(batches):
+        by: dict[tuple, list[bytes]] = {}
+        for batch in batches:
+            for label, dims, vec in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                by.setdefault((label, dims), []).append(vec)
+        for key, rows in sorted(by.items()):
+            if key in wanted and len(rows) >= 2:
+                x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                centres = spherical_kmeans(x, min(wanted[key], max(2, len(rows) // 8)))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([centres.tobytes()])], ["label", "dims", "centres"])
+
+    sample = unique.orderBy(F.xxhash64("uid"), "uid").select("label", "dims", "vec").limit(FIT_ROWS)
+    found = sample.coalesce(1).mapInArrow(fit, "label string, dims int, centres binary").collect()  # at most MAX_CELLS centres
+    return {(r["label"], r["dims"]): np.frombuffer(bytes(r["centres"]), "<f8").reshape(-1, r["dims"] // 8) for r in found}
 
 
 def unique_vectors(emb: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:

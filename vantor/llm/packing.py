@@ -118,6 +118,20 @@ def first_basis(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return basis, x
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots. No LAPACK or threaded BLAS in the driver: its threads can stall beside the JVM."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        r = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, r]] = both[[r, k]]
+        both[k] /= both[k, k]
+        others = np.flatnonzero(both[:, k])
+        others = others[others != k]
+        both[others] -= both[others, k][:, None] * both[k]
+    return both[:, m:]
+
+
 def column_generation(demand: np.ndarray, capacity: int, max_rounds: int = 600) -> list[tuple[np.ndarray, int]]:
     """Patterns over sizes 1..capacity with multiplicities that use up demand (index = size) exactly.
 
@@ -130,8 +144,8 @@ def column_generation(demand: np.ndarray, capacity: int, max_rounds: int = 600)
         return []
     m = len(sizes)
     basis, _ = first_basis(demand, capacity)
-    inverse = np.linalg.inv(basis)
-    x = np.maximum(0.0, inverse @ demand[sizes])
+    inverse = inverse_of(basis)
+    x = np.maximum(0.0, np.einsum("ij,j->i", inverse, demand[sizes].astype(float)))
     for _ in range(max_rounds):
         dual = np.zeros(capacity + 1)
         dual[sizes] = np.maximum(0.0, inverse.sum(0))
@@ -139,7 +153,7 @@ def column_generation(demand: np.ndarray, capacity: int, max_rounds: int = 600)
         if value <= 1 + 1e-7:
             break
         column = pattern[sizes].astype(float)
-        direction = inverse @ column
+        direction = np.einsum("ij,j->i", inverse, column)
         up = direction > 1e-9
         if not up.any():
             break
