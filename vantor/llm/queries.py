@@ -23,6 +23,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed import embedding_groups
 
@@ -42,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op9_media": op9_media, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op9_media": op9_media, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
