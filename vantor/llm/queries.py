@@ -16,6 +16,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op9_media": op9_media, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_suffixes": op2_suffixes, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op9_media": op9_media, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
