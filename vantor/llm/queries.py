@@ -53,6 +53,12 @@ def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_windows(_table(spark, sf_dir, "documents"), length=13)
 
 
+def op8_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman import language_scores
+
+    return language_scores(_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -66,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_suffixes": op2_suffixes, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_windows": op7_windows, "op9_media": op9_media, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_suffixes": op2_suffixes, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_quality": op5_quality, "op6_embeddings": op6_embeddings, "op7_windows": op7_windows, "op8_pitman": op8_pitman, "op9_media": op9_media, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
