@@ -96,6 +96,30 @@ def mix(
     return units.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
 
 
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = CAP, length_col: str | None = "n_chars"
+) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns.
+
+    A copy that is cut to fit holds its first words, joined by one space. Documents without words are not taken. Repeated rows of one id
+    are told apart by their order within the id, so the plan for each is used once.
+    """
+    plan = mix(docs, id_col, text_col, source_col, weights, share, cap).where("taken > 0")
+    turn = Window.partitionBy("_key").orderBy(F.col("_source").asc_nulls_last(), "_size")
+    plan = plan.select(doc_key("doc_id").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
+    plan = plan.withColumn("_turn", F.row_number().over(turn)).select("_key", "_turn", F.col("taken").alias("_taken"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"_key": doc_key(id_col), "_source": F.col(source_col).cast("string"), "_size": size}).where("_size > 0")
+    rows = rows.withColumn("_turn", F.row_number().over(turn)).join(plan, ["_key", "_turn"])
+    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))).alias("_copy")
+    rows = rows.select("*", copy).withColumn("_left", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit("(" + WORD + ")")), F.lit(1), F.col("_left").cast("int"))
+    out = rows.withColumn(text_col, F.when(F.col("_left") < F.col("_size"), F.array_join(words, " ")).otherwise(F.col(text_col)))
+    if length_col and length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col("_left") < F.col("_size"), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)
+
+
 SQL = r"""
 WITH units AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM units GROUP BY source),

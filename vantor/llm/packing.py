@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, partitions, stored
+from .common import checked_broadcast, stored
 
 #: Code points for which Python's splitting below equals the tokenizer's own; other texts go to the tokenizer whole.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -18,6 +18,8 @@ _UNSAFE = re.compile(rf"[^\t\n\r\x20-\x7e¡¿–—‘-„…{_LETTER}]")
 _SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\r{_LETTER}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: Entries of a worker's memory of split pieces; it is emptied when full.
 CACHE_ENTRIES = 300_000
+#: Parts of each length's pieces that are ranked apart; so the table of counts has at most sequence * RANK_BINS rows.
+RANK_BINS = 512
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -202,11 +204,9 @@ def pack(
     """
     if sequence % grain:
         raise ValueError("sequence must be a multiple of grain")
-    spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, sequence, end_id), "pieces")
-    bins = partitions(spark)
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
-    pieces = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)).cast("int"))
+    pieces = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BINS)).cast("int"))
     counts = stored(pieces.groupBy("size", "length", "bin").count(), "lengths")
     capacity = sequence // grain
     demand = np.zeros(capacity + 1, np.int64)
@@ -238,8 +238,12 @@ def pack(
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seq), pa.array(slot)], [*names, "sequence_id", "slot"])
 
-    by_class = Window.partitionBy("size").orderBy(F.desc("length"), "bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("size", "length", "bin", F.coalesce(F.sum("count").over(by_class), F.lit(0)).alias("before"))
+    # Running counts in two steps: over the few lengths of a class, then over the parts of one length.
+    by_size = Window.partitionBy("size").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    by_length = Window.partitionBy("size", "length").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    longer = counts.groupBy("size", "length").agg(F.sum("count").alias("n")).select("size", "length", F.coalesce(F.sum("n").over(by_size), F.lit(0)).alias("longer"))
+    earlier = F.coalesce(F.sum("count").over(by_length), F.lit(0))
+    before = counts.withColumn("earlier", earlier).join(longer, ["size", "length"]).select("size", "length", "bin", (F.col("longer") + F.col("earlier")).alias("before"))
     within = Window.partitionBy("size", "length", "bin").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("place", F.row_number().over(within)).join(checked_broadcast(stored(before, "before")), ["size", "length", "bin"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("before") + F.col("place") - 1).alias("rank"))

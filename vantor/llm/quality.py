@@ -210,3 +210,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     found = score(docs, fit(docs, labels, id_col, text_col, folds), id_col, text_col)
     return found.select("doc_id", (F.crc32(doc_key("doc_id").cast("binary")) % folds == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    field = fit(docs, labels, id_col, text_col, folds)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for text in batch.column(place).to_pylist():
+                z = float(np.dot([*document_evidence(*line_features(text.encode() if text is not None else None), field), 1.0], field["doc"]))
+                keep.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) >= threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

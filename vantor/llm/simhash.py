@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, lower_ascii, stored
 
@@ -86,6 +87,15 @@ def multi_index_links(values: DataFrame, radius: int = 4, segments: int = 3, bit
     return left.join(right, near).select("a", "b").distinct()
 
 
+def value_components(rows: DataFrame, radius: int, segments: int) -> DataFrame:
+    """(fp, root, component) of each distinct fingerprint in rows (doc_id, fp): its smallest doc_id, and its group named by a fingerprint."""
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("root")), "values")
+    links = stored(multi_index_links(values.select("fp"), radius, segments).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    group = connected_components(links)
+    named = values.join(group, values.fp == group.node, "left").select("fp", "root", F.coalesce("component", "fp").alias("component"))
+    return stored(named, "named")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3
 ) -> DataFrame:
@@ -98,12 +108,7 @@ def simhash_groups(
     returned as often as they come; an empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("root")), "values")
-    links = stored(multi_index_links(values.select("fp"), radius, segments).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
-    group = connected_components(links)
-    # A component's name is a fingerprint first, then its smallest doc_id.
-    named = values.join(group, values.fp == group.node, "left").select("fp", "root", F.coalesce("component", "fp").alias("component"))
-    named = stored(named, "named")
+    named = value_components(rows, radius, segments)
     roots = named.groupBy("component").agg(F.min("root").alias("component_id"))
     found = named.join(roots, "component").select("fp", "component_id")
     out = rows.join(found, "fp")
@@ -113,3 +118,22 @@ def simhash_groups(
         "component_id",
         (F.col("doc_id") == F.col("component_id")).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
+    """docs with one document of each near-duplicate group: that of the smallest id, null last; of repeated rows one stays. All columns are kept."""
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(t.encode() if t is not None else None, shingle) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], [*batch.schema.names, "_fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    rows = stored(docs.mapInArrow(run, schema), "fingerprints")
+    named = value_components(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")), radius, segments)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "fp")).alias("best"))
+    best = best.select(F.col("best.root").alias("_root"), F.col("best.fp").alias("_best"))
+    kept = rows.join(best, (F.col("_fp") == F.col("_best")) & F.col(id_col).cast("long").eqNullSafe(F.col("_root")))
+    return kept.dropDuplicates(["_fp"]).select(*names)
