@@ -30,9 +30,10 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.round(np.sqrt(out), DECIMALS)
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, *others: Column, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, id list, vector list, other lists): about `rows` vectors each, dealt by a hash of the id."""
+def blocks(df: DataFrame, id_col: str, vec_col: str, *others: Column) -> DataFrame:
+    """(block, id list, vector list, other lists): up to about BLOCK_ROWS vectors each, dealt by a hash of the id."""
     count = df.count()
+    rows = min(BLOCK_ROWS, max(64, math.ceil(count / df.sparkSession.sparkContext.defaultParallelism)))
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, math.ceil(count / rows))))
     item = F.struct(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *others)
     names = ["id", "vec", *[f"o{k}" for k in range(len(others))]]
@@ -43,11 +44,54 @@ def blocks(df: DataFrame, id_col: str, vec_col: str, *others: Column, rows: int
 def met(queries: DataFrame, table: DataFrame) -> DataFrame:
     """Each block of queries with each block of the table; the query's columns get the prefix q_."""
     left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    return left.repartition(max(1, min(left.sparkSession.sparkContext.defaultParallelism * 2, 4096)), "q_block").crossJoin(table)
+    return left.repartition(left.sparkSession.sparkContext.defaultParallelism * 2).crossJoin(table)
 
 
-def _mat(v) -> np.ndarray:
-    return np.array(v, np.float64)
+def _mat(cell) -> np.ndarray:
+    """A list of vectors as a matrix, without Python numbers in between."""
+    rows = cell.values
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _vec(cell) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances by one matrix product: fast, with an error of some 1e-15 of the squared norms."""
+    return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T))
+
+
+def _nearest(q: np.ndarray, t: np.ndarray, ti: np.ndarray, own: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest per query, exact and rounded; `own` marks pairs to leave out.
+
+    Products choose somewhat more than k candidates, whose distances are then computed in full; rows where
+    the candidates' border is too close to tell are computed in full altogether.
+    """
+    spare = k + 16
+    if metric == "euclidean" and len(t) > 4 * spare:
+        rough = _squares(q, t)
+        rough[own] = np.inf
+        pick = np.argpartition(rough, spare, axis=1)[:, :spare]
+        border = np.partition(rough, spare, axis=1)[:, spare]
+        exact = np.zeros(pick.shape)
+        for d in range(q.shape[1]):
+            exact += (q[:, d, None] - t[pick, d]) ** 2
+        exact = np.round(np.sqrt(exact), DECIMALS)
+        exact[np.take_along_axis(own, pick, 1)] = np.inf
+        order = np.lexsort((ti[pick], exact), axis=1)[:, :k]
+        dist, ids = np.take_along_axis(exact, order, 1), np.take_along_axis(ti[pick], order, 1)
+        doubt = np.flatnonzero(~(np.sqrt(border) > dist[:, -1] + 1e-6))
+        if len(doubt):
+            full = distances(q[doubt], t, metric)
+            full[own[doubt]] = np.inf
+            order = np.lexsort((np.broadcast_to(ti, full.shape), full), axis=1)[:, :k]
+            dist[doubt], ids[doubt] = np.take_along_axis(full, order, 1), ti[order]
+        return dist, ids
+    full = distances(q, t, metric)
+    full[own] = np.inf
+    order = np.lexsort((np.broadcast_to(ti, full.shape), full), axis=1)[:, :k]
+    return np.take_along_axis(full, order, 1), ti[order]
 
 
 def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean", include_self: bool = False) -> DataFrame:
@@ -65,19 +109,17 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
                 yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(state["j"].ravel()[ok]), pa.array(state["d"].ravel()[ok])], ["i", "j", "dist"])
 
         for batch in batches:
-            for qb, qi, qv, _, ti, tv in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                qi, ti = np.array(qi), np.array(ti)
-                d = distances(_mat(qv), _mat(tv), metric)
-                if not include_self:
-                    d[qi[:, None] == ti[None]] = np.inf
-                j = np.broadcast_to(ti, d.shape)
+            for r in range(batch.num_rows):
+                qb, qi, q, ti, t = batch.column(0)[r].as_py(), _vec(batch.column(1)[r]), _mat(batch.column(2)[r]), _vec(batch.column(4)[r]), _mat(batch.column(5)[r])
+                own = np.zeros((len(qi), len(ti)), bool) if include_self else qi[:, None] == ti[None]
+                d, j = _nearest(q, t, ti, own, k, metric)
                 if state.get("block") != qb:
                     yield from flush()
                     state = {"block": qb, "id": qi, "d": d, "j": j}
                 else:
-                    state["d"], state["j"] = np.hstack([state["d"], d]), np.hstack([state["j"], j])
-                order = np.lexsort((state["j"], state["d"]), axis=1)[:, :k]
-                state["d"], state["j"] = np.take_along_axis(state["d"], order, 1), np.take_along_axis(state["j"], order, 1)
+                    d, j = np.hstack([state["d"], d]), np.hstack([state["j"], j])
+                    order = np.lexsort((j, d), axis=1)[:, :k]
+                    state["d"], state["j"] = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
         yield from flush()
 
     b = blocks(df, id_col, vec_col)
@@ -92,24 +134,47 @@ def pair_ranks(df: DataFrame, pairs: DataFrame, id_col: str = "vec_id", vec_col:
     Each block of the table counts what lies before each asked neighbour; the counts add up.
     """
     vec = df.select(F.col(id_col).cast("long").alias("j"), F.col(vec_col).cast("array<double>").alias("other"))
-    asked = pairs.select("i", "j").join(vec, "j").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "other"))).alias("asked"))
+    asked = pairs.select("i", "j").join(vec, "j").groupBy("i").agg(F.collect_list(F.struct("j", "other")).alias("asked"))
     queries = df.join(asked, F.col(id_col) == F.col("i"))
-    q = blocks(queries, id_col, vec_col, F.col("asked"))
+    q = blocks(queries, id_col, vec_col, F.col("asked.j").alias("aj"), F.col("asked.other").alias("av"))
     t = blocks(df, id_col, vec_col)
 
     def run(batches):
         for batch in batches:
-            for _, qi, qv, asked, _, ti, tv in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                ti = np.array(ti)
-                d = distances(_mat(qv), _mat(tv), metric)
-                out = []
-                for i, own, row, items in zip(qi, qv, d, asked):
-                    others = ti != i
-                    near = distances(_mat([own]), _mat([a["other"] for a in items]), metric)[0]
-                    for a, bound in zip(items, near):
-                        before = (row < bound) | ((row == bound) & (ti < a["j"]))
-                        out.append((i, a["j"], int((before & others).sum())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["i", "j", "n"])
+            for r in range(batch.num_rows):
+                qi, q, ti, t = _vec(batch.column(1)[r]), _mat(batch.column(2)[r]), _vec(batch.column(6)[r]), _mat(batch.column(7)[r])
+                lists = batch.column(3)[r].values
+                owner = np.repeat(np.arange(len(qi)), np.diff(lists.offsets.to_numpy()))
+                aj = lists.flatten().to_numpy()
+                av = batch.column(4)[r].values.flatten()
+                av = av.flatten().to_numpy(zero_copy_only=False).reshape(len(av), -1)
+                if metric == "euclidean":
+                    bound = np.zeros(len(owner))
+                    for d in range(q.shape[1]):
+                        bound += (q[owner, d] - av[:, d]) ** 2
+                    bound = np.round(np.sqrt(bound), DECIMALS)
+                else:
+                    bound = np.array([distances(q[o : o + 1], v[None], metric)[0, 0] for o, v in zip(owner, av)])
+                counts = np.zeros(len(owner), np.int64)
+                rough = np.sqrt(_squares(q, t)) if metric == "euclidean" else distances(q, t, metric)
+                rough[qi[:, None] == ti[None]] = np.inf
+                for s in range(0, len(owner), 2048):
+                    e = slice(s, s + 2048)
+                    gap = rough[owner[e]] - bound[e, None]
+                    counts[e] = (gap < -1e-6).sum(1)
+                    # What lies too close to the bound to tell is computed in full.
+                    a, b = np.nonzero(np.abs(gap) <= 1e-6)
+                    o = owner[e][a]
+                    exact = np.zeros(len(a))
+                    if metric == "euclidean":
+                        for d in range(q.shape[1]):
+                            exact += (q[o, d] - t[b, d]) ** 2
+                        exact = np.round(np.sqrt(exact), DECIMALS)
+                    else:
+                        exact = rough[o, b]
+                    limit = bound[e][a]
+                    np.add.at(counts, s + a, (exact < limit) | ((exact == limit) & (ti[b] < aj[e][a])))
+                yield pa.RecordBatch.from_arrays([pa.array(qi[owner]), pa.array(aj), pa.array(counts)], ["i", "j", "n"])
 
     return met(q, t).mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
@@ -120,9 +185,11 @@ def label_distances(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     def run(batches):
         for batch in batches:
-            for _, qi, qv, ql, _, _, tv, tl in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                d = distances(_mat(qv), _mat(tv), metric)
-                names, inverse = np.unique(np.array(tl), return_inverse=True)
+            for r in range(batch.num_rows):
+                qi, q, ql, ti, t, tl = (f(batch.column(c)[r]) for f, c in ((_vec, 1), (_mat, 2), (_vec, 3), (_vec, 5), (_mat, 6), (_vec, 7)))
+                d = np.sqrt(_squares(q, t)) if metric == "euclidean" else distances(q, t, metric)
+                d[qi[:, None] == ti[None]] = 0.0
+                names, inverse = np.unique(tl, return_inverse=True)
                 one = np.eye(len(names))[inverse]
                 sums, counts = d @ one, one.sum(0)
                 n = len(qi)
