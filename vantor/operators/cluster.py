@@ -124,7 +124,7 @@ def fit_mixtures(df: DataFrame, configs: list[dict], id_col: str = "vec_id", vec
             s = state[r]
             s["iter"] += 1
             gain, s["last"] = ll / n - s["last"], ll / n
-            s["converged"] = abs(gain) < tol
+            s["converged"] = bool(abs(gain) < tol)
             final[r] = (n, ll, models[r])
             models[r] = model
             if s["converged"] or s["iter"] >= max_iter:
@@ -268,7 +268,7 @@ def density_clusters(
         return density_clusters(df.withColumn("_g", F.lit(0)), min_cluster_size, min_samples, id_col, vec_col, metric, count_self, "_g").drop("_g")
     steps = min_samples - 1 if count_self else min_samples
 
-    def fit(key, table: pa.Table) -> pa.Table:
+    def fit(key, table):
         order = np.argsort(table.column(id_col).to_numpy(), kind="stable")
         ids = table.column(id_col).to_numpy()[order]
         x = np.array(table.column(vec_col).to_pylist())[order]
@@ -406,7 +406,7 @@ def graph_communities(edges: DataFrame, configs: list[dict]) -> DataFrame:
     """(config, id, label) for each of configs {resolution, kind, rounds, seed} over one edge table; each runs in a task of its own."""
     rows = edges.crossJoin(F.broadcast(edges.sparkSession.range(len(configs)).select(F.col("id").cast("int").alias("config"))))
 
-    def fit(key, table: pa.Table) -> pa.Table:
+    def fit(key, table):
         number = key[0].as_py()
         src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
         order = np.lexsort((dst, src))

@@ -92,7 +92,7 @@ def project(df: DataFrame, model: dict, id_col: str = "vec_id", vec_col: str = "
 def smooth_weights(near: DataFrame) -> DataFrame:
     """(i, j, p): membership exp(-(d - rho) / sigma), rho the nearest positive distance and sigma such that a row sums to log2 k."""
 
-    def solve(_key, table: pa.Table) -> pa.Table:
+    def solve(_key, table):
         d = np.array(table.column("dist").to_pylist())
         rho = d[d > 0].min() if (d > 0).any() else 0.0
         lo, hi, want = 0.0, math.inf, math.log2(max(2, len(d)))
@@ -191,7 +191,7 @@ def manifold(
         edges = shared[key].withColumn("config", F.lit(number))
         out = edges if out is None else out.unionByName(edges)
 
-    def fit(key, table: pa.Table) -> pa.Table:
+    def fit(key, table):
         number = key[0].as_py()
         c = configs[number]
         src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()

@@ -112,7 +112,7 @@ def stable_density_runs(layouts: DataFrame, seeds: list[int], min_cluster_size:
     """(records, run labels) of one density clustering per seed over layouts (config, vec_id, vec); config is the seed's place."""
     labels = C.density_clusters(layouts, min_cluster_size, min_samples, by="config").persist()
 
-    def validity(key, table: pa.Table) -> pa.Table:
+    def validity(key, table):
         x = np.array(table.column("vec").to_pylist())
         v = C.density_validity(x, table.column("label").to_numpy())
         return pa.table({"config": pa.array([key[0].as_py()], pa.int32()), "dbcv": pa.array([None if math.isnan(v) else v], pa.float64())})
