@@ -42,8 +42,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, data): all documents in the shared folder, compressed. Null texts are empty; a null id is kept as NO_ID."""
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, first: int = 0) -> DataFrame:
+    """(chunk, data): all documents in the shared folder, compressed, numbered from `first`. Null texts are empty; a null id is kept as NO_ID."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -52,7 +52,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
         def row():
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             data = pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([data])], ["chunk", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([first + (part << 32) + number], pa.int64()), pa.array([data])], ["chunk", "data"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -47,10 +47,9 @@ class _Chunk:
         ends = np.cumsum(counts)
         starts = np.repeat(self.first[take] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         if not len(starts):
-            none = np.zeros(0, np.uint64)
-            return starts.astype(np.int64), np.zeros(0, np.int64), none, none, np.zeros(0, np.int64)
+            return starts.astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         one = rolling(self.symbols, self.length)[starts]
-        two = rolling(mix64(self.symbols ^ _SECOND), self.length)[starts]
+        two = (rolling(mix64(self.symbols ^ _SECOND), self.length)[starts] >> np.uint64(32)).astype(np.uint32)
         docs = self.ids[np.searchsorted(np.cumsum(self.counts), starts, "right")]
         return starts, docs, one, two, np.lexsort((docs, two, one))
 
@@ -71,7 +70,7 @@ class WindowIndex:
     """A log of sorted, immutable runs of window fingerprints, with the batches' chunks.
 
     A run holds, per range of fingerprints, the sorted anchors of a batch's windows and the chunks they are in.
-    add() merge-joins a new batch's run with the runs so far; what meets is verified by 128-bit digests of the whole
+    add() merge-joins a new batch's run with the runs so far; what meets is verified by 96-bit digests of the whole
     windows of both sides, and the batch's run joins the log. Once there are `fanout` runs they are compacted into
     one. Batches come in the order of document ids, so that an earlier batch never changes.
     """
@@ -87,7 +86,7 @@ class WindowIndex:
         length = self.length
         number = self.batches
         ranges = self.buckets = getattr(self, "buckets", None) or partitions(docs.sparkSession)
-        new = stored(chunked(docs, id_col, text_col).withColumn("chunk", F.col("chunk") + F.lit(number << 55)), "batch") if number else chunked(docs, id_col, text_col)
+        new = chunked(docs, id_col, text_col, first=number << 55)
 
         def send(batches):
             for batch in batches:
@@ -119,7 +118,7 @@ class WindowIndex:
             chunk = owners[by][edge]
             told = [(c, pack(f.view(np.uint8))) for c, f in zip(chunk.tolist(), parts) if c >> 55 == number or f.any()]
             n = len(told)
-            return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "kind": ["anchor"] * n, "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "flags": pa.array([f for _, f in told], pa.binary())})
+            return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "kind": pa.array(["anchor"] * n, pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "flags": pa.array([f for _, f in told], pa.binary())})
 
         log = run
         for old in self.runs:
@@ -165,7 +164,7 @@ class WindowIndex:
             ends = np.cumsum([len(r[0]) for r in runs])
             told = [(c, pack((least[e - len(r[0]) : e] < r[2]).view(np.uint8))) for c, r, e in zip(chunk, runs, ends) if c >> 55 == number]
             n = len(told)
-            return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "kind": ["window"] * n, "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "flags": pa.array([f for _, f in told], pa.binary())})
+            return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "kind": pa.array(["window"] * n, pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "flags": pa.array([f for _, f in told], pa.binary())})
 
         verified = asked.mapInArrow(windows, "bucket int, chunk long, sent binary").groupBy("bucket").applyInArrow(verify, reply)
 
