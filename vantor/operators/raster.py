@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
+
 # sRGB to XYZ under D65, the white point, and the constants of CIE Lab.
 RGB_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
 XYZ_RGB = ((3.240481343200527, -1.5371515162713185, -0.49853632616888777), (-0.9692549499965682, 1.8759900014898907, 0.04155592655829284), (0.055646639135177, -0.20404133836651123, 1.0573110696453443))
@@ -99,8 +101,9 @@ def morphology(mask: DataFrame, radius: int, grow: bool, square: bool = True) ->
     offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if square or dy * dy + dx * dx <= radius * radius]
     shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])).alias("o")
     s = mask.select("image_id", "y", "x", F.col("m").cast("int").alias("m"), shift)
-    s = s.groupBy("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg((F.max("m") if grow else F.min("m")).alias("m"))
-    return s.join(mask.select("image_id", "y", "x"), ["image_id", "y", "x"]).select("image_id", "y", "x", (F.col("m") > 0).alias("m"))
+    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)  # only pixels of the image itself send this, so no join is needed to drop the others
+    s = s.groupBy("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg((F.max("m") if grow else F.min("m")).alias("m"), F.max(own).alias("own"))
+    return s.where("own").select("image_id", "y", "x", (F.col("m") > 0).alias("m"))
 
 
 def opened(mask: DataFrame, radius: int, square: bool = True) -> DataFrame:
@@ -121,13 +124,13 @@ def objects(mask: DataFrame, value: bool = True, max_rounds: int = 200) -> DataF
     px = mask.where(F.col("m") == value).select("image_id", "y", "x", at.alias("id"))
     shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])).alias("o")
     around = px.select("image_id", "id", shift).select("image_id", "id", (F.col("id") + F.col("o.dy") * F.lit(1 << 31) + F.col("o.dx")).alias("near"))
-    edges = around.join(px.select("image_id", F.col("id").alias("near")), ["image_id", "near"]).checkpoint() if px.sparkSession.sparkContext.getCheckpointDir() else around.join(px.select("image_id", F.col("id").alias("near")), ["image_id", "near"]).persist()
+    edges = cut(around.join(px.select("image_id", F.col("id").alias("near")), ["image_id", "near"]))
     labels = px.select("image_id", "id", F.col("id").alias("object"))
     for _ in range(max_rounds):
         near = labels.select("image_id", F.col("id").alias("near"), F.col("object").alias("seen"))
-        step = edges.join(near, ["image_id", "near"]).groupBy("image_id", "id").agg(F.min("seen").alias("object"))
+        step = cut(edges.join(near, ["image_id", "near"]).groupBy("image_id", "id").agg(F.min("seen").alias("object")))
         jump = step.select("image_id", F.col("id").alias("object"), F.col("object").alias("root"))
-        new = step.join(jump, ["image_id", "object"]).select("image_id", "id", F.col("root").alias("object")).persist()
+        new = cut(step.join(jump, ["image_id", "object"]).select("image_id", "id", F.col("root").alias("object")))
         changed = new.join(labels.select("image_id", "id", F.col("object").alias("old")), ["image_id", "id"]).where("object <> old").limit(1).count()
         labels = new
         if not changed:
@@ -244,3 +247,23 @@ def augmentation_pairs(patches: DataFrame, targets: DataFrame) -> DataFrame:
     """Each training patch with each target of another slide: an equi-join on all targets but the own, by exploding the checked, short target list."""
     listed = targets.agg(F.sort_array(F.collect_list("target_id")).alias("targets"))
     return patches.crossJoin(F.broadcast(listed)).select(*patches.columns, F.explode(F.filter("targets", lambda t: t != F.col("slide_id"))).alias("target_id"))
+
+
+def tissue_mask(grey: DataFrame, max_object: int = 1499, max_hole: int = 5000, small_radius: int = 3, wide_radius: int = 5) -> DataFrame:
+    """(image_id, y, x, m): pixels of high local entropy, opened, closed, without small objects and holes.
+
+    The threshold comes from the wide disk's entropies, the mask from the small disk's.
+    """
+    limit = entropy_threshold(local_entropy(grey, wide_radius))
+    ent = local_entropy(grey, small_radius).join(F.broadcast(limit), "image_id")
+    mask = ent.select("image_id", "y", "x", (F.col("entropy") >= F.col("threshold")).alias("m"))
+    mask = cut(closed(closed(opened(mask, 1), 3), 5, square=False))
+    return without_small_holes(cut(without_small_objects(mask, max_object)), max_hole)
+
+
+def normalised_crops(pixels: DataFrame, inside: DataFrame, target_mean: list, target_std: list) -> DataFrame:
+    """Whole crops moved to the target colours by the statistics of the pixels inside their polygon; crops without any stay as they are."""
+    stats = colour_stats(pixels.join(inside, ["image_id", "y", "x"], "left_semi"))
+    done = normalise_colour(pixels, stats, target_mean, target_std)
+    rest = pixels.join(stats, "image_id", "left_anti").withColumns({"nr": F.col("r"), "ng": F.col("g"), "nb": F.col("b")})
+    return done.unionByName(rest)

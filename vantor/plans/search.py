@@ -153,3 +153,41 @@ def coordinates(df: DataFrame) -> DataFrame:
     return df.select("vec_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), "label", name, colour)
 
 
+
+
+def search_density(df: DataFrame, space: list[dict], seeds: list[int], n_trials: int = 50, epochs: int = 100, vec_col: str = "vec", bounds=(6, 12), max_noise: float = 0.33, min_valid: float = 0.8, min_common: float = 0.2, min_modal: float = 0.7, weights=(0.7, 0.3)) -> tuple[DataFrame, dict | None]:
+    """(trial table, best): layouts and density clusterings of each configuration over all seeds, and the chosen run.
+
+    space holds {n_neighbors, n_components, min_dist, min_cluster_size, min_samples}. Layouts are shared by configurations that
+    differ in the clustering alone. A trial fails for the first reason that applies, else its value is the weighted sum of mean
+    validity and mean agreement. The best trial's runs are walked in the order of their agreement with the others, and the
+    first valid one is chosen; best has its configuration, seed, labels, recovery in the other valid runs, and layout.
+    """
+    space = trials_of(space, n_trials)
+    shared: dict[tuple, DataFrame] = {}
+    rows, kept = None, []
+    for i, c in enumerate(space):
+        key = (c["n_neighbors"], c["n_components"], c.get("min_dist", 0.0))
+        if key not in shared:
+            configs = [{"n_neighbors": key[0], "n_components": key[1], "min_dist": key[2], "seed": s} for s in seeds]
+            shared[key] = P.manifold(df, configs, vec_col=vec_col, epochs=epochs).persist()
+        records, runs = stable_density_runs(shared[key], seeds, c["min_cluster_size"], c["min_samples"], bounds, max_noise)
+        records = records.persist()
+        pairs = M.agreement(runs.join(records.where("valid").select("seed"), "seed", "left_semi")).persist()
+        kept.append((c, key, records, runs, pairs))
+        modal = S.modal_count(records).select(F.col("mode").alias("modal_clusters"), F.col("ratio").alias("modal_ratio"))
+        row = S.seed_aggregates(records).crossJoin(modal).crossJoin(M.stability_summary(pairs))
+        row = row.withColumns({"trial_number": F.lit(i), **{k: F.lit(v) for k, v in c.items()}})
+        rows = row if rows is None else rows.unionByName(row)
+    rows = rows.withColumn("reason", S.config_validity(min_valid, min_common, min_modal))
+    rows = rows.withColumn("value", F.when(F.col("reason") == "ok", weights[0] * F.col("mean_dbcv") + weights[1] * F.col("mean_ari")).otherwise(-10.0)).persist()
+    top = rows.where("reason = 'ok'").orderBy(F.desc("value"), "trial_number").first()
+    if top is None:
+        return rows, None
+    c, key, records, runs, pairs = kept[top["trial_number"]]
+    order = [r["seed"] for r in M.medoid_ranking(pairs).orderBy("medoid_rank").collect()]  # one row per seed
+    valid = {r["seed"] for r in records.where("valid").collect()}
+    seed = next((s for s in order if s in valid), min(valid))
+    others = runs.where(F.col("seed").isin(*valid))
+    layout = shared[key].where(F.col("config") == seeds.index(seed)).select("vec_id", "vec")
+    return rows, {"config": c, "seed": seed, "labels": runs.where(F.col("seed") == seed).select("vec_id", "label"), "recovery": M.cluster_recovery(others, seed), "layout": layout}
