@@ -200,3 +200,16 @@ def test_files(spark, tmp_path):
     (xml / "s1.xml").write_text(f"<A><Annotations><Annotation><Coordinates>{points}</Coordinates></Annotation><Annotation><Coordinates><Coordinate X='1' Y='1'/></Coordinates></Annotation></Annotations></A>")
     p = files.read_polygons(spark, str(xml)).collect()
     assert [(r.slide_id, r.polygon_id, len(r.pts)) for r in p] == [("s1", 0, 3)]
+
+
+def test_image_model(spark):
+    from vantor.operators.backbone import BlockMeans, coverage, embed_images
+
+    image = np.zeros((8, 8, 3), np.uint8)
+    image[:4] = 255
+    mask = np.zeros((8, 8), np.uint8)
+    mask[:4] = 1
+    d = spark.createDataFrame([(1, 8, 8, bytearray(image.tobytes()), bytearray(mask.tobytes())), (2, 8, 8, bytearray(image.tobytes()), None)], "id long, height int, width int, pixels binary, mask binary")
+    got = {r.id: r.vec for r in embed_images(d, BlockMeans(2)).collect()}
+    assert got[1] == pytest.approx([1, 1, 1]) and got[2] == pytest.approx([0.5, 0.5, 0.5])
+    assert coverage(mask, 2).tolist() == [1, 1, 0, 0]
