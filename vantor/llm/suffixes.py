@@ -21,6 +21,8 @@ ANCHOR = 128
 BLOCK_BYTES = 2 << 20
 BLOCK_SUFFIXES = 1 << 20
 GROUP_ROWS = 2_000
+#: Smaller than elsewhere: each byte is a symbol with several 64-bit values.
+CHUNK_BYTES = 2 << 20
 
 _SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -177,7 +179,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be at least 16")
     spark = docs.sparkSession
     buckets = partitions(spark)
-    chunks = chunked(docs, id_col, text_col)
+    chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
 
     def send(batches):
         for batch in batches:
