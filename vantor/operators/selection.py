@@ -70,7 +70,7 @@ def select_graph_trial(trials: DataFrame, weights: dict | None = None, key: str
 
 
 def seed_validity(min_clusters: int, max_clusters: int, max_noise: float) -> Column:
-    """The first failing check of a run, or ok."""
+    """The first failing check of a run, or ok. The reasons are fixed values."""
     bad = F.col("dbcv").isNull() | F.isnan("dbcv")
     return (
         F.when(F.col("n_clusters") < min_clusters, "too_few_clusters")
@@ -82,7 +82,7 @@ def seed_validity(min_clusters: int, max_clusters: int, max_noise: float) -> Col
 
 
 def config_validity(min_valid: float, min_common: float, min_modal: float) -> Column:
-    """The first failing check of a configuration, or ok."""
+    """The first failing check of a configuration, or ok. The reasons are fixed values."""
 
     def gone(c: str) -> Column:
         return F.col(c).isNull() | F.isnan(c)
