@@ -233,6 +233,21 @@ def test_redaction(spark):
     assert got[2].text is None and got[3].text == "clean" and pii.redacted(df).columns == df.columns
 
 
+def test_the_field_examines_documents_without_base_spans(spark):
+    rows = [(i, f"call +1 (988) 555-24{i:02d} at once, order {i}") for i in range(60)]
+    odd = {100: "ring (988) 555-2485 or (988) 555-2485 now", 101: "version 2 of 2024", 102: "plain words", 103: None}
+    df = table(spark, rows + list(odd.items()))
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    assert not pii.base_spans(odd[100]) and got[100].n_phone == 0
+    assert got[100].spans == "phone:6:19,phone:24:37" and not got[102].spans and not got[103].spans
+    assert {r.doc_id: r.text for r in pii.redacted(df).collect()}[100] == "ring ([PHONE] or ([PHONE] now"
+
+
+def test_the_fitting_sample_holds_base_spans(spark):
+    rows = [(i, f"about 12345 and {i}") for i in range(200)] + [(300 + i, f"host 10.0.0.{i} is up") for i in range(3)]
+    assert pii.fit(table(spark, rows), fit_docs=2) is not None
+
+
 def test_skip_edges_carry_labels():
     text = "call +1 (988) 555-2485 now or +1 (988) 555-2486 4524132264652876"
     base = pii.base_spans(text)

@@ -16,6 +16,8 @@ from .common import stored
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field's weights are fitted on, at most; all documents are searched.
 FIT_DOCS = 2_000
+#: Documents and nodes that exchange messages at once, which bounds memory.
+_BATCH_DOCS, _BATCH_NODES = 256, 100_000
 ROUNDS = 10
 
 # Fixed patterns of the contract.
@@ -25,6 +27,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_CANDIDATE = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>|"
@@ -78,7 +81,7 @@ def _keys(token: str) -> set[str]:
 
 
 def graph_of(text: str, spans: list[tuple[int, str, int]]) -> dict | None:
-    """Nodes, observed labels, features, chain edges and skip edges of a document that has base spans.
+    """Nodes, observed labels, features, chain edges and skip edges of a document, with or without base spans.
 
     Nodes are tokens with a digit or @, tokens within a span, and tokens similar to one of those; each other token is
     certainly no entity. Similar tokens are linked in a chain of their occurrences, never all with all.
@@ -90,7 +93,7 @@ def graph_of(text: str, spans: list[tuple[int, str, int]]) -> dict | None:
         label[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = 1 + KINDS.index(kind)
     words = [text[a:b] for a, b in tokens]
     likely = [bool(label[i]) or "@" in w or _DIGITS.search(w) is not None for i, w in enumerate(words)]
-    anchors = set().union(*(_keys(words[i]) for i in np.flatnonzero(label)))
+    anchors = set().union(*(_keys(words[i]) for i in np.flatnonzero(likely)))
     similar = [() if len(w) < 6 else _keys(w) & anchors for w in words]
     nodes = [i for i, w in enumerate(words) if likely[i] or similar[i]]
     place = {i: k for k, i in enumerate(nodes)}
@@ -190,9 +193,15 @@ def added_spans(text: str, spans: list[tuple[int, str, int]], graph: dict, belie
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> dict | None:
-    """Weights from at most fit_docs documents that hold digits or @, chosen by a hash of their id; one bounded task."""
+    """Weights from at most fit_docs documents that hold base spans, chosen by a hash of their id; one bounded task."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.where(F.col("text").rlike("@|[0-9]{3}") & F.col("id").isNotNull()).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_docs)
+
+    def labelled(batches):
+        for batch in batches:
+            yield batch.select(["id"]).filter(pa.array([bool(base_spans(t)) for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    hits = rows.where(F.col("text").rlike("[0-9@]") & F.col("id").isNotNull()).mapInArrow(labelled, "id long")
+    ids = hits.distinct().orderBy(F.xxhash64("id"), "id").limit(fit_docs)
     picked = rows.join(F.broadcast(stored(ids, "sample")), "id")
 
     def graphs(batches):
@@ -211,6 +220,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     return pickle.loads(bytes(model[0]["model"])) if model else None
 
 
+def field_spans(texts: list[str | None], base: list[list], model: dict | None):
+    """(place, added spans) of every text with a candidate token, base spans or not; bounded graphs at a time."""
+    part: list[tuple[int, dict]] = []
+    nodes = 0
+
+    def flush():
+        for (i, g), belief in zip(part, believe([g for _, g in part], model)):
+            yield i, added_spans(texts[i], base[i], g, belief)
+
+    for i, text in enumerate(texts if model else ()):
+        if not text or not _CANDIDATE.search(text):
+            continue
+        part.append((i, graph_of(text, base[i])))
+        nodes += len(part[-1][1]["label"])
+        if len(part) >= _BATCH_DOCS or nodes >= _BATCH_NODES:
+            yield from flush()
+            part, nodes = [], 0
+    if part:
+        yield from flush()
+
+
 def find(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every document, whole texts."""
 
@@ -219,12 +249,8 @@ def find(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             spans = list(base)
-            hit = [i for i, b in enumerate(base) if b] if model else []
-            for at in range(0, len(hit), 256):
-                part = hit[at : at + 256]
-                graphs = [graph_of(texts[i], base[i]) for i in part]
-                for i, g, belief in zip(part, graphs, believe(graphs, model)):
-                    spans[i] = sorted(base[i] + added_spans(texts[i], base[i], g, belief), key=lambda s: (s[0], KINDS.index(s[1])))
+            for i, more in field_spans(texts, base, model):
+                spans[i] = sorted(base[i] + more, key=lambda s: (s[0], KINDS.index(s[1])))
             counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in KINDS]
             hashes = pa.array([hashlib.sha256(digest(b).encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array([digest(s) for s in spans], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -249,19 +275,17 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         for batch in batches:
             texts = batch.column(at).to_pylist()
             base = [base_spans(t or "") for t in texts]
-            hit = [i for i, b in enumerate(base) if b]
-            for lo in range(0, len(hit), 256):
-                part = hit[lo : lo + 256]
-                graphs = [graph_of(texts[i], base[i]) for i in part]
-                beliefs = believe(graphs, model) if model else [None] * len(part)
-                for i, g, belief in zip(part, graphs, beliefs):
-                    more = added_spans(texts[i], base[i], g, belief) if model else []
-                    out, done = [], 0
-                    for s, kind, e in sorted(base[i] + more):
-                        if e > done:
-                            out += [texts[i][done : max(s, done)], f"[{kind.upper()}]" if s >= done else ""]
-                            done = e
-                    texts[i] = "".join(out) + texts[i][done:]
+            added = dict(field_spans(texts, base, model))
+            for i, found in enumerate(base):
+                spans = sorted(found + added.get(i, []))
+                if not spans:
+                    continue
+                out, done = [], 0
+                for s, kind, e in spans:
+                    if e > done:
+                        out += [texts[i][done : max(s, done)], f"[{kind.upper()}]" if s >= done else ""]
+                        done = e
+                texts[i] = "".join(out) + texts[i][done:]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
