@@ -9,7 +9,7 @@ from vantor.llm.mixing import mixed
 from vantor.llm.packing import pack
 from vantor.llm.pii import redacted
 from vantor.llm.quality import accepted
-from vantor.llm.simhash import deduplicated
+from vantor.llm.simhash import near_deduplicated
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return deduplicated(docs, shingle=4, radius=4)
+    """One document of each group of near copies."""
+    return near_deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

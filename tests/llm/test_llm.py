@@ -106,6 +106,61 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert out.count() == groups
 
 
+def near_copies():
+    """Documents with planted copies of one to a few edited words, copies of these, and short, empty and repeated texts."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    data = []
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice((12, 60, 150, 400)))]
+        data.append((k * 10, " ".join(base)))
+        for j in range(rng.randint(0, 4)):
+            if rng.random() < 0.3:
+                base = list(base)
+            copy = base if rng.random() < 0.3 else list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 50))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            data.append((k * 10 + j + 1, " ".join(copy).title()))
+    hot = [rng.choice(words) for _ in range(200)]
+    data += [(1000 + i, " ".join(hot[:i] + [f"x{i}"] + hot[i + 1 :])) for i in range(80)]
+    return data + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one  TWO"), (2004, "one two three"), (None, data[0][1]), (None, "alone"), (10, data[10][1])]
+
+
+def test_near_deduplicated_against_all_pairs(spark):
+    data = near_copies()
+    sets = []
+    for _, t in data:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(data)))
+    pairs = [(i, j) for i in range(len(data)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = group[i], group[j]
+        group = [b if g == a else g for g in group]
+    members = collections.defaultdict(list)
+    for g, (key, _) in zip(group, data):
+        members[g].append((key is None, key))
+    want = sorted((min(m) for m in members.values()), key=repr)
+    df = table(spark, data)
+    out = simhash.near_deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id is None, r.doc_id) for r in out.collect()), key=repr) == want
+    assert simhash.near_deduplicated(table(spark, [])).count() == 0
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    data = []
+    for k in range(50):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        data.append((k, " ".join(words)))
+        words[rng.randrange(150)] = "edited"
+        data.append((1000 + k, " ".join(words)))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, table(spark, data), "").collect()} == set(range(50))
+
+
 def brute_bytes(texts, n):
     seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []

@@ -7,14 +7,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import connected_components, lower_ascii, stored
 
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 _BLOCK = 262_144
+#: Bands of minima and rows in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^24 = 0.0007.
+BANDS, ROWS = 24, 6
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -137,3 +142,110 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = best.select(F.col("best.root").alias("_root"), F.col("best.fp").alias("_best"))
     kept = rows.join(best, (F.col("_fp") == F.col("_best")) & F.col(id_col).cast("long").eqNullSafe(F.col("_root")))
     return kept.dropDuplicates(["_fp"]).select(*names)
+
+
+def shingle_hashes(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; a shorter text is one shingle, no words give none."""
+    words = lower_ascii(text or b"").split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band of minima; no shingles: no keys."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, ((hashes[at : at + 512, None] ^ _FLIP) * _ODD).min(0))
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the place of its group's first one; groups are the components of all pairs at the similarity.
+
+    Sets of a group found already are one for what follows, so only pairs that could still join two groups are compared.
+    """
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    groups: list[list[int]] = []
+    held = [frozenset(x.tolist()) for x in sets]
+    for i in order:
+        mine, least, joined, others = held[i], similarity * len(held[i]), [i], []
+        for group in groups:
+            # Sets come by size: the latest members are the closest in size, and the first too small one ends the search.
+            for j in reversed(group):
+                if len(held[j]) < least:
+                    found = False
+                    break
+                both = len(mine & held[j])
+                if both >= similarity * (len(mine) + len(held[j]) - both):
+                    found = True
+                    break
+            else:
+                found = False
+            if found:
+                joined = group + joined if len(joined) == 1 else sorted(group + joined, key=lambda k: (len(sets[k]), k))
+            else:
+                others.append(group)
+        groups = [*others, joined]
+    out = [0] * len(sets)
+    for group in groups:
+        for i in group:
+            out[i] = min(group)
+    return out
+
+
+def near_deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3
+) -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest id, null last; of repeated rows one stays.
+
+    Near copies share at least this Jaccard similarity of their sets of word shingles. Candidates are texts that share a band
+    of minima or whose fingerprints lie within radius; every candidate pair that could join two groups is verified by whole
+    texts. Texts with the same words are one value. All columns are kept.
+    """
+    names = docs.columns
+    place = names.index(text_col)
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            fps, values, bands = [], [], []
+            numbers = np.arange(row, row := row + batch.num_rows)
+            for t in batch.column(place).to_pylist():
+                text = t.encode() if t is not None else b""
+                fps.append(fingerprint(text, shingle))
+                values.append(xxhash.xxh64_intdigest(b" ".join(lower_ascii(text).split())))
+                bands.append(band_keys(shingle_hashes(text, shingle)))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(numbers)], [*batch.schema.names, "_fp", "_value", "_bands", "_row"])
+
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_value", LongType()), StructField("_bands", ArrayType(LongType())), StructField("_row", LongType())])
+    rows = stored(docs.mapInArrow(run, schema), "fingerprints")
+    ident = F.col(id_col).cast("long")
+    best = F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), "_row")).alias("best")
+    values = stored(rows.groupBy("_value").agg(best, F.first("_fp").alias("fp"), F.first("_bands").alias("bands")).select("_value", F.col("best.id").alias("root"), F.col("best._row").alias("_row"), "fp", "bands"), "values")
+
+    # Each value is tied to the smallest of its band, and fingerprints within the radius tie their smallest values.
+    keys = values.where(F.size("bands") > 0).select("_value", F.posexplode(F.array_append("bands", F.col("fp"))).alias("band", "key"))
+    stars = keys.groupBy("band", "key").agg(F.min("_value").alias("dst"), F.max("_value").alias("far")).where("dst < far").drop("far")
+    ties = keys.join(stars, ["band", "key"]).where("_value <> dst").select(F.col("_value").alias("src"), "dst")
+    fps = stored(values.where(F.size("bands") > 0).groupBy("fp").agg(F.min("_value").alias("v")), "fingerprints")
+    near = multi_index_links(fps.select("fp"), radius, segments)
+    near = near.join(fps.select(F.col("fp").alias("a"), F.col("v").alias("src")), "a").join(fps.select(F.col("fp").alias("b"), F.col("v").alias("dst")), "b").select("src", "dst")
+    found = stored(connected_components(ties.union(near).distinct()), "candidates")
+    candidates = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+
+    def verify(group: pa.Table) -> pa.Table:
+        ids = group.column("node").to_pylist()
+        first = similar_groups([shingle_hashes(t.encode(), shingle) for t in group.column("text").to_pylist()], similarity)
+        return pa.table([pa.array(ids, pa.int64()), pa.array([ids[k] for k in first], pa.int64())], ["node", "component"])
+
+    members = candidates.join(values.select(F.col("_value").alias("node"), "_row"), "node")
+    texts = rows.select("_row", F.col(text_col).alias("text")).join(members, "_row").select("node", "component", "text")
+    groups = texts.groupBy("component").applyInArrow(verify, "node long, component long")
+    named = values.join(groups, values["_value"] == groups["node"], "left").select("root", "_row", F.coalesce("component", "_value").alias("component"))
+    chosen = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "_row")).alias("best"))
+    return rows.join(stored(chosen.select(F.col("best._row").alias("_row")), "chosen"), "_row").select(*names)
