@@ -434,6 +434,20 @@ def test_media_source_keeps_the_other_members(spark, tmp_path):
     assert [r.member for r in spark.read.format("media_archive").option("archives", json.dumps([[archive, 10]])).load().collect()] == [None]
 
 
+def test_media_ranges_do_not_vanish(monkeypatch):
+    reader = media.MediaArchiveReader({"archives": "[]"})
+    monkeypatch.setattr(media, "open_fs", lambda _: (_ for _ in ()).throw(OSError("away")))
+    rows = [r for b in reader.read(media.ByteRange("file:///x.zip", 8, 16)) for r in b.to_pylist()]
+    assert [(r["offset"], r["error"]) for r in rows] == [(8, "OSError: away")]
+
+
+def test_strict_media_fail(spark):
+    bad = spark.createDataFrame([("0/1/2.png", None, "away")], "member string, payload binary, error string")
+    assert media.media_features(bad).count() == 1
+    with pytest.raises(Exception, match="could not be read"):
+        media.media_features(bad, strict=True).collect()
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -167,13 +167,17 @@ class MediaArchiveReader(DataSourceReader):
     def read(self, partition):
         if not partition.archive:
             return
-        at, path = open_fs(partition.archive)
-        try:
-            handle = at.open_input_file(path)
-            infos = [i for i in zipfile.ZipFile(handle).infolist() if partition.start <= i.header_offset < partition.end]
-        except Exception as e:  # noqa: BLE001  an archive without a directory is one row that says so
-            if partition.start == 0:
-                yield self._batch([(partition.archive, 0, None, None, f"{type(e).__name__}: {e}"[:500])])
+        for k in range(self.attempts):
+            try:
+                at, path = open_fs(partition.archive)
+                handle = at.open_input_file(path)
+                infos = [i for i in zipfile.ZipFile(handle).infolist() if partition.start <= i.header_offset < partition.end]
+                break
+            except Exception as e:  # noqa: BLE001  a range whose archive cannot be listed is one row that says so
+                error = f"{type(e).__name__}: {e}"[:500]
+                time.sleep(0.05 * k)
+        else:
+            yield self._batch([(partition.archive, partition.start, None, None, error)])
             return
         rows, held = [], 0
         for info in sorted(infos, key=lambda i: i.header_offset):
@@ -206,8 +210,8 @@ class MediaArchiveSource(DataSource):
         return MediaArchiveReader(self.options)
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decode what was read back and compute the columns of the media."""
+def media_features(media: DataFrame, strict: bool = False) -> DataFrame:
+    """Decode what was read back and compute the columns of the media. strict: an error fails the task, which reads again when Spark reruns it."""
 
     def run(batches):
         for batch in batches:
@@ -228,6 +232,8 @@ def media_features(media: DataFrame) -> DataFrame:
                         zlib.crc32(samples[-16:]), (len(data), hashlib.sha256(data).hexdigest()), feature_of(samples), None,
                     )
                 )
+            if strict and (errors := [r[0:1] + r[8:] for r in out if r[8]]):
+                raise OSError(f"{len(errors)} media could not be read, first {errors[0]}")
             cols = list(zip(*out)) if out else [()] * 9
             media_cols = [[m[i] if m else None for m in cols[6]] for i in range(2)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -239,16 +245,16 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.select("member", "payload", "error").mapInArrow(run, schema)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 1 << 25) -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 1 << 25, strict: bool = False) -> DataFrame:
     """Store every document's padded bytes as media, read them back through the source, and describe them.
 
     Null and empty texts are one row of spaces; equal texts give equal values; repeated rows are members
     of their own; a null doc_id stays null; an empty table gives an empty result. A member that
-    cannot be read after the retries comes back with its error and null columns; the others are whole.
+    cannot be read after the retries comes back with its error and null columns, or fails the task if strict; the others are whole.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "media")
     archives = stored(write_archives(docs, folder, id_col, text_col, archive_bytes), "archives")
     listed = [[r.archive, r.bytes] for r in archives.select("archive", "bytes").orderBy("archive").collect()]  # one short row per archive
     spark.dataSource.register(MediaArchiveSource)
-    return media_features(spark.read.format("media_archive").option("archives", json.dumps(listed)).load())
+    return media_features(spark.read.format("media_archive").option("archives", json.dumps(listed)).load(), strict)

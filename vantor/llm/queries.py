@@ -62,7 +62,7 @@ def op8_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
-    return media_columns(_table(spark, sf_dir, "documents")).drop("error")
+    return media_columns(_table(spark, sf_dir, "documents"), strict=True).drop("error")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
