@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: bytes.split() without arguments splits at exactly space and \x09-\x0D.
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one only on a local master where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="vantor-"))
     return found.rstrip("/")
 
@@ -31,12 +35,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there and survives lost executors."""
+def stored(df: DataFrame, name: str = "cut", by: tuple[str, ...] = (), tidy: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    by: columns that name folders, so that a reader of a few of their values opens no others. tidy: the shuffle files of the write
+    are removed with it; the written table is what later steps read.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote; nothing that is still to be computed may read them."""
+    for table in tables:
+        spark, path = table.sparkSession, table.stored_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

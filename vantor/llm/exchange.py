@@ -31,6 +31,16 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b",".join(parts) + b"\n" + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """An array's bytes by significance, which compresses numbers far below their type's range; numbers() undoes it."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.ravel()
+
+
+def numbers(data: np.ndarray, kind=np.int64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
+
+
 def unpack(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     at = raw.index(b"\n")
@@ -42,29 +52,31 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def gathered(batches, chunk_bytes: int):
+    """(number, ids, texts) of a partition's rows (id, text), dealt to chunks of at most chunk_bytes or one longer text."""
+    part, number = TaskContext.get().partitionId() << 32, 0
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if texts and (held + len(text or b"") > chunk_bytes or len(texts) >= 65_536):
+                yield part + number, ids, texts
+                number += 1
+                ids, texts, held = [], [], 0
+            ids.append(NO_ID if doc is None else doc)
+            texts.append(text or b"")
+            held += len(texts[-1])
+    if texts:
+        yield part + number, ids, texts
+
+
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, first: int = 0) -> DataFrame:
     """(chunk, data): all documents in the shared folder, compressed, numbered from `first`. Null texts are empty; a null id is kept as NO_ID."""
 
     def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
-
-        def row():
+        for number, ids, texts in gathered(batches, chunk_bytes):
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             data = pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([first + (part << 32) + number], pa.int64()), pa.array([data])], ["chunk", "data"])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if texts and (held + len(text or b"") > chunk_bytes or len(texts) >= 65_536):
-                    yield row()
-                    number += 1
-                    ids, texts, held = [], [], 0
-                ids.append(NO_ID if doc is None else doc)
-                texts.append(text or b"")
-                held += len(texts[-1])
-        if texts:
-            yield row()
+            yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), pa.array([data])], ["chunk", "data"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
     return stored(rows.mapInArrow(run, "chunk long, data binary"), "chunks")
