@@ -23,7 +23,8 @@ ROUNDS = 10
 # Fixed patterns of the contract.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A leftmost match starts where a run of digits starts, and gives none of its digits back; so each run is read a few times at most.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -116,29 +117,46 @@ def graph_of(text: str, spans: list[tuple[int, str, int]]) -> dict | None:
     return {"label": label[nodes], "x": x, "chain": chain, "skip": sorted(skip), "spans": [tokens[i] for i in nodes], "index": nodes}
 
 
-def fit_weights(graphs: list[dict]) -> dict | None:
-    """Piecewise fit: a softmax over token features, log-odds of neighbouring labels, and the agreement of similar tokens."""
+#: Prior mean of the agreement of similar tokens' labels; all other weights' prior mean is 0.
+AGREEMENT = 0.5
+
+
+def fit_weights(graphs: list[dict], rounds: int = 400, ridge: float = 1.0) -> dict | None:
+    """Node, chain and skip weights together, by the pseudo-likelihood of all nodes given their neighbours' labels.
+
+    The objective is concave: log P(label | features, labels of chain and skip neighbours) summed over nodes, less half of ridge times the squared
+    distance from the prior mean. Gradient steps with momentum climb it.
+    """
     if not graphs:
         return None
     n = len(KINDS) + 1
     x, y = np.vstack([g["x"] for g in graphs]), np.concatenate([g["label"] for g in graphs])
-    w, hot = np.zeros((FEATURES, n)), np.eye(n)[y]
+    base = np.cumsum([0] + [len(g["label"]) for g in graphs])
     scale = np.maximum(1.0, np.abs(x).max(0))
-    for _ in range(300):
-        p = np.exp(x / scale @ w)
-        w += 2.0 * ((x / scale).T @ (hot - p / p.sum(1, keepdims=True)) / len(x) - 1e-4 * w)
-    w /= scale[:, None]
-    share = (hot.sum(0) + 1) / (len(y) + n)
-    tables = {}
-    for kind in ("chain", "skip"):
-        seen = np.ones((n, n))
-        for g in graphs:
-            for a, b in g[kind]:
-                seen[g["label"][a], g["label"][b]] += 1
-        tables[kind] = np.clip(np.log(seen / seen.sum() / np.outer(share, share)), -3, 3)
-    # Similar tokens share their label: never less than this agreement, however few repeats the sample holds.
-    tables["skip"] = np.where(np.eye(n) > 0, np.maximum(tables["skip"], 0.5), np.minimum(tables["skip"], 0.0))
-    return {"w": w, **tables}
+    edges = {k: np.array([(a + o, b + o) for g, o in zip(graphs, base) for a, b in g[k]], np.int64).reshape(-1, 2) for k in ("chain", "skip")}
+    hot = np.eye(n)[y]
+    # What each node sees: its features, the labels before and behind it, and those of similar tokens.
+    left, right, same = np.zeros((3, len(y), n))
+    np.add.at(left, edges["chain"][:, 1], hot[edges["chain"][:, 0]])
+    np.add.at(right, edges["chain"][:, 0], hot[edges["chain"][:, 1]])
+    for a, b in (edges["skip"].T, edges["skip"].T[::-1]):
+        np.add.at(same, a, hot[b])
+    x = x / scale
+    prior = {"w": np.zeros((x.shape[1], n)), "chain": np.zeros((n, n)), "skip": AGREEMENT * np.eye(n)}
+    now = {k: v.copy() for k, v in prior.items()}
+    pace = {k: np.zeros_like(v) for k, v in prior.items()}
+    rate = 1.0 / (ridge + 0.25 * len(y) * max(1.0, (x**2).sum(1).max() + left.sum(1).max() + right.sum(1).max() + (same.sum(1) ** 2).max()))
+    for k in range(rounds):
+        ahead = {name: now[name] + k / (k + 3) * pace[name] for name in now}
+        score = x @ ahead["w"] + left @ ahead["chain"] + right @ ahead["chain"].T + same @ ahead["skip"]
+        p = np.exp(score - score.max(1, keepdims=True))
+        miss = hot - p / p.sum(1, keepdims=True)
+        skip = same.T @ miss
+        slope = {"w": x.T @ miss, "chain": left.T @ miss + (right.T @ miss).T, "skip": (skip + skip.T) / 2}
+        for name in now:
+            new = ahead[name] + rate * (slope[name] - ridge * (ahead[name] - prior[name]))
+            pace[name], now[name] = new - now[name], new
+    return {"w": now["w"] / scale[:, None], "chain": now["chain"], "skip": now["skip"]}
 
 
 def believe(graphs: list[dict], model: dict) -> list[np.ndarray]:
