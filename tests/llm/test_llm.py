@@ -128,7 +128,9 @@ def near_copies():
     return data + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one  TWO"), (2004, "one two three"), (None, data[0][1]), (None, "alone"), (10, data[10][1])]
 
 
-def test_near_deduplicated_against_all_pairs(spark):
+@pytest.mark.parametrize("part_bytes", [1 << 22, 3000])
+def test_near_deduplicated_against_all_pairs(spark, part_bytes):
+    """With small parts, groups are joined by their heads, and what stays apart is compared part by part."""
     data = near_copies()
     sets = []
     for _, t in data:
@@ -144,12 +146,20 @@ def test_near_deduplicated_against_all_pairs(spark):
         members[g].append((key is None, key))
     want = sorted((min(m) for m in members.values()), key=repr)
     df = table(spark, data)
-    out = simhash.near_deduplicated(df)
+    out = simhash.near_deduplicated(df, part_bytes=part_bytes)
     assert out.columns == df.columns
     assert sorted(((r.doc_id is None, r.doc_id) for r in out.collect()), key=repr) == want
     assert simhash.near_deduplicated(table(spark, [])).count() == 0
 
 
+def test_links_between_parts_join_groups_of_different_heads(spark):
+    """A chain of sets, each similar to the next alone, over many parts; and sets that only share a component."""
+    sets = [(1, i, np.arange(20 * i, 20 * i + 400, dtype="<u8").tobytes()) for i in range(60)] + [(2, 1000 + i, np.arange(300 * i, 300 * i + 400, dtype="<u8").tobytes()) for i in range(30)]
+    df = spark.createDataFrame(sets, "component long, node long, hashes binary").repartition(5)
+    got = {r.node: r.head for r in simhash.verified_groups(df, 0.8, part_bytes=8000).collect()}
+    assert all(got.get(i, i) == 0 for i in range(60)) and all(got.get(i, i) == i for i in range(1000, 1030))
+
+
 def test_pipeline_drops_planted_near_copies(spark):
     import corpus_pipeline
 

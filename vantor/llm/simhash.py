@@ -18,6 +18,8 @@ from .common import connected_components, lower_ascii, stored
 _BLOCK = 262_144
 #: Bands of minima and rows in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^24 = 0.0007.
 BANDS, ROWS = 24, 6
+#: Shingle hashes that are compared with one another in one task.
+PART_BYTES = 4 << 20
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -197,8 +199,92 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
     return out
 
 
+def _grouped(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, head) of members (component, part, node, hashes): groups of similar sets within each part, named by their least node."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        ids = table.column("node").to_pylist()
+        first = similar_groups([np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()], similarity)
+        return pa.table([table.column("component").combine_chunks(), pa.array(ids, pa.int64()), pa.array([ids[k] for k in first], pa.int64())], ["component", "node", "head"])
+
+    return members.groupBy("component", "part").applyInArrow(run, "component long, node long, head long")
+
+
+def _dealt(sets: DataFrame, part_bytes: int) -> DataFrame:
+    """sets (component, node, hashes) with a part of its component: parts hold about part_bytes each."""
+    sizes = sets.groupBy("component").agg(F.ceil(F.sum(F.length("hashes") + 64) / part_bytes).alias("parts"))
+    return sets.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+
+
+def verified_groups(sets: DataFrame, similarity: float, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(node, head): groups of sets (component, node, hashes) that are connected by pairs at the similarity; head is a group's least node.
+
+    All pairs of a component that could still join two groups are compared, in parts of bounded size. Each part is grouped
+    by itself; then one set of each group meets the others' until that joins no more, which settles groups of near copies
+    however large they are. Only what is still apart in a component of several parts is compared part by part.
+    """
+    dealt = stored(_dealt(sets, part_bytes), "sets")
+    links = stored(_grouped(dealt, similarity), "groups")
+    wide = dealt.where("parts > 1").select("component").distinct()
+    heads = links.join(wide, "component", "left_semi")
+    known = links.select(F.col("node").alias("src"), F.col("head").alias("dst"))
+    count = heads.where("node = head").count()
+    while count:
+        met = heads.where("node = head").select("node")
+        again = stored(_grouped(_dealt(dealt.join(met, "node", "left_semi").select("component", "node", "hashes"), part_bytes), similarity), "groups")
+        known = known.union(again.select(F.col("node").alias("src"), F.col("head").alias("dst")))
+        heads, before = again, count
+        count = again.where("node = head").count()
+        if count == before:
+            break
+    group = stored(connected_components(known.where("src <> dst")), "groups")
+    labelled = dealt.join(group, "node", "left").withColumn("group", F.coalesce(group["component"], "node")).select(dealt["component"], "part", "node", "hashes", "group")
+    apart = labelled.groupBy("component").agg(F.countDistinct("group").alias("groups")).where("groups > 1").join(wide, "component", "left_semi").select("component")
+    if apart.isEmpty():
+        return group.select("node", F.col("component").alias("head"))
+    blocks = stored(labelled.join(apart, "component", "left_semi").groupBy("component", "part").agg(F.collect_list(F.struct("node", "group", "hashes")).alias("rows")), "blocks")
+    blocks = blocks.select("component", "part", *[F.col(f"rows.{c}").alias(c) for c in ("node", "group", "hashes")])
+    others = blocks.select("component", *[F.col(c).alias("other_" + c) for c in ("part", "node", "group", "hashes")])
+    pairs = blocks.join(others, "component").where("part < other_part").select("node", "group", "hashes", "other_node", "other_group", "other_hashes")
+
+    def compare(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                found = cross_links(*([(n, g, np.frombuffer(h, "<u8")) for n, g, h in zip(*side)] for side in (row[:3], row[3:])), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["src", "dst"])
+
+    known = known.where("src <> dst").union(pairs.mapInArrow(compare, "src long, dst long"))
+    return connected_components(known).select("node", F.col("component").alias("head"))
+
+
+def cross_links(left: list, right: list, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes at the similarity, one for each two groups that have one; left and right hold (node, group, sorted hashes)."""
+    sides = [sorted(((n, g, frozenset(h.tolist())) for n, g, h in side), key=lambda r: len(r[2])) for side in (left, right)]
+    sizes, met, out, low = [len(r[2]) for r in sides[1]], {}, [], 0
+
+    def top(g):
+        while met.get(g, g) != g:
+            g = met[g]
+        return g
+
+    for node, group, mine in sides[0]:
+        while low < len(sizes) and sizes[low] < similarity * len(mine):
+            low += 1
+        for k in range(low, len(sizes)):
+            if similarity * sizes[k] > len(mine):
+                break
+            other, its, theirs = sides[1][k]
+            if top(group) != top(its):
+                both = len(mine & theirs)
+                if both >= similarity * (len(mine) + len(theirs) - both):
+                    out.append((node, other))
+                    met[top(group)] = top(its)
+    return out
+
+
 def near_deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """docs with one document of each group of near copies: that of the smallest id, null last; of repeated rows one stays.
 
@@ -238,14 +324,14 @@ def near_deduplicated(
     found = stored(connected_components(ties.union(near).distinct()), "candidates")
     candidates = found.union(found.select(F.col("component").alias("node"), "component").distinct())
 
-    def verify(group: pa.Table) -> pa.Table:
-        ids = group.column("node").to_pylist()
-        first = similar_groups([shingle_hashes(t.encode(), shingle) for t in group.column("text").to_pylist()], similarity)
-        return pa.table([pa.array(ids, pa.int64()), pa.array([ids[k] for k in first], pa.int64())], ["node", "component"])
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t.encode(), shingle).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "node", "hashes"])
 
     members = candidates.join(values.select(F.col("_value").alias("node"), "_row"), "node")
-    texts = rows.select("_row", F.col(text_col).alias("text")).join(members, "_row").select("node", "component", "text")
-    groups = texts.groupBy("component").applyInArrow(verify, "node long, component long")
-    named = values.join(groups, values["_value"] == groups["node"], "left").select("root", "_row", F.coalesce("component", "_value").alias("component"))
+    texts = rows.select("_row", F.col(text_col).alias("text")).join(members, "_row").select("component", "node", "text")
+    groups = verified_groups(texts.mapInArrow(hashed, "component long, node long, hashes binary"), similarity, part_bytes)
+    named = values.join(groups, values["_value"] == groups["node"], "left").select("root", "_row", F.coalesce("head", "_value").alias("component"))
     chosen = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "_row")).alias("best"))
     return rows.join(stored(chosen.select(F.col("best._row").alias("_row")), "chosen"), "_row").select(*names)
