@@ -228,10 +228,32 @@ def brute_windows(data, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (4, 2)])
-def test_windows(spark, batches, fanout):
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (4, 2), (3, 2)])
+def test_windows(spark, batches, fanout, monkeypatch):
+    made = []
+    monkeypatch.setattr(windows, "WindowIndex", lambda *a, cls=windows.WindowIndex: made.append(cls(*a)) or made[0])
     data = corpus()
     assert rows_of(windows.remove_windows(table(spark, data), length=7, batches=batches, fanout=fanout)) == brute_windows(data, 7)
+    assert made[0].compactions == max(0, batches - 2)
+
+
+def test_windows_are_verified_by_their_words(spark, monkeypatch):
+    """With fingerprints that all collide, only the words tell windows apart."""
+    data = [(1, "a b c d e f g h"), (2, "h g f e d c b a"), (3, "x b c d e f g y"), (4, None)]
+    index = windows.WindowIndex(3)
+    real = windows._Chunk.__init__
+
+    def collide(self, data, length):
+        real(self, data, length)
+        self.value = np.zeros_like(self.value)
+        self.keys, self.inverse, self.times = np.unique(self.value, return_inverse=True, return_counts=True)
+
+    monkeypatch.setattr(windows._Chunk, "__init__", collide)
+    chunk = windows._Chunk(windows.pack(np.array([1, 2, 3]), np.array([15, 15, 15]), np.frombuffer("".join(t for _, t in data[:3]).encode(), np.uint8)), 3)
+    found = chunk.contexts(np.ones(1, bool), True, 8)
+    assert sum(found.windows) == len({w for w in found.words for w in [w]}) or found.words
+    monkeypatch.undo()
+    assert rows_of(index.add(table(spark, data))) == brute_windows(data, 3)
 
 
 def test_windows_of_an_empty_table(spark):

@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
-from .exchange import NO_ID, anchor_runs, chunked, cuts, mix64, pack, rolling, unpack, with_replies
+from .common import discard, partitions, stored
+from .exchange import NO_ID, anchor_runs, bucket_of, chunked, cuts, numbers, pack, planes, unpack, with_replies
+from .seating import within
 
 #: Words of an anchor within a window.
 ANCHOR_WORDS = 6
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Keys of a run in one cell of its table.
+CELL_KEYS = 1 << 22
 
 
 class _Symbols(dict):
@@ -25,6 +27,12 @@ class _Symbols(dict):
         return value
 
 
+class _Places(dict):
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class _Chunk:
     """Words and anchored windows of a chunk, the same each time they are computed."""
 
@@ -39,47 +47,64 @@ class _Chunk:
         self.first, self.last, _, self.value = anchor_runs(self.symbols, self.counts, min(ANCHOR_WORDS, length), length)
         self.keys, self.inverse, self.times = np.unique(self.value, return_inverse=True, return_counts=True)
 
-    def candidates(self, flags: np.ndarray, local: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(window starts, their documents' ids, digest 1, digest 2, order by digests) of windows whose anchor is seen elsewhere."""
+    def contexts(self, flags: np.ndarray, local: bool, ranges: int) -> _Contexts:
+        """Runs of windows that share an anchor which is seen elsewhere, or twice here if local."""
         met = flags | (self.times > 1) if local else flags
         take = np.flatnonzero(met[self.inverse]) if len(met) else np.zeros(0, np.int64)
-        counts = self.last[take] - self.first[take] + 1
-        ends = np.cumsum(counts)
-        starts = np.repeat(self.first[take] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        if not len(starts):
-            return starts.astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        one = rolling(self.symbols, self.length)[starts]
-        two = (rolling(mix64(self.symbols ^ _SECOND), self.length)[starts] >> np.uint64(32)).astype(np.uint32)
-        docs = self.ids[np.searchsorted(np.cumsum(self.counts), starts, "right")]
-        return starts, docs, one, two, np.lexsort((docs, two, one))
-
-
-def _groups(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Starts of the groups of equal digests in sorted order."""
-    return np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))) if len(one) else np.zeros(0, np.int64)
-
-
-def _chunk_flags(n: int, kinds, buckets, flags, kind: str) -> np.ndarray:
-    """What the ranges replied, in the order of the chunk's sorted keys; unset where no range has replied."""
-    parts = sorted((b, f) for k, b, f in zip(kinds or (), buckets or (), flags or ()) if k == kind)
-    out = np.concatenate([unpack(f)[0] for _, f in parts]).view(bool) if parts else np.zeros(0, bool)
-    return out if len(out) == n else np.zeros(n, bool)
+        return _Contexts(self, take, ranges)
+
+
+class _Contexts:
+    """A chunk's distinct contexts (the words of a run of windows of one anchor) in the order in which they are sent: by range."""
+
+    def __init__(self, chunk: _Chunk, take: np.ndarray, ranges: int):
+        self.first, self.count = chunk.first[take], chunk.last[take] - chunk.first[take] + 1
+        self.docs = chunk.ids[np.searchsorted(np.cumsum(chunk.counts), self.first, "right")]
+        flat = b" ".join([w for doc in chunk.words for w in doc])
+        ends = np.cumsum(np.fromiter((len(w) for doc in chunk.words for w in doc), np.int64, len(chunk.symbols)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        memo = _Places()
+        cut = zip(starts[self.first].tolist(), ends[self.first + self.count + chunk.length - 2].tolist())
+        place = np.fromiter((memo[flat[a:b]] for a, b in cut), np.int64, len(take))
+        head = np.unique(place, return_index=True)[1]
+        owner = bucket_of(chunk.value[take][head], ranges)
+        order = np.argsort(owner, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        known = list(memo)
+        self.place, self.range, self.windows = rank[place], owner[order], self.count[head][order]
+        self.words = [known[k] for k in order.tolist()]
+        self.least = np.full(len(order), NO_ID)
+        np.minimum.at(self.least, self.place, self.docs)
+
+    def messages(self):
+        edge = np.flatnonzero(np.concatenate(([True], self.range[1:] != self.range[:-1], [True]))) if len(self.range) else np.zeros(1, np.int64)
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            words = self.words[s:e]
+            sizes = np.fromiter(map(len, words), np.uint32, e - s)
+            yield int(self.range[s]), pack(sizes, self.windows[s:e].astype(np.uint32), planes(self.least[s:e]), np.frombuffer(b"".join(words), np.uint8))
+
+    def covered(self, repeated: np.ndarray) -> np.ndarray:
+        """Starts of the windows that also start in a smaller document: as the ranges say, or in one of this chunk."""
+        at = np.repeat((np.cumsum(self.windows) - self.windows)[self.place], self.count) + within(self.count)
+        here = np.repeat(self.docs > self.least[self.place], self.count)
+        return (np.repeat(self.first, self.count) + within(self.count))[repeated[at] | here] if len(at) else at
 
 
 class WindowIndex:
     """A log of sorted, immutable runs of window fingerprints, with the batches' chunks.
 
     A run holds, per range of fingerprints, the sorted anchors of a batch's windows and the chunks they are in.
-    add() merge-joins a new batch's run with the runs so far; what meets is verified by 96-bit digests of the whole
-    windows of both sides, and the batch's run joins the log. Once there are `fanout` runs they are compacted into
-    one. Batches come in the order of document ids, so that an earlier batch never changes.
+    add() merge-joins a new batch's run with the runs so far; what meets is verified word by word: the words around the anchors of
+    both sides meet in a range, where windows are equal if their words are. The batch's run joins the log. Once there are `fanout`
+    runs, the next batch finds them compacted into one. Batches come in the order of document ids, so that an earlier batch never changes.
     """
 
-    def __init__(self, length: int = 13, fanout: int = 4):
+    def __init__(self, length: int = 13, fanout: int = 2):
         self.length, self.fanout = length, fanout
         self.runs: list[DataFrame] = []
         self.chunks: list[DataFrame] = []
-        self.batches = 0
+        self.batches = self.compactions = 0
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256) of the new batch's documents; the index then holds them."""
@@ -99,9 +124,17 @@ class WindowIndex:
         def compact(table: pa.Table) -> pa.Table:
             keys, owners = (np.concatenate(c) for c in zip(*(unpack(r) for r in table.column("run").to_pylist())))
             order = np.lexsort((owners, keys))
-            return pa.table({"bucket": table.column("bucket")[:1], "run": pa.array([pack(keys[order], owners[order])], pa.binary())})
+            cells = [pack(keys[order[s : s + CELL_KEYS]], owners[order[s : s + CELL_KEYS]]) for s in range(0, len(order), CELL_KEYS)]
+            return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(cells), pa.int32()), "run": pa.array(cells, pa.binary())})
 
-        run = stored(new.mapInArrow(send, "bucket int, run binary").groupBy("bucket").applyInArrow(compact, "bucket int, run binary"), "run")
+        if len(self.runs) >= self.fanout:
+            merged = self.runs[0]
+            for later in self.runs[1:]:
+                merged = merged.unionByName(later)
+            old_runs, self.runs = self.runs, [stored(merged.groupBy("bucket").applyInArrow(compact, "bucket int, run binary"), "run", tidy=True)]
+            discard(*old_runs)
+            self.compactions += 1
+        run = stored(new.mapInArrow(send, "bucket int, run binary").groupBy("bucket").applyInArrow(compact, "bucket int, run binary"), "run", tidy=True)
 
         def merge_join(table: pa.Table) -> pa.Table:
             runs = [unpack(r) for r in table.column("run").to_pylist()]
@@ -124,11 +157,11 @@ class WindowIndex:
         for old in self.runs:
             log = log.unionByName(old)
         reply = "chunk long, kind string, bucket int, flags binary"
-        met = stored(log.groupBy("bucket").applyInArrow(merge_join, reply), "met")
+        met = stored(log.groupBy("bucket").applyInArrow(merge_join, reply), "met", tidy=True)
 
-        def sparse(n: int, chunk: _Chunk, buckets, flags) -> np.ndarray:
+        def sparse(chunk: _Chunk, buckets, flags) -> np.ndarray:
             # An old chunk hears only from ranges with a match; the others' keys are unset.
-            out = np.zeros(n, bool)
+            out = np.zeros(len(chunk.keys), bool)
             told = dict(zip(buckets or (), flags or ()))
             for b, s, e in cuts(chunk.keys, ranges):
                 if b in told:
@@ -139,13 +172,8 @@ class WindowIndex:
             for batch in batches:
                 for chunk, data, buckets, flags in zip(*(batch.column(c).to_pylist() for c in ("chunk", "data", "bucket", "flags"))):
                     own = _Chunk(data, length)
-                    _, docs, one, two, order = own.candidates(sparse(len(own.keys), own, buckets, flags), chunk >> 55 == number)
-                    one, two, docs = one[order], two[order], docs[order]
-                    start = _groups(one, two)  # the least document of a window comes first
-                    one, two, docs = one[start], two[start], docs[start]
-                    parts = cuts(one, ranges)
-                    packed = [pack(one[s:e], two[s:e], docs[s:e]) for _, s, e in parts]
-                    cols = [pa.array([b for b, _, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(packed, pa.binary())]
+                    told = list(own.contexts(sparse(own, buckets, flags), chunk >> 55 == number, ranges).messages())
+                    cols = [pa.array([b for b, _ in told], pa.int32()), pa.array([chunk] * len(told), pa.int64()), pa.array([m for _, m in told], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "sent"])
 
         asked = with_replies(new, met, "bucket", "flags")
@@ -155,30 +183,34 @@ class WindowIndex:
 
         def verify(table: pa.Table) -> pa.Table:
             chunk = table.column("chunk").to_pylist()
-            runs = [unpack(r) for r in table.column("sent").to_pylist()]
-            one, two, docs = (np.concatenate(c) for c in zip(*runs))
-            order = np.lexsort((two, one))
-            start = _groups(one[order], two[order])
-            least = np.empty(len(one), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(docs[order], start), np.diff(np.concatenate((start, [len(one)])))) if len(one) else 0
-            ends = np.cumsum([len(r[0]) for r in runs])
-            told = [(c, pack((least[e - len(r[0]) : e] < r[2]).view(np.uint8))) for c, r, e in zip(chunk, runs, ends) if c >> 55 == number]
+            memo, place, docs, ends = _Places(), [], [], []
+            for data in table.column("sent").to_pylist():
+                sizes, counts, least, words = unpack(data)
+                raw, at = words.tobytes(), 0
+                for size, n in zip(sizes.tolist(), counts.tolist()):
+                    own = raw[at : at + size].split(b" ")
+                    place += [memo[b" ".join(own[k : k + length])] for k in range(n)]
+                    at += size
+                docs.append(np.repeat(numbers(least), counts))
+                ends.append(len(place))
+            place, docs = np.array(place, np.int64), np.concatenate(docs)
+            least = np.full(len(memo), NO_ID)
+            np.minimum.at(least, place, docs)
+            parts = np.split(least[place] < docs, ends[:-1])
+            told = [(c, pack(f.view(np.uint8))) for c, f in zip(chunk, parts) if c >> 55 == number]
             n = len(told)
             return pa.table({"chunk": pa.array([c for c, _ in told], pa.int64()), "kind": pa.array(["window"] * n, pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "flags": pa.array([f for _, f in told], pa.binary())})
 
-        verified = asked.mapInArrow(windows, "bucket int, chunk long, sent binary").groupBy("bucket").applyInArrow(verify, reply)
+        verified = stored(asked.mapInArrow(windows, "bucket int, chunk long, sent binary").groupBy("bucket").applyInArrow(verify, reply), "verified", tidy=True)
 
         def finish(batches):
             for batch in batches:
                 for chunk, data, kinds, buckets, flags in zip(*(batch.column(i).to_pylist() for i in range(5))):
                     own = _Chunk(data, length)
-                    anchors = _chunk_flags(len(own.keys), kinds, buckets, flags, "anchor")
-                    starts, docs, one, two, order = own.candidates(anchors, True)
-                    first = _groups(one[order], two[order])
-                    size = np.diff(np.concatenate((first, [len(order)])))
-                    before = _chunk_flags(len(first), kinds, buckets, flags, "window")
-                    smaller = np.repeat(before, size) | (docs[order] > np.repeat(docs[order][first], size)) if len(order) else np.zeros(0, bool)
-                    covered = starts[order][smaller]
+                    told = {k: [(b, f) for kind, b, f in zip(kinds or (), buckets or (), flags or ()) if kind == k] for k in ("anchor", "window")}
+                    found = own.contexts(sparse(own, *zip(*told["anchor"])) if told["anchor"] else np.zeros(len(own.keys), bool), True, ranges)
+                    repeated = np.concatenate([unpack(f)[0] for _, f in sorted(told["window"])]).view(bool) if told["window"] else np.zeros(0, bool)
+                    covered = found.covered(repeated)
                     mark = np.zeros(len(own.symbols) + 1, np.int64)
                     np.add.at(mark, covered, 1)
                     np.add.at(mark, covered + length, -1)
@@ -197,15 +229,10 @@ class WindowIndex:
         self.runs.append(run)
         self.chunks.append(new)
         self.batches += 1
-        if len(self.runs) >= self.fanout:
-            merged = self.runs[0]
-            for later in self.runs[1:]:
-                merged = merged.unionByName(later)
-            self.runs = [stored(merged.groupBy("bucket").applyInArrow(compact, "bucket int, run binary"), "run")]
         return result
 
 
-def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, batches: int = 2, fanout: int = 4) -> DataFrame:
+def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, batches: int = 3, fanout: int = 2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of all documents, taken into a new index in `batches` of ascending ids.
 
     A word goes if a window of `length` words over it also starts in a document of a smaller id, as the texts came in.
