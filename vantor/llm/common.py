@@ -56,11 +56,11 @@ def stored(df: DataFrame, name: str = "cut", by: tuple[str, ...] = (), tidy: boo
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote; nothing that is still to be computed may read them."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that stored() wrote, or one folder of theirs; nothing that is still to be computed may read them."""
     for table in tables:
-        spark, path = table.sparkSession, table.stored_path
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path + part)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
