@@ -425,6 +425,47 @@ def test_marginals_by_enumeration():
         good += p * np.array(y)
     got, z = quality.marginals(u, t)
     assert np.allclose(got, good / total) and z == pytest.approx(math.log(total))
+    both, pairs, zs = quality.chain_pass(np.concatenate([[0.3], u[:, 1] - u[:, 0], [-0.2, 1.0]]), np.array([1, 5, 2]), t)
+    assert np.allclose(both[1:6], got) and zs[1] + u[:, 0].sum() == pytest.approx(z) and np.allclose(pairs.sum((1, 2)), [0, 4, 1])
+
+
+def test_the_chain_slopes_are_those_of_its_likelihood():
+    rng = np.random.default_rng(1)
+    size = np.array([3, 1, 6, 2])
+    x, y = rng.normal(size=(12, 4)), rng.integers(0, 2, 12).astype(float)
+    w, t = rng.normal(size=4), rng.normal(size=(2, 2))
+    _, dw, dt, *_ = quality.likelihood(x, y, size, w, t, 1e-2)
+    value = lambda w, t: quality.likelihood(x, y, size, w, t, 1e-2)[0]
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-5
+        assert (value(w + step, t) - value(w - step, t)) / 2e-5 == pytest.approx(dw[i], abs=1e-6)
+        step = step.reshape(2, 2)
+        assert (value(w, t + step) - value(w, t - step)) / 2e-5 == pytest.approx(dt.ravel()[i], abs=1e-6)
+    w, t = quality.climb(x, y, size, w, t, 200, 1e-2)
+    _, dw, dt, *_ = quality.likelihood(x, y, size, w, t, 1e-2)
+    assert np.abs(dw).max() < 1e-3 and np.abs(dt).max() < 1e-3
+
+
+def test_scores_come_from_length_weighted_marginals_alone(spark):
+    """The query's score against the field's definition, enumerated line labels included."""
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["A clean line of prose, it ends well.", "$$$ !!! buy |||| now", "", "x"]) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    labels = spark.createDataFrame([(i, int("prose" in t and "$$$" not in t)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    df = table(spark, list(enumerate(texts)))
+    field = quality.fit(df, labels)
+    got = {r.doc_id: r.score for r in quality.quality_scores(df, labels).collect()}
+    assert np.abs(field["trans"]).max() > 0.05
+    for i, t in enumerate(texts):
+        f, n = quality.line_features(t.encode())
+        s = np.clip((f - field["mean"]) / field["scale"] @ field["unary"], -30, 30)
+        good, total = np.zeros(len(s)), 0.0
+        for ys in itertools.product((0, 1), repeat=len(s)):
+            p = math.exp(sum(a * b for a, b in zip(s, ys)) + sum(field["trans"][a, b] for a, b in zip(ys, ys[1:])) - np.maximum(s, 0).sum())
+            good, total = good + p * np.array(ys), total + p
+        good, weight = good / total, (n + 1) / (n + 1).sum()
+        share, good = np.clip(good @ weight, 1e-4, 1 - 1e-4), np.clip(good, 1e-6, 1 - 1e-6)
+        z = np.dot([math.log(share / (1 - share)), np.log(good / (1 - good)) @ weight, 1.0], field["doc"])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
 
 
 def brute_links(rows, threshold):
