@@ -186,14 +186,37 @@ def brute_bytes(texts, n):
     return out
 
 
-@pytest.mark.parametrize("group", [2000, 3])
-def test_suffixes(spark, monkeypatch, group):
-    monkeypatch.setattr(suffixes, "GROUP_ROWS", group)
-    monkeypatch.setattr(suffixes, "BLOCK_SUFFIXES", 100)
-    data = corpus() + [(400 + i, "ab" * i) for i in range(0, 40, 3)] + [(500, "x" * 90), (501, "é" * 40)]
-    want = sorted(((d[0], *b) for d, b in zip(data, brute_bytes([(d[1] or "").encode() for d in data], 24))), key=repr)
-    assert rows_of(suffixes.remove_repeats(table(spark, data), length=24)) == want
-    assert suffixes.remove_repeats(table(spark, data[:0]), length=24).count() == 0
+def shifted(n=30):
+    """Documents that share long passages, cut and continued at different places, so that anchors have many contexts."""
+    rng = random.Random(8)
+    line = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, other = line(1500), line(450)
+    out = []
+    for i in range(n):
+        a = rng.randint(0, 500)
+        out.append((800 + i, line(rng.randint(0, 60)) + passage[a : a + rng.randint(380, 900)] + line(20) + (other if i % 3 else other[: 390 + i]) + line(5)))
+    return out + [(900, "y" * 1300), (901, passage), (902, passage + passage)]
+
+
+@pytest.mark.parametrize(("length", "group", "block"), [(24, 2000, 1 << 20), (24, 3, 100), (400, 2000, 1 << 20), (400, 2000, 200), (400, 4, 300)])
+def test_suffixes(spark, length, group, block):
+    """Whole groups, suffix blocks of a few, and groups that are split down to single strings all give the brute-force result."""
+    data = corpus() + [(400 + i, "ab" * i) for i in range(0, 40, 3)] + [(500, "x" * 90), (501, "é" * 40)] + shifted()
+    want = sorted(((d[0], *b) for d, b in zip(data, brute_bytes([(d[1] or "").encode() for d in data], length))), key=repr)
+    assert rows_of(suffixes.remove_repeats(table(spark, data), length=length, group_rows=group, block_suffixes=block)) == want
+
+
+def test_suffixes_of_an_empty_table(spark):
+    assert suffixes.remove_repeats(table(spark, []), length=24).count() == 0
+
+
+def test_pieces_hold_each_string_once():
+    rng = random.Random(6)
+    for _ in range(200):
+        length, strings = rng.randint(16, 40), rng.randint(1, 50)
+        data, width = bytes(rng.choices(b"ab", k=length + strings - 1)), rng.choice((1, 4, 13))
+        parts = suffixes.pieces(data, rng.randint(strings - 1, strings + 8), length, width)
+        assert sorted(k for a, n, *_ in parts for k in range(a, a + n)) == list(range(strings))
 
 
 def test_suffix_blocks_are_sorted():

@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, ranges, stored
-from .exchange import NO_ID, anchor_runs, chunked, cuts, merged_repeats, mix64, pack, rolling, unpack, with_replies
+from .exchange import NO_ID, anchor_runs, chunked, cuts, merged_repeats, mix64, pack, unpack, with_replies
 
 #: Period of the difference cover, and the cover: every difference modulo the period is one of two members.
 PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
-#: Bytes of an anchor within a string; contexts sorted at once; contexts of one anchor sorted by suffix, at most.
+#: Bytes of an anchor within a string; bytes of contexts sorted at once; contexts of a group that is not split further.
 ANCHOR = 128
 BLOCK_BYTES = 2 << 20
 BLOCK_SUFFIXES = 1 << 20
 GROUP_ROWS = 2_000
+#: Larger groups are split by what strings that start within so many bytes of one another have in common, at last by whole strings.
+WIDTHS = (32, 4)
 #: Smaller than elsewhere: each byte is a symbol with several 64-bit values.
 CHUNK_BYTES = 2 << 20
 
@@ -118,16 +120,16 @@ def _merge_residues(own: np.ndarray, tie: np.ndarray, mixed: np.ndarray, rank: n
     return own
 
 
-def repeated(text: np.ndarray, suffixes: np.ndarray, length: int) -> np.ndarray:
+def repeated(text: np.ndarray, suffixes: np.ndarray, length: int, block: int = BLOCK_SUFFIXES) -> np.ndarray:
     """Which of the suffixes share their first `length` bytes with another of them; all have that many bytes."""
     words = _words(text)
     found = np.zeros(len(text), bool)
     last = None
-    for block in sorted_blocks(text, suffixes, length + PERIOD):
+    for part in sorted_blocks(text, suffixes, length + PERIOD, block):
         if last is not None:
-            block = np.concatenate(([last], block))
-        last = block[-1]
-        pair = np.stack([block[:-1], block[1:]])
+            part = np.concatenate(([last], part))
+        last = part[-1]
+        pair = np.stack([part[:-1], part[1:]])
         for at in [*range(0, length - 7, 8), length - 8]:
             pair = pair[:, words[pair[0] + at] == words[pair[1] + at]]
         found[pair.ravel()] = True
@@ -166,14 +168,30 @@ def _context_key(raw: bytes, lead: int) -> int:
     return xxhash.xxh3_64_intdigest(raw, lead) - (1 << 63)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def pieces(data: bytes, lead: int, length: int, width: int) -> list[tuple[int, int, int, int]]:
+    """(from, strings, key, key) of a context's strings in blocks of `width` distances to the anchor.
+
+    All strings of a block hold the bytes from its last start to its first end, wherever the context itself ends; equal strings
+    have equal distances to their anchor, so their blocks have equal keys.
+    """
+    out, n = [], len(data) - length + 1
+    for block in range((lead - n + 1) // width, lead // width + 1):
+        a, b = lead - (block * width + width - 1), lead - block * width
+        common = data[b : a + length]
+        key = [xxhash.xxh3_64_intdigest(common, 2 * block + k) - (1 << 63) for k in range(2)]
+        out.append((max(a, 0), min(b, n - 1) - max(a, 0) + 1, *key))
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_rows: int = GROUP_ROWS, block_suffixes: int = BLOCK_SUFFIXES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in any document. Each such
     string has an anchor that depends on its content alone; only anchors seen twice can hold a repeat. Their contexts (all bytes of the
     strings over one anchor's place) meet in a group per anchor, equal contexts once, and their suffixes are
-    sorted block by block. Groups of over GROUP_ROWS different contexts are counted string by string instead,
-    which deals one group over all tasks. Null texts are empty; repeated rows repeat each other; an empty table gives an empty result.
+    sorted block by block. A group of over group_rows different contexts is split: its contexts are cut into pieces of a few
+    strings, and pieces meet that agree on all bytes which their strings have in common, at last strings that are equal altogether.
+    Null texts are empty; repeated rows repeat each other; an empty table gives an empty result.
     """
     if length < 16:
         raise ValueError("length must be at least 16")
@@ -223,51 +241,66 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "context", "chunk", "n", "lead", "bytes"])
 
     asked = with_replies(chunks, replies, "bucket", "flags")
-    met = stored(asked.mapInArrow(contexts, "anchor long, context long, chunk long, n long, lead int, bytes binary"), "contexts")
+    met = stored(asked.mapInArrow(contexts, "anchor long, context long, chunk long, n long, lead int, bytes binary"), "contexts", tidy=True)
     each = met.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
-    each = stored(each, "distinct")
-    sizes = each.groupBy("anchor").agg(F.count("*").alias("rows"))
-    each = each.join(sizes, "anchor")
+    each = stored(each, "distinct", tidy=True)
 
     def sort_groups(batches):
         def flush(held):
-            text, starts = _layout([(lead, data) for _, _, _, lead, data in held])
+            text, starts = _layout([(lead, data) for *_, lead, data in held])
             counts = np.array([len(data) - length + 1 for *_, data in held])
             ends = np.cumsum(counts)
             suffixes = np.repeat(starts - np.concatenate(([0], ends[:-1])), counts) + np.arange(ends[-1])
-            flags = repeated(text, suffixes, length)
-            out = [(a, c, [0, int(k)] if n > 1 else _spans(flags[e - k : e])) for (a, c, n, _, _), k, e in zip(held, counts, ends)]
+            flags = repeated(text, suffixes, length, block_suffixes)
+            out = [(a, c, [x + at for x in ([0, int(k)] if n > 1 else _spans(flags[e - k : e]))]) for (_, a, c, at, n, _, _), k, e in zip(held, counts, ends)]
             out = [r for r in out if r[2]]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["anchor", "context", "spans"])
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "lead", "bytes"))):
-                if held and size > BLOCK_BYTES and row[0] != held[-1][0]:
+            for *group, anchor, context, at, n, lead, data in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if held and size > BLOCK_BYTES and group != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                held.append((group, anchor, context, at, n, lead, data))
+                size += len(data)
         if held:
             yield flush(held)
 
-    small = each.where((F.col("rows") <= GROUP_ROWS) & ((F.col("rows") > 1) | (F.col("n") > 1)))
-    small = small.repartition(buckets, "anchor").sortWithinPartitions("anchor", "context")
-    found = small.select("anchor", "context", "n", "lead", "bytes").mapInArrow(sort_groups, "anchor long, context long, spans array<int>")
-
-    def strings(batches):
-        for batch in batches:
-            for anchor, context, n, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes"))):
-                symbols = _SYMBOLS[np.frombuffer(data, np.uint8)]
-                one, two = rolling(symbols, length), rolling(mix64(symbols), length)
-                k = len(one)
-                cols = [np.full(k, anchor), np.full(k, context), np.arange(k, dtype=np.int32), np.full(k, n), one.view(np.int64), two.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "context", "at", "n", "one", "two"])
-
-    large = each.where(F.col("rows") > GROUP_ROWS).mapInArrow(strings, "anchor long, context long, at int, n long, one long, two long")
-    twice = large.groupBy("one", "two").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    counted = large.join(twice, ["one", "two"]).groupBy("anchor", "context").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
-    spans = stored(found.unionByName(counted), "spans")
+    columns = ["one", "two", "anchor", "context", "at", "n", "lead", "bytes"]
+    schema = "one long, two long, anchor long, context long, at int, n long, lead int, bytes binary"
+    names = "anchor long, context long, spans array<int>"
+
+    def cut(width: int):
+        def run(batches):
+            for batch in batches:
+                for anchor, context, at, n, lead, data in zip(*(batch.column(c).to_pylist() for c in columns[2:])):
+                    parts = pieces(data, lead, length, width)
+                    cols = [[p[2] for p in parts], [p[3] for p in parts], [anchor] * len(parts), [context] * len(parts), [at + p[0] for p in parts], [n] * len(parts), [lead - p[0] for p in parts], [data[p[0] : p[0] + p[1] - 1 + length] for p in parts]]
+                    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], columns)
+
+        return run
+
+    met_groups, found = each.select(F.col("anchor").alias("one"), F.lit(0).cast("long").alias("two"), "anchor", "context", F.lit(0).alias("at"), "n", "lead", "bytes"), []
+    for width in (*WIDTHS, 1):
+        sizes = stored(met_groups.groupBy("one", "two").agg(F.count("*").alias("rows"), F.sum("n").alias("all")), "sizes", tidy=True)
+        small = met_groups.join(sizes.where((F.col("rows") <= group_rows) & (F.col("all") > 1)).select("one", "two"), ["one", "two"])
+        small = small.repartition(buckets, "one", "two").sortWithinPartitions("one", "two", "anchor", "context", "at").select(*columns)
+        found.append(stored(small.mapInArrow(sort_groups, names), "spans", tidy=True))
+        wide = sizes.where(F.col("rows") > group_rows).select("one", "two")
+        if wide.isEmpty():
+            break
+        met_groups = stored(met_groups.join(wide, ["one", "two"]).mapInArrow(cut(width), schema), "pieces", tidy=True)
+    else:
+        # Each row is one string now, and the keys are digests of all of it.
+        twice = met_groups.groupBy("one", "two").agg(F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+        found.append(met_groups.join(twice, ["one", "two"]).select("anchor", "context", F.array("at", F.col("at") + 1).alias("spans")))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    spans = spans.groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = stored(spans, "spans", tidy=True)
     back = met.select("chunk", "anchor", "context").join(spans, ["anchor", "context"])
 
     def finish(batches):
