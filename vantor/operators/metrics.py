@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .durable import cut
 from .neighbors import knn, label_distances, pair_ranks
 
 
@@ -91,33 +92,35 @@ def davies_bouldin(df: DataFrame, vec_col: str = "embedding", label_col: str = "
 
 
 def calinski_harabasz(df: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(calinski_harabasz): between-cluster over within-cluster dispersion per degree of freedom; 1 if nothing varies within."""
+    """(calinski_harabasz): between-cluster over within-cluster dispersion per degree of freedom; 1 if nothing varies within, null for one cluster."""
     long = df.select(F.col(label_col).alias("label"), F.posexplode(V.doubles(vec_col)).alias("pos", "x"))
     per = long.groupBy("label", "pos").agg(F.avg("x").alias("m"), F.count("*").alias("n"), (F.var_pop("x") * F.count("*")).alias("w"))
     grand = per.groupBy("pos").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("g"), F.sum("n").alias("all"))
     t = per.join(F.broadcast(grand), "pos").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"), F.sum("w").alias("w"), F.countDistinct("label").alias("k"), F.max("all").alias("n")
     )
-    return t.select(F.when(F.col("w") == 0, 1.0).otherwise(F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    return t.select(F.when(F.col("k") < 2, None).when(F.col("w") == 0, 1.0).otherwise(F.col("b") / F.nullif(F.col("k") - 1, F.lit(0)) / (F.col("w") / F.nullif(F.col("n") - F.col("k"), F.lit(0)))).alias("calinski_harabasz"))
 
 
-def contingency(runs: DataFrame) -> DataFrame:
-    """(run_a, run_b, la, lb, n) of items clustered in both runs, for each pair of runs a < b; runs: (seed, vec_id, label)."""
+def contingency(runs: DataFrame, noise: bool = False) -> DataFrame:
+    """(run_a, run_b, la, lb, n) of items clustered in both runs (or of all items), for each pair of runs a < b; runs: (seed, vec_id, label)."""
     a, b = (runs.select(F.col("seed").alias(f"run_{k}"), "vec_id", F.col("label").alias(f"l{k}")) for k in "ab")
     both = a.join(b, "vec_id").where("run_a < run_b")
-    return both.where("la <> -1 AND lb <> -1").groupBy("run_a", "run_b", "la", "lb").agg(F.count("*").alias("n"))
+    both = both if noise else both.where("la <> -1 AND lb <> -1")
+    return both.groupBy("run_a", "run_b", "la", "lb").agg(F.count("*").alias("n"))
 
 
 def agreement(runs: DataFrame) -> DataFrame:
     """(run_a, run_b, common, common_ratio, ari, ami, noise_agreement, noise_jaccard); scores are null below two common points."""
-    a, b = (runs.select(F.col("seed").alias(f"run_{k}"), "vec_id", F.col("label").alias(f"l{k}")) for k in "ab")
-    both = a.join(b, "vec_id").where("run_a < run_b")
+    # Runs meet once; all that follows is made of the written cells, a row per pair of labels.
+    every = cut(contingency(runs, noise=True))
     na, nb = F.col("la") == -1, F.col("lb") == -1
-    base = both.groupBy("run_a", "run_b").agg(
-        F.count_if(~na & ~nb).alias("common"), F.avg((~na & ~nb).cast("double")).alias("common_ratio"), F.avg((na == nb).cast("double")).alias("noise_agreement"),
-        (F.count_if(na & nb) / F.when(F.count_if(na | nb) > 0, F.count_if(na | nb))).alias("noise_jaccard"),
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    base = every.groupBy("run_a", "run_b").agg(
+        share(~na & ~nb).alias("common"), (share(~na & ~nb) / F.sum("n")).alias("common_ratio"), (share(na == nb) / F.sum("n")).alias("noise_agreement"),
+        (share(na & nb) / F.when(share(na | nb) > 0, share(na | nb))).alias("noise_jaccard"),
     )
-    cells = contingency(runs).persist()
+    cells = every.where("la <> -1 AND lb <> -1")
     pair = ["run_a", "run_b"]
     ra = cells.groupBy(*pair, "la").agg(F.sum("n").alias("a"))
     rb = cells.groupBy(*pair, "lb").agg(F.sum("n").alias("b"))
@@ -160,6 +163,11 @@ def stability_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(*[F.avg(c).alias(f"mean_{c}") for c in names], F.count("*").alias("n_pairs"))
 
 
+def recovery_order(recovery: DataFrame) -> DataFrame:
+    """Recovered clusters with their place: by mean overlap, largest first, missing ones last, ties by cluster."""
+    return recovery.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean_jaccard").desc_nulls_last(), "cluster")))
+
+
 def medoid_ranking(pairs: DataFrame) -> DataFrame:
     """(seed, mean_ari, medoid_rank): runs by mean agreement with the others, null last, ties to the earlier run."""
     both = pairs.select(F.col("run_a").alias("seed"), "ari").unionAll(pairs.select("run_b", "ari"))

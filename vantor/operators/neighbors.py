@@ -22,6 +22,14 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         return np.round(np.maximum(0.0, 1 - (a @ b.T) / (na[:, None] * nb[None])), DECIMALS)
+    if metric == "correlation":
+        return distances(a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True), "cosine")
+    if metric in ("manhattan", "chebyshev"):
+        out = np.zeros((len(a), len(b)))
+        for d in range(a.shape[1]):
+            gap = np.abs(a[:, d, None] - b[None, :, d])
+            out = out + gap if metric == "manhattan" else np.maximum(out, gap)
+        return np.round(out, DECIMALS)
     if metric != "euclidean":
         raise ValueError(f"unknown metric {metric}")
     out = np.zeros((len(a), len(b)))

@@ -92,21 +92,30 @@ def project(df: DataFrame, model: dict, id_col: str = "vec_id", vec_col: str = "
 def smooth_weights(near: DataFrame) -> DataFrame:
     """(i, j, p): membership exp(-(d - rho) / sigma), rho the nearest positive distance and sigma such that a row sums to log2 k."""
 
-    def solve(_key, table):
-        d = np.array(table.column("dist").to_pylist())
-        rho = d[d > 0].min() if (d > 0).any() else 0.0
-        lo, hi, want = 0.0, math.inf, math.log2(max(2, len(d)))
-        sigma = 1.0
-        for _ in range(64):
-            got = np.exp(-np.maximum(0.0, d - rho) / sigma).sum()
-            if abs(got - want) < 1e-9:
-                break
-            lo, hi = (lo, sigma) if got > want else (sigma, hi)
-            sigma = (lo + hi) / 2 if hi < math.inf else sigma * 2
-        sigma = max(sigma, 1e-3 * float(d.mean()) if len(d) else 1e-3, 1e-12)
-        return pa.table({"i": table.column("i"), "j": table.column("j"), "p": np.exp(-np.maximum(0.0, d - rho) / sigma)})
-
-    return near.select("i", "j", "dist").groupBy("i").applyInArrow(solve, "i long, j long, p double")
+    def solve(batches):
+        for batch in batches:
+            ids, lists, dists = (batch.column(c) for c in ("i", "j", "dist"))
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            d = np.full((len(sizes), max(1, int(sizes.max(initial=0)))), np.inf)
+            d[owner, place] = dists.flatten().to_numpy(zero_copy_only=False)
+            rho = np.where(d > 0, d, np.inf).min(1)
+            rho = np.where(np.isfinite(rho), rho, 0.0)
+            over = np.maximum(0.0, d - rho[:, None])
+            lo, hi, want = np.zeros(len(sizes)), np.full(len(sizes), np.inf), np.log2(np.maximum(2, sizes))
+            sigma = np.ones(len(sizes))
+            for _ in range(64):
+                got = np.exp(-over / sigma[:, None]).sum(1)
+                settled, high = np.abs(got - want) < 1e-9, got > want
+                lo, hi = np.where(high, lo, sigma), np.where(high, sigma, hi)
+                sigma = np.where(settled, sigma, np.where(np.isfinite(hi), (lo + np.where(np.isfinite(hi), hi, 0)) / 2, sigma * 2))
+            mean = np.bincount(owner, d[owner, place], len(sizes)) / np.maximum(1, sizes)
+            sigma = np.maximum(np.maximum(sigma, 1e-3 * mean), 1e-12)
+            p = np.exp(-over[owner, place] / sigma[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy(zero_copy_only=False)[owner]), pa.array(lists.flatten()), pa.array(p)], ["i", "j", "p"])
+
+    rows = near.groupBy("i").agg(F.collect_list(F.struct("j", "dist")).alias("near"))  # at most k neighbours a row
+    return rows.select("i", F.col("near.j").alias("j"), F.col("near.dist").alias("dist")).mapInArrow(solve, "i long, j long, p double")
 
 
 def fuzzy_union(directed: DataFrame) -> DataFrame:
@@ -138,18 +147,49 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return a, b
 
 
-def _layout(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, dims: int, min_dist: float, seed: int, epochs: int, spread: float) -> np.ndarray:
-    """Spectral start and stochastic descent of the cross-entropy; epochs are vectorised over edges."""
+def _connected(src: np.ndarray, dst: np.ndarray, n: int) -> bool:
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, src, label[dst])
+        np.minimum.at(low, dst, label[src])
+        low = low[low]
+        if (low == label).all():
+            return bool((label == 0).all())
+        label = low
+
+
+def spectral_start(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, dims: int, rng: np.random.Generator, rounds: int = 400) -> np.ndarray | None:
+    """The leading eigenvectors after the first of the normalised graph, by subspace iteration over its edges; none if it is not connected."""
+    if n <= dims + 1 or not _connected(src, dst, n):
+        return None
+    degree = np.maximum(np.bincount(src, weight, n) + np.bincount(dst, weight, n), 1e-12)
+    w, first = weight / np.sqrt(degree[src] * degree[dst]), np.sqrt(degree / degree.sum())
+    v = rng.normal(size=(n, min(n - 1, dims + 4)))
+    for k in range(rounds):
+        moved = v.copy()  # of the graph plus one, so that the largest eigenvalues lead
+        for c in range(v.shape[1]):
+            moved[:, c] += np.bincount(src, w * v[dst, c], n) + np.bincount(dst, w * v[src, c], n)
+        moved -= np.outer(first, first @ moved)
+        new = np.linalg.qr(moved)[0]
+        settled = k % 10 == 9 and np.linalg.svd(new[:, :dims].T @ v[:, :dims], compute_uv=False).min() > 1 - 1e-10
+        v = new
+        if settled:
+            break
+    image = np.stack([np.bincount(src, w * v[dst, c], n) + np.bincount(dst, w * v[src, c], n) for c in range(v.shape[1])], 1)
+    value, turn = np.linalg.eigh(v.T @ image)
+    return (v @ turn)[:, ::-1][:, :dims]
+
+
+def _layout(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, dims: int, min_dist: float, seed: int, epochs: int, spread: float, init: str = "spectral") -> np.ndarray:
+    """Spectral start (random on request, or where the graph falls apart) and stochastic descent of the cross-entropy; epochs are vectorised over edges."""
+    if init not in ("spectral", "random"):
+        raise ValueError(f"unknown init {init}")
     rng, n = np.random.default_rng(seed), len(ids)
     y = rng.uniform(-10, 10, (n, dims))
-    if 3 * dims < n <= 4000:
-        w = np.zeros((n, n))
-        w[src, dst] = w[dst, src] = weight
-        deg = np.maximum(w.sum(1), 1e-12)
-        value, vec = np.linalg.eigh(w / np.sqrt(deg[:, None] * deg[None]))
-        if value[-2] < 1 - 1e-9:  # connected
-            y = vec[:, -2 : -2 - dims : -1]
-            y = y * (10 / np.abs(y).max()) + rng.normal(0, 1e-4, (n, dims))
+    start = spectral_start(src, dst, weight, n, dims, rng) if init == "spectral" else None
+    if start is not None:
+        y = start * (10 / np.abs(start).max()) + rng.normal(0, 1e-4, (n, dims))
     a, b = curve(min_dist, spread)
     keep = weight >= weight.max() / epochs
     i, j = np.concatenate([src[keep], dst[keep]]), np.concatenate([dst[keep], src[keep]])
@@ -178,7 +218,7 @@ def _layout(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarra
 def manifold(
     df: DataFrame, configs: list[dict], id_col: str = "vec_id", vec_col: str = "embedding", epochs: int = 200
 ) -> DataFrame:
-    """(config, id, vec) for each of configs {n_neighbors, min_dist, n_components, metric, seed, spread}.
+    """(config, id, vec) for each of configs {n_neighbors, min_dist, n_components, metric, seed, spread, init}.
 
     Neighbours and memberships are shared by configurations of equal n_neighbors and metric; layouts run side by side, one task each.
     """
@@ -198,7 +238,7 @@ def manifold(
         order = np.lexsort((dst, src))
         src, dst, weight = src[order], dst[order], table.column("weight").to_numpy()[order]
         ids = np.unique(np.concatenate([src, dst]))
-        y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0))
+        y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0), c.get("init", "spectral"))
         return pa.table({"config": np.full(len(ids), number, np.int32), id_col: ids, "vec": pa.array(y.tolist(), pa.list_(pa.float64()))})
 
     return out.groupBy("config").applyInArrow(fit, f"config int, {id_col} long, vec array<double>")

@@ -135,6 +135,8 @@ def objects(mask: DataFrame, value: bool = True, max_rounds: int = 200) -> DataF
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError("objects did not settle")
     size = labels.groupBy("image_id", "object").agg(F.count("*").alias("size"))
     return px.join(labels.join(size, ["image_id", "object"]), ["image_id", "id"]).select("image_id", "y", "x", "object", "size")
 
@@ -193,6 +195,13 @@ def filled(polygons: DataFrame, width: int, height: int, dx: Column | int = 0, d
     return spans.select("polygon_id", "y", F.explode(F.sequence("f", "l")).alias("x"))
 
 
+def black_outside(pixels: DataFrame, polygons: DataFrame, width: int, height: int, value: str = "v") -> DataFrame:
+    """(slide_id, polygon_id, y, x, value): a slide's pixels (slide_id, y, x, value) once for each of its polygons, 0 outside it."""
+    inside = filled(polygons, width, height).withColumn("_in", F.lit(True))
+    every = pixels.join(polygons.select("slide_id", "polygon_id"), "slide_id").join(inside, ["polygon_id", "y", "x"], "left")
+    return every.select("slide_id", "polygon_id", "y", "x", F.when(F.col("_in"), F.col(value)).otherwise(0).alias(value))
+
+
 def tile_grid(slides: DataFrame, patch: int, stride: int) -> DataFrame:
     """(slide_id, my, mx, sx, sy): windows over a mask of (mask_h, mask_w) at scale ds, with slide coordinates rounded half to even."""
     m = F.ceil(F.lit(patch) / F.col("ds")).cast("int")

@@ -192,6 +192,25 @@ def split_items(items: DataFrame, key: str, train: float, valid: float, seed: in
     counts = [math.floor(w) for w in wanted]
     for i in sorted(range(3), key=lambda i: -(wanted[i] - counts[i]))[: n - sum(counts)]:
         counts[i] += 1
-    at = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
     split = F.when(F.col("at") <= counts[0], "train").when(F.col("at") <= counts[0] + counts[1], "valid").otherwise("test")
-    return items.withColumn("at", at).select(key, split.alias("split"))
+    return seeded_order(items, key, seed).select(key, split.alias("split"))
+
+
+def seeded_order(items: DataFrame, key: str, seed: int, bins: int | None = None) -> DataFrame:
+    """items with their place (at, from 1) in the order of md5(seed:key), key.
+
+    Places are ranks within ranges of the hash plus the counts of the ranges before, so no task orders all items; ranges
+    follow the number of items.
+    """
+    bins = bins or max(16, items.count() // 50_000)
+    rows = items.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    rows = rows.withColumn("_bin", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2.0**32 * bins).cast("long"))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    counts = rows.groupBy("_bin").count().select("_bin", before.alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy("_hash", key))
+    return rows.join(counts, "_bin").withColumn("at", place).drop("_hash", "_bin", "_before")
+
+
+def batched(items: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
+    """items with their batch: the seeded order cut into batches of a size."""
+    return seeded_order(items, key, seed).withColumn("batch", F.floor((F.col("at") - 1) / size)).drop("at")

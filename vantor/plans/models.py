@@ -11,6 +11,8 @@ from ..operators import projection as P
 from . import search as H
 from .queries import emb, query, rounded
 
+#: Seeds of a stability search.
+SEEDS = list(range(1, 16))
 LAYOUT = {"n_neighbors": 15, "min_dist": 0.1, "n_components": 2, "seed": 42}
 
 
@@ -19,8 +21,8 @@ def reduced(spark, sf) -> DataFrame:
 
 
 def small(spark, sf) -> DataFrame:
-    """Two components, for the models that are fitted in low dimension."""
-    return reduced(spark, sf).select("vec_id", F.slice("vec", 1, 4).alias("vec"))
+    """The whole reduced vectors: all components that explain 95 % of the variance."""
+    return reduced(spark, sf)
 
 
 @query("x2_principal_components")
@@ -88,12 +90,12 @@ def mixture_search(spark, sf):
 
 @query("x12_community_search")
 def community_search(spark, sf):
-    return H.search_communities(small(spark, sf), (10,), (0.5, 1.0), bounds=(1, 1000), min_size=1)
+    return H.search_communities(small(spark, sf), (10, 15), (0.5, 1.0), bounds=(2, 40), min_size=5)
 
 
 @query("x13_seed_stability")
 def seed_stability(spark, sf):
-    return H.evaluate_density_config(emb(spark, sf), {"n_neighbors": 15, "min_dist": 0.0, "n_components": 2}, [11, 22, 33], 10, 5, epochs=30, vec_col="embedding", bounds=(1, 100), max_noise=1.0)
+    return H.evaluate_density_config(emb(spark, sf), {"n_neighbors": 15, "min_dist": 0.0, "n_components": 2}, SEEDS, 10, 5, epochs=30, vec_col="embedding")
 
 
 @query("x15_pipeline_comparison")

@@ -9,50 +9,50 @@ from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import raster as R
 from ..operators import selection as S
+from ..operators import tables as T
+from ..operators.durable import scratch
 from ..sources import files
 from . import fixtures as X
 from . import search as H
-from .models import small
-from .queries import ARI_, MEM_, PIX_, POLY_, SIL_, emb, given, members, pixels, polygons, query, rounded, table
+from .models import SEEDS, small
+from .queries import ARI_, MEM_, ORACLES, PIX_, SIL_, emb, given, members, pixels, polygons, query, rounded
 
 
 @query("sk2_clustered_table", "SELECT vec_id AS index, 'img_' || vec_id || '.png' AS image_path, label AS leiden_cluster FROM embeddings")
 def clustered_table(spark, sf):
-    """Metadata with its label column; rows of one side alone would be an error at the sink."""
+    """Metadata with its label column, written and read back; rows of one side alone are an error of the sink."""
     e = emb(spark, sf)
-    meta = e.select(F.col("vec_id").alias("index"), F.concat(F.lit("img_"), "vec_id", F.lit(".png")).alias("image_path"))
-    return meta.join(e.select(F.col("vec_id").alias("index"), F.col("label").alias("leiden_cluster")), "index")
+    folder = scratch(spark, "clustered")
+    files.write_clustered(e.select(F.col("vec_id").alias("index"), T.image_name().alias("image_path")), e, folder)
+    return spark.read.schema("index long, image_path string, leiden_cluster int").csv(folder, header=True)
 
 
 @query("d3_alignment", "SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 10 = 0) AS n_unmatched FROM embeddings")
 def alignment(spark, sf):
     """Both sides of the positional pair as a full join on the id: what has no partner is counted."""
     e = emb(spark, sf)
-    other = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("index"))
-    both = e.join(other, e.vec_id == other.index, "full")
-    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("vec_id").isNull() | F.col("index").isNull()).alias("n_unmatched"))
+    return T.aligned(e, e.where("vec_id % 10 <> 0"), "vec_id", "vec_id")
 
 
 @query("j3_lookup", "SELECT e.vec_id, e.label, n.n FROM embeddings e JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) n ON e.label = n.label")
 def lookup(spark, sf):
     """A mandatory lookup: keys without an entry fail the query."""
     e = emb(spark, sf).select("vec_id", "label")
-    found = e.join(F.broadcast(e.groupBy("label").agg(F.count("*").alias("n"))), "label", "left")
-    return found.select("vec_id", "label", F.when(F.col("n").isNull(), F.raise_error(F.lit("no entry")).cast("long")).otherwise(F.col("n")).alias("n"))
+    return T.lookup(e, T.value_counts(e, "label"), "label", "n").select("vec_id", "label", "n")
 
 
 @query("j4_existing_pairs", "SELECT vec_id, vec_id % 4 <> 1 AS has_annotation FROM embeddings")
 def existing_pairs(spark, sf):
     e = emb(spark, sf).select("vec_id")
-    known = e.where("vec_id % 4 <> 1")
-    return e.join(known, "vec_id", "left_semi").withColumn("has_annotation", F.lit(True)).unionByName(e.join(known, "vec_id", "left_anti").withColumn("has_annotation", F.lit(False)))
+    return T.marked_existing(e, e.where("vec_id % 4 <> 1"), "vec_id", "has_annotation")
 
 
 @query("sc8_mask_join", "WITH " + PIX_ + " SELECT image_id, count(*) AS n_pixels, count(*) FILTER (v > 3) AS n_tissue FROM px GROUP BY image_id")
 def mask_join(spark, sf):
-    px = pixels(spark, sf)
-    mask = px.where("v > 3").select("image_id", "y", "x", F.lit(True).alias("m"))
-    return px.join(mask, ["image_id", "y", "x"], "left").groupBy("image_id").agg(F.count("*").alias("n_pixels"), F.count_if("m").alias("n_tissue"))
+    """Masks written as .npy files, read back, and joined to their images' pixels."""
+    px, folder = pixels(spark, sf), scratch(spark, "masks")
+    files.write_mask(px.withColumn("m", F.col("v") > 3), folder, 24, 32)
+    return T.joined_mask(px, files.read_masks(spark, folder).withColumn("image_id", F.col("image_id").cast("int")))
 
 
 @query("a13_entropy", "WITH " + MEM_ + " SELECT vec_id, round(-(p0 * ln(p0 + 1e-12) + p1 * ln(p1 + 1e-12) + p2 * ln(p2 + 1e-12)) / ln(3), 6) AS entropy FROM m")
@@ -73,9 +73,7 @@ def overlaps(spark, sf):
 
 @query("so3_noise_sets", "WITH r AS (" + X.RUNS + ") SELECT count(*) FILTER (a.label = -1 AND b.label = -1) AS both_noise, count(*) FILTER (a.label = -1 OR b.label = -1) AS any_noise FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.seed = 1 AND b.seed = 2")
 def noise_sets(spark, sf):
-    r = given(spark, sf, X.RUNS)
-    a, b = (r.where(F.col("seed") == s).select("vec_id", (F.col("label") == -1).alias(n)) for s, n in ((1, "a"), (2, "b")))
-    return a.join(b, "vec_id").agg(F.count_if(F.col("a") & F.col("b")).alias("both_noise"), F.count_if(F.col("a") | F.col("b")).alias("any_noise"))
+    return T.noise_sets(given(spark, sf, X.RUNS), 1, 2)
 
 
 @query("so4_distinct_sizes", "SELECT unnest([5, 10, 15]) AS k")
@@ -85,36 +83,34 @@ def distinct_sizes(spark, sf):
 
 @query("so6_ordered_distinct", "WITH t AS (SELECT id, id * id % 7 AS target FROM range(20) t(id)) SELECT target, min(id) AS first FROM t GROUP BY target")
 def ordered_distinct(spark, sf):
-    return spark.range(20).select("id", (F.col("id") * F.col("id") % 7).alias("target")).groupBy("target").agg(F.min("id").alias("first"))
+    return T.first_of_each(spark.range(20).select("id", (F.col("id") * F.col("id") % 7).alias("target")), "target", "id")
 
 
-@query("t4_recovery_order", "SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC NULLS LAST, label) AS INTEGER) AS place FROM embeddings GROUP BY label")
+@query("t4_recovery_order", ORACLES["m15_cluster_recovery"].replace("SELECT cluster, cluster_size, round(avg(j), 6) AS mean_jaccard", "SELECT cluster, CAST(row_number() OVER (ORDER BY avg(j) DESC NULLS LAST, cluster) AS INTEGER) AS place, round(avg(j), 6) AS mean_jaccard").split(", round(stddev_pop")[0] + " FROM f GROUP BY cluster, cluster_size")
 def recovery_order(spark, sf):
-    n = emb(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
-    return n.select("label", F.row_number().over(Window.orderBy(F.col("n").desc_nulls_last(), "label")).alias("place"))
+    r = M.recovery_order(M.cluster_recovery(given(spark, sf, X.RUNS), 1))
+    return rounded(r.select("cluster", "place", "mean_jaccard"), "mean_jaccard")
 
 
-@query("t12_noise_last", "SELECT DISTINCT label, CAST(dense_rank() OVER (ORDER BY label = -1, label) AS INTEGER) AS place FROM (" + X.RUNS + ") WHERE seed = 3")
+@query("t12_noise_last", "SELECT DISTINCT label, CAST(dense_rank() OVER (ORDER BY label = -1, label) AS INTEGER) AS place FROM (" + X.RUNS + ")")
 def noise_last(spark, sf):
-    d = given(spark, sf, X.RUNS).where("seed = 3").select("label").distinct()
-    return d.select("label", F.dense_rank().over(Window.orderBy(F.col("label") == -1, "label")).alias("place"))
+    return T.noise_last(given(spark, sf, X.RUNS))
 
 
 @query("pf12_missing_scores", f"SELECT count(*) FILTER (dbcv IS NULL) AS n_missing, count(*) FILTER (dbcv IS NOT NULL) AS n_there FROM ({X.RUN_RECORDS})")
 def missing_scores(spark, sf):
-    return given(spark, sf, X.RUN_RECORDS).agg(F.count_if(F.col("dbcv").isNull()).alias("n_missing"), F.count_if(F.col("dbcv").isNotNull()).alias("n_there"))
+    return T.presence(given(spark, sf, X.RUN_RECORDS), "dbcv")
 
 
 @query("pf11_columns_that_exist", "SELECT vec_id, label FROM embeddings")
 def columns_that_exist(spark, sf):
-    e = emb(spark, sf)
-    return e.select(*[c for c in ("vec_id", "probability", "label", "outlier") if c in e.columns])
+    return T.existing_columns(emb(spark, sf), ("vec_id", "probability", "label", "outlier"))
 
 
 @query("x16_cluster_bounds", "SELECT CAST(least(12, greatest(4, ceil(log2(count(*))))) AS INTEGER) AS most, CAST(round_even(least(12, greatest(4, ceil(log2(count(*))))) / 2, 0) + 1 AS INTEGER) AS least FROM embeddings")
 def cluster_bounds(spark, sf):
-    most = F.least(F.lit(12), F.greatest(F.lit(4), F.ceil(F.log2(F.count("*").cast("double"))))).cast("int")
-    return emb(spark, sf).agg(most.alias("most")).select("most", (F.rint(F.col("most") / 2) + 1).cast("int").alias("least"))
+    least, most = H.cluster_bounds(emb(spark, sf).count())
+    return spark.createDataFrame([(most, least)], "most int, least int")
 
 
 @query("m9_mixture_report", "WITH " + SIL_ + ", " + MEM_.replace("m AS", "mem AS", 1) + " SELECT count(*) AS n_samples, count(DISTINCT label) AS n_clusters, round((SELECT avg(s) FROM sil), 6) + 0.0 AS silhouette, round((SELECT avg(greatest(p0, p1, p2)) FROM mem), 6) AS mean_max FROM e")
@@ -125,36 +121,92 @@ def mixture_report(spark, sf):
     return rounded(n.crossJoin(s).crossJoin(S.confidence(members(spark, sf)).select("mean_max")), "silhouette", "mean_max")
 
 
-@query("r9_black_outside", "WITH " + PIX_ + ", " + POLY_ + ", b AS (SELECT CAST(ceil(min(x)) AS INTEGER) AS x0, CAST(floor(max(x)) AS INTEGER) AS x1 FROM v WHERE polygon_id = 2) SELECT image_id, y, px.x, CASE WHEN px.x BETWEEN x0 AND x1 THEN v ELSE 0 END AS v FROM px, b WHERE image_id = 1")
+@query("r9_black_outside", ORACLES["r6_polygon_fill"].replace("WITH ", "WITH " + PIX_ + ", ").replace("SELECT polygon_id, g.y, g.x FROM g JOIN", "ins AS (SELECT polygon_id, g.y, g.x FROM g JOIN", 1).replace("CROSS JOIN range(32) b(x))", "CROSS JOIN range(32) b(x)),", 1) + ") SELECT px.image_id, p.polygon_id, px.y, px.x, CASE WHEN ins.y IS NULL THEN 0 ELSE v END AS v FROM px JOIN (SELECT DISTINCT slide_id, polygon_id FROM v) p ON p.slide_id = px.image_id LEFT JOIN ins ON ins.polygon_id = p.polygon_id AND ins.y = px.y AND ins.x = px.x")
 def black_outside(spark, sf):
-    box = R.bounding_box(polygons(spark, sf).where("polygon_id = 2").withColumns({"w": F.lit(32), "h": F.lit(24)}), 0, "w", "h").select("x0", "x1")
-    px = pixels(spark, sf).where("image_id = 1").crossJoin(F.broadcast(box))
-    return px.select("image_id", "y", "x", F.when(F.col("x").between(F.col("x0"), F.col("x1")), F.col("v")).otherwise(0).alias("v"))
+    """Every image's pixels once per polygon of its slide, black outside it."""
+    p = polygons(spark, sf)
+    return R.black_outside(pixels(spark, sf).withColumnRenamed("image_id", "slide_id"), p, 32, 24).select(F.col("slide_id").alias("image_id"), "polygon_id", "y", "x", "v")
 
 
 @query("r1_tissue_mask")
 def tissue_mask(spark, sf):
-    return R.tissue_mask(pixels(spark, sf).where("image_id = 0"), 10, 10)
+    return R.tissue_mask(pixels(spark, sf), 10, 10)
 
 
 @query("r10_normalised_crops")
 def normalised_crops(spark, sf):
-    inside = R.filled(polygons(spark, sf).where("slide_id = 1"), 32, 24).select(F.col("polygon_id").alias("image_id"), "y", "x")
-    return R.normalised_crops(pixels(spark, sf), inside, [68, 10, 6], [16, 7, 7])
+    """A crop per polygon of each slide, moved to the target colours by the pixels inside the polygon."""
+    p = polygons(spark, sf)
+    inside = R.filled(p, 32, 24).select(F.col("polygon_id").alias("image_id"), "y", "x")
+    crops = pixels(spark, sf).withColumnRenamed("image_id", "slide_id").join(p.select("slide_id", "polygon_id"), "slide_id").withColumn("image_id", F.col("polygon_id")).drop("slide_id", "polygon_id")
+    return R.normalised_crops(crops, inside, [68, 10, 6], [16, 7, 7])
 
 
-@query("sc4_image_listing")
+@query("sc4_image_listing", "SELECT stem, suffix FROM (VALUES ('a', 'png'), ('b', 'jpg'), ('c', 'jpeg'), ('d', 'tif'), ('e', 'tiff')) t(stem, suffix)")
 def image_listing(spark, sf):
-    """The table's own files, listed as images are."""
-    return files.list_files(spark, sf, ("parquet",)).select("name", "stem", "suffix")
+    """Images by suffix, in any case; other files are left out."""
+    folder = files.put_texts(spark, scratch(spark, "images"), {n: "x" for n in ("a.png", "b.JPG", "c.jpeg", "d.TIF", "e.tiff", "f.npy", "png")})
+    return files.list_files(spark, folder).select("stem", "suffix")
+
+
+@query("sc9_cached_json", "SELECT slide, total, 1::BIGINT AS made FROM (VALUES ('s1', 3.5::DOUBLE), ('s2', 4.0::DOUBLE)) t(slide, total)")
+def cached_json(spark, sf):
+    """The second read finds what the first has written, and makes nothing."""
+    path, made = scratch(spark, "stats"), []
+    make = lambda: made.append(1) or spark.createDataFrame([("s1", 3.5), ("s2", 4.0)], "slide string, total double")
+    files.cached_json(spark, path, make)
+    return files.cached_json(spark, path, make).select("slide", "total").withColumn("made", F.lit(len(made)).cast("long"))
+
+
+@query("sk6_splits", ORACLES["r17_split"])
+def splits(spark, sf):
+    """The split table through its JSON sink."""
+    return files.cached_json(spark, scratch(spark, "splits"), lambda: S.split_items(emb(spark, sf), "vec_id", 0.7, 0.15)).select("vec_id", "split")
+
+
+@query("sk8_coordinate_pairs", "SELECT vec_id, a, b, round(CAST(embedding[a + 1] AS DOUBLE), 6) + 0.0 AS x, round(CAST(embedding[b + 1] AS DOUBLE), 6) + 0.0 AS y, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS colour FROM embeddings CROSS JOIN (VALUES (0, 1), (1, 2)) p(a, b)")
+def coordinate_pairs(spark, sf):
+    return rounded(T.coordinate_pairs(emb(spark, sf), vec_col="embedding"), "x", "y")
+
+
+@query("sk9_scatter", "WITH r AS (" + X.RUNS + ") SELECT e.vec_id, r.seed, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS y, round(CAST(embedding[3] AS DOUBLE), 6) + 0.0 AS z, r.label, r.label = -1 AS noise FROM embeddings e JOIN r ON r.vec_id = e.vec_id")
+def scatter(spark, sf):
+    rows = given(spark, sf, X.RUNS).join(emb(spark, sf).select("vec_id", F.col("embedding").alias("vec")), "vec_id").withColumn("key", F.struct("vec_id", "seed"))
+    return rounded(T.scatter(rows, 3, id_col="key").select("key.*", "x", "y", "z", "label", "noise"), "x", "y", "z")
+
+
+@query("sk9b_image_grid", "SELECT 'img_' || vec_id || '.png' AS image_path, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 5 AS INTEGER) AS row, CAST((row_number() OVER (ORDER BY vec_id) - 1) % 5 AS INTEGER) AS col, CASE WHEN vec_id % 3 = 0 THEN 'missing' ELSE 'ok' END AS status FROM embeddings WHERE vec_id < 20")
+def image_grid(spark, sf):
+    """The first images in a grid of five; files that are not there keep their cell."""
+    e = emb(spark, sf).select(T.image_name().alias("image_path"), "vec_id")
+    return T.image_grid(e.where("vec_id < 20"), e.where("vec_id % 3 <> 0").select(F.col("image_path").alias("path")), order="vec_id")
+
+
+@query("t11_cluster_pages", "WITH " + MEM_ + ", r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY strength DESC, vec_id) - 1 AS k FROM m WHERE label <> -1) SELECT label, vec_id, CAST(k // 25 AS INTEGER) AS page, CAST(k % 25 // 5 AS INTEGER) AS row, CAST(k % 25 % 5 AS INTEGER) AS col FROM r")
+def cluster_pages(spark, sf):
+    return T.cluster_pages(members(spark, sf))
+
+
+@query("a19_warnings", "SELECT 'noise' AS warning, count(*) FILTER (label = -1) AS n FROM (" + X.RUNS + ") UNION ALL SELECT 'no label', count(*) FILTER (label IS NULL) FROM (" + X.RUNS + ")")
+def warnings(spark, sf):
+    return T.tally(given(spark, sf, X.RUNS), **{"noise": F.col("label") == -1, "no label": F.col("label").isNull()})
+
+
+@query("pf9_vector_faults", "SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS n_null, count(*) FILTER (len(embedding) <> (SELECT max(len(embedding)) FROM embeddings) OR vec_id % 50 = 1) AS n_length, count(*) FILTER (vec_id % 50 = 2) AS n_not_finite FROM embeddings")
+def vector_faults(spark, sf):
+    """Planted faults: vectors cut short and vectors with a component that is no number."""
+    e = emb(spark, sf)
+    v = F.when(F.col("vec_id") % 50 == 1, F.slice("embedding", 1, 3)).when(F.col("vec_id") % 50 == 2, F.transform("embedding", lambda x, k: F.when(k == 0, float("nan")).otherwise(x))).otherwise(F.col("embedding"))
+    return T.vector_faults(T.validated(e).withColumn("embedding", v))
+
+
+@query("so5_voting_weights", "SELECT metric, round(w / 1.2, 6)::DOUBLE AS weight FROM (VALUES ('trustworthiness', 0.5), ('continuity', 0.3), ('qnn', 0.2), ('lcmc', 0.1), ('auc_lcmc', 0.1)) t(metric, w)")
+def voting_weights(spark, sf):
+    """An override of one weight, normalised with the defaults to sum 1."""
+    return rounded(spark.createDataFrame(list(S.voting_weights({"trustworthiness": 0.5}).items()), "metric string, weight double"), "weight")
 
 
 @query("x14_density_search")
 def density_search(spark, sf):
     space = H.combos(n_neighbors=[15], n_components=[2], min_dist=[0.0], min_cluster_size=[10, 15], min_samples=[5])
-    return H.search_density(small(spark, sf), space, [11, 22], epochs=30, bounds=(1, 100), max_noise=1.0, min_common=0.0, min_modal=0.0, min_valid=0.0)[0]
-
-
-@query("label_agreement_of_columns", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
-def label_agreement(spark, sf):
-    return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return H.search_density(small(spark, sf), space, SEEDS, epochs=30)[0]

@@ -13,6 +13,9 @@ from ..operators import neighbors as N
 from ..operators import projection as P
 from ..operators import raster as R
 from ..operators import selection as S
+from ..operators import tables as T
+from ..operators.durable import scratch
+from ..sources import files
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,72 +66,63 @@ def embedding_scan(spark, sf):
     return emb(spark, sf).select("vec_id", "label", F.size("embedding").alias("dims"), F.round(F.col("embedding")[0], 9).alias("first"))
 
 
-@query("sc1_npy_round_trip", "WITH " + LONG_ + " SELECT vec_id AS index, round(sum(x), 6) AS total FROM l GROUP BY vec_id")
+@query("sc1_npy_round_trip", "WITH " + LONG_ + " SELECT 'img_' || vec_id || '.png' AS image_path, round(sum(x), 5) + 0.0 AS total FROM l GROUP BY vec_id")
 def npy_round_trip(spark, sf):
-    """The scan of .npy matrices, over one that is written per block of rows."""
-    from ..sources.files import npy_header
-    import numpy as np
-    import pyarrow as pa
-
-    from ..sources.files import npy_bytes
-
-    def through(batches):
-        for b in batches:
-            data = npy_bytes(np.array(b.column(1).to_pylist()))
-            kind, order, shape, at = npy_header(data)
-            x = np.frombuffer(data, kind, offset=at).reshape(shape, order="F" if order else "C")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.sum(1))], ["index", "total"])
-
-    return rounded(emb(spark, sf).select("vec_id", "embedding").mapInArrow(through, "index long, total double"), "total")
+    """The sink's matrices and tables, written per partition, read back and paired by file and row."""
+    folder = scratch(spark, "npy")
+    files.write_npy(emb(spark, sf).withColumn("image_path", T.image_name()), folder, files.embedding_stem("model", 224, "patch"))
+    rows = files.read_npy(spark, folder).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    w = Window.partitionBy("stem").orderBy("index")
+    meta = files.read_metadata(spark, folder + "/*.csv").withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    meta = meta.withColumn("row_no", F.row_number().over(w) - 1)
+    both = rows.join(meta.select("stem", F.col("row_no").alias("index"), "image_path"), ["stem", "index"])
+    return rounded(both.select("image_path", V.total(F.col("row")).alias("total")), "total", n=5)
 
 
 @query("sc2_metadata", "SELECT vec_id AS index, CASE WHEN vec_id % 3 = 0 THEN '/abs/img_' || vec_id || '.png' ELSE '/data/img_' || vec_id || '.png' END AS image_path FROM embeddings")
 def metadata(spark, sf):
-    from ..sources.files import resolved
+    """A CSV table read by its declared schema, its paths taken under a base."""
+    folder = scratch(spark, "csv")
+    raw = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("/abs/"), T.image_name())).otherwise(T.image_name())
+    emb(spark, sf).select(F.col("vec_id").alias("index"), raw.alias("image_path")).write.csv(folder, header=True)
+    return files.read_metadata(spark, folder).select("index", files.resolved(F.col("image_path"), "/data").alias("image_path"))
 
-    raw = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("/abs/img_"), "vec_id", F.lit(".png"))).otherwise(F.concat(F.lit("img_"), "vec_id", F.lit(".png")))
-    return emb(spark, sf).select(F.col("vec_id").alias("index"), resolved(raw, "/data").alias("image_path"))
+
+@query("sc3_sorted_listing", "SELECT name, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS place FROM (VALUES ('a_embeddings'), ('b_embeddings'), ('c')) t(name)")
+def sorted_listing(spark, sf):
+    """The .npy and PNG files of a folder (suffix in any case, nothing else), in order."""
+    folder = files.put_texts(spark, scratch(spark, "list"), {"b_embeddings.npy": "x", "a_embeddings.npy": "x", "c.PNG": "x", "d.txt": "x"})
+    return T.placed(files.list_files(spark, folder, ("npy", "png")), "stem").select(F.col("stem").alias("name"), "place")
 
 
 @query("a1_feature_deviation", "WITH " + LONG_ + ", s AS (SELECT pos, stddev_pop(x) AS s FROM l GROUP BY pos) SELECT round(avg(s), 6) AS mean, round(min(s), 6) AS min, round(max(s), 6) AS max, count(*) FILTER (s < 1e-6) AS dead6, count(*) FILTER (s < 1e-4) AS dead4, count(*) FILTER (s < 1e-3) AS dead3 FROM s")
 def feature_deviation(spark, sf):
-    s = feature_std(emb(spark, sf)).agg(F.avg("s").alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"), *[F.count_if(F.col("s") < 10.0**-k).alias(f"dead{k}") for k in (6, 4, 3)])
-    return rounded(s, "mean", "min", "max")
-
-
-def feature_std(df: DataFrame) -> DataFrame:
-    return df.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.stddev_pop("x").alias("s"))
+    return rounded(T.deviation_summary(T.feature_deviation(emb(spark, sf))), "mean", "min", "max")
 
 
 @query("a2_deviation_histogram", "WITH " + LONG_ + ", s AS (SELECT pos, round(stddev_pop(x), 9) AS s FROM l GROUP BY pos), m AS (SELECT min(s) AS lo, (max(s) - min(s)) / 50 AS w FROM s) SELECT CAST(least(floor((s - lo) / w), 49) AS INTEGER) AS bin, count(*) AS n FROM s, m GROUP BY 1")
 def deviation_histogram(spark, sf):
-    s = feature_std(emb(spark, sf)).select(F.round("s", 9).alias("s"))
-    m = s.agg(F.min("s").alias("lo"), ((F.max("s") - F.min("s")) / 50).alias("w"))
-    return s.crossJoin(F.broadcast(m)).groupBy(F.least(F.floor((F.col("s") - F.col("lo")) / F.col("w")), F.lit(49)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return T.histogram(T.feature_deviation(emb(spark, sf)).select(F.round("s", 9).alias("s")), "s")
 
 
 @query("a3_cluster_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def cluster_counts(spark, sf):
-    return emb(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+    return T.value_counts(emb(spark, sf), "label")
 
 
 @query("a7_cluster_size_stats", "WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS n_clusters, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size, CAST(median(n) AS DOUBLE) AS median_size FROM s")
 def cluster_size_stats(spark, sf):
-    n = F.col("n")
-    out = cluster_counts(spark, sf).agg(F.sum(n).alias("n_samples"), F.count("*").alias("n_clusters"), F.min(n).alias("min_size"), F.max(n).alias("max_size"), F.avg(n).alias("mean_size"), F.median(n).alias("median_size"))
-    return rounded(out, "mean_size")
+    return rounded(T.size_stats(cluster_counts(spark, sf)), "mean_size")
 
 
 @query("a8_cluster_size_map", "SELECT label, count(*) AS size FROM embeddings GROUP BY label")
 def cluster_size_map(spark, sf):
-    one = cluster_counts(spark, sf).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("m"))
-    return one.select(F.explode("m").alias("label", "size"))
+    return T.size_map(cluster_counts(spark, sf)).select(F.explode("sizes").alias("label", "size"))
 
 
-@query("x1_standardize", "WITH " + LONG_ + ", s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY pos) SELECT vec_id, CAST(l.pos AS INTEGER) AS pos, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) + 0.0 AS z FROM l JOIN s ON l.pos = s.pos WHERE l.pos < 4")
+@query("x1_standardize", "WITH " + LONG_ + ", s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY pos) SELECT vec_id, CAST(l.pos AS INTEGER) AS pos, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) + 0.0 AS z FROM l JOIN s ON l.pos = s.pos")
 def standardize(spark, sf):
-    z = P.standardized(emb(spark, sf)).select("vec_id", F.posexplode(F.slice("vec", 1, 4)).alias("pos", "z"))
-    return rounded(z, "z")
+    return rounded(P.standardized(emb(spark, sf)).select("vec_id", F.posexplode("vec").alias("pos", "z")), "z")
 
 
 @query("x2_covariance", "WITH " + LONG_ + " SELECT CAST(a.pos AS INTEGER) AS a, CAST(b.pos AS INTEGER) AS b, round(covar_pop(a.x, b.x), 9) + 0.0 AS cov FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY 1, 2")
@@ -139,19 +133,12 @@ def covariance(spark, sf):
 @query("w8_cumulative_variance", "WITH " + LONG_ + ", s AS (SELECT pos, var_pop(x) AS v FROM l GROUP BY pos), r AS (SELECT pos, v, row_number() OVER (ORDER BY v DESC, pos) AS k FROM s), c AS (SELECT k, sum(v) OVER (ORDER BY k) / sum(v) OVER () AS cum FROM r) SELECT CAST(min(k) AS INTEGER) AS k, round(min(cum), 6) AS cum FROM c WHERE cum > 0.95")
 def cumulative_variance(spark, sf):
     v = emb(spark, sf).select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("v"))
-    w = Window.orderBy(F.desc("v"), "pos")
-    c = v.select(F.row_number().over(w).alias("k"), (F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("v").over(Window.partitionBy())).alias("cum"))
-    return rounded(c.where("cum > 0.95").agg(F.min("k").alias("k"), F.min("cum").alias("cum")), "cum")
+    return rounded(T.components_for(v, 0.95), "cum")
 
 
 @query("t6_most_variable_feature", "WITH " + LONG_ + ", s AS (SELECT pos, round(stddev_pop(x), 9) AS s FROM l GROUP BY pos), p AS (SELECT pos FROM s ORDER BY s DESC, pos LIMIT 1), v AS (SELECT vec_id, x FROM l JOIN p USING (pos)), r AS (SELECT *, row_number() OVER (ORDER BY x, vec_id) AS lo, row_number() OVER (ORDER BY x DESC, vec_id) AS hi FROM v) SELECT vec_id, round(x, 6) + 0.0 AS value, 'low' AS side, CAST(lo AS INTEGER) AS place FROM r WHERE lo <= 10 UNION ALL SELECT vec_id, round(x, 6) + 0.0, 'high', CAST(hi AS INTEGER) FROM r WHERE hi <= 10")
 def most_variable_feature(spark, sf):
-    e = emb(spark, sf)
-    best = feature_std(e).agg(F.min_by("pos", F.struct(-F.round("s", 9), "pos")).alias("pos"))
-    v = e.crossJoin(F.broadcast(best)).select("vec_id", F.element_at("embedding", F.col("pos") + 1).alias("x"))
-    low = v.orderBy("x", "vec_id").limit(10).select("vec_id", "x", F.lit("low").alias("side"), F.row_number().over(Window.orderBy("x", "vec_id")).alias("place"))
-    high = v.orderBy(F.desc("x"), "vec_id").limit(10).select("vec_id", "x", F.lit("high").alias("side"), F.row_number().over(Window.orderBy(F.desc("x"), "vec_id")).alias("place"))
-    return rounded(low.unionByName(high).withColumnRenamed("x", "value"), "value")
+    return rounded(T.most_variable(emb(spark, sf)), "value")
 
 
 # Neighbours
@@ -182,18 +169,13 @@ def cosine_neighbors(spark, sf):
 
 @query("t9_neighbors_of_one", "WITH " + COS_ + " SELECT j, 'img_' || j || '.png' AS image_path, CAST(rank AS INTEGER) AS rank FROM r WHERE i = 7 AND rank <= 6")
 def neighbors_of_one(spark, sf):
-    e = emb(spark, sf)
-    one = e.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    d = e.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("j"), F.round(V.cosine_distance(F.col("q"), F.col("embedding")), 9).alias("dist"))
-    w = Window.orderBy("dist", "j")
-    return d.orderBy("dist", "j").limit(6).select("j", F.concat(F.lit("img_"), "j", F.lit(".png")).alias("image_path"), F.row_number().over(w).alias("rank"))
+    return T.neighbors_of(emb(spark, sf), 7, 6).select("j", T.image_name("j").alias("image_path"), "rank")
 
 
 @query("t10_nearest_point", "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), d AS (SELECT vec_id, round(sqrt(pow(x - 0.05, 2) + pow(y + 0.02, 2)), 9) AS dist FROM p ORDER BY 2, 1 LIMIT 1) SELECT vec_id, dist FROM d WHERE dist <= 0.5")
 def nearest_point(spark, sf):
-    x, y = F.col("embedding")[0], F.col("embedding")[1]
-    d = emb(spark, sf).select("vec_id", F.round(F.sqrt(F.pow(x - 0.05, F.lit(2)) + F.pow(y + 0.02, F.lit(2))), 9).alias("dist"))
-    return d.orderBy("dist", "vec_id").limit(1).where("dist <= 0.5")
+    e = emb(spark, sf).select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return T.nearest_points(e, 0.05, -0.02, within=0.5)
 
 
 RANKS_ = E_ + """, lo AS (SELECT vec_id, v[1:8] AS v FROM e),
@@ -227,8 +209,7 @@ def pair_ranks(spark, sf):
 def shared_neighbors(spark, sf):
     """Set intersection and difference of the neighbours in two spaces."""
     e = emb(spark, sf)
-    a, b = (N.knn(d, 10).groupBy("i").agg(F.collect_set("j").alias(c)) for d, c in ((e, "a"), (low_dim(e), "b")))
-    return a.join(b, "i").select("i", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.size(F.array_except("a", "b")).cast("long").alias("lost"))
+    return T.shared_neighbors(N.knn(e, 10), N.knn(low_dim(e), 10))
 
 
 EDGES_ = D_ + """, r AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d WHERE i <> j), k AS (SELECT * FROM r WHERE rank <= 15),
@@ -271,10 +252,7 @@ def core_distance(spark, sf):
     "WITH " + D_ + ", r AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d WHERE i <> j), c AS (SELECT i, dist AS core FROM r WHERE rank = 5) SELECT r.i, r.j, greatest(r.dist, a.core, b.core) AS reach FROM r JOIN c a ON r.i = a.i JOIN c b ON r.j = b.i WHERE r.rank <= 8",
 )
 def mutual_reachability(spark, sf):
-    near = N.knn(emb(spark, sf), 8).persist()
-    core = near.where("rank = 5").select(F.col("i").alias("c"), F.col("dist").alias("core"))
-    a, b = core.select(F.col("c").alias("i"), F.col("core").alias("ca")), core.select(F.col("c").alias("j"), F.col("core").alias("cb"))
-    return near.join(a, "i").join(b, "j").select("i", "j", F.greatest("dist", "ca", "cb").alias("reach"))
+    return T.reachability(N.knn(emb(spark, sf), 8), 5)
 
 
 # Compactness of a partition
@@ -310,13 +288,14 @@ def calinski_harabasz(spark, sf):
 @query("m10_partition_report", "WITH " + SIL_ + ", z AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT (SELECT count(*) FROM e) AS n_samples, (SELECT count(*) FROM z) AS n_clusters, (SELECT min(n) FROM z) AS min_size, (SELECT max(n) FROM z) AS max_size, round((SELECT avg(s) FROM sil), 6) + 0.0 AS silhouette")
 def partition_report(spark, sf):
     e = emb(spark, sf)
-    sizes = e.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_samples"), F.count("*").alias("n_clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
+    sizes = T.size_stats(T.value_counts(e, "label")).select("n_samples", "n_clusters", "min_size", "max_size")
     return rounded(sizes.crossJoin(M.silhouette_samples(e).agg(F.avg("silhouette").alias("silhouette"))), "silhouette")
 
 
-@query("x17_without_noise", "SELECT count(*) AS n, count(DISTINCT label) AS n_clusters FROM (" + X.RUNS + ") WHERE seed = 1 AND label <> -1")
+@query("x17_without_noise", "SELECT seed, count(*) AS n, count(DISTINCT label) AS n_clusters FROM (" + X.RUNS + ") WHERE label <> -1 GROUP BY seed")
 def without_noise(spark, sf):
-    return given(spark, sf, X.RUNS).where("seed = 1 AND label <> -1").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_clusters"))
+    kept = T.without_noise(given(spark, sf, X.RUNS))
+    return kept.groupBy("seed").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_clusters"))
 
 
 # Agreement and stability of runs
@@ -391,7 +370,7 @@ def seed_validity(spark, sf):
 
 @query("a4_reason_counts", f"SELECT {VALID_} AS reason, count(*) AS n FROM ({X.RUN_RECORDS}) GROUP BY 1")
 def reason_counts(spark, sf):
-    return records(spark, sf).groupBy("reason").agg(F.count("*").alias("n"))
+    return T.value_counts(records(spark, sf), "reason")
 
 
 @query("a14_seed_aggregates", f"WITH r AS (SELECT *, {VALID_} = 'ok' AS valid FROM ({X.RUN_RECORDS})) SELECT round(avg(dbcv) FILTER (valid), 6) AS mean_dbcv, round(stddev_pop(dbcv) FILTER (valid), 6) AS std_dbcv, round(avg(n_clusters) FILTER (valid), 6) AS mean_clusters, round(avg(noise_ratio) FILTER (valid), 6) AS mean_noise, round(avg(valid::INT), 6) AS valid_seed_ratio FROM r")
@@ -449,31 +428,28 @@ def select_graph_trial(spark, sf):
 
 @query("pf4_graph_validity", f"SELECT trial_number, n_clusters BETWEEN 4 AND 10 AND min_size >= 10 AND silhouette IS NOT NULL AS valid FROM ({X.GRAPH_TRIALS})")
 def graph_validity(spark, sf):
-    valid = F.col("n_clusters").between(4, 10) & (F.col("min_size") >= 10) & S.finite("silhouette")
-    return given(spark, sf, X.GRAPH_TRIALS).select("trial_number", F.coalesce(valid, F.lit(False)).alias("valid"))
+    return given(spark, sf, X.GRAPH_TRIALS).select("trial_number", T.graph_validity(4, 10, 10, S.finite("silhouette")).alias("valid"))
 
 
 @query("pf5_finite_results", f"SELECT trial_number FROM ({X.GRAPH_TRIALS}) WHERE valid_solution AND silhouette IS NOT NULL")
 def finite_results(spark, sf):
-    t = given(spark, sf, X.GRAPH_TRIALS)
-    return t.where(F.col("valid_solution") & S.finite("silhouette") & S.finite("davies_bouldin") & S.finite("quality")).select("trial_number")
+    t = S.select_graph_trial(given(spark, sf, X.GRAPH_TRIALS))
+    return t.select("trial_number")
 
 
 @query("t2_best_mixture", f"WITH t AS (SELECT *, bic / 500 + penalty AS score FROM ({X.MIXTURE_TRIALS})) SELECT config_no, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY valid_for_selection DESC, round(score, 9), bic, config_no) AS INTEGER) AS place FROM t")
 def best_mixture(spark, sf):
-    t = given(spark, sf, X.MIXTURE_TRIALS).withColumn("score", F.col("bic") / 500 + F.col("penalty"))
-    w = Window.orderBy(F.desc("valid_for_selection"), F.round("score", 9), "bic", "config_no")
-    return rounded(t.select("config_no", "score", F.row_number().over(w).alias("place")), "score")
+    return rounded(T.mixture_order(given(spark, sf, X.MIXTURE_TRIALS), 500).select("config_no", "score", "place"), "score")
 
 
 @query("t5_top_trials", f"SELECT trial_number, quality FROM ({X.GRAPH_TRIALS}) ORDER BY quality DESC, trial_number LIMIT 20")
 def top_trials(spark, sf):
-    return given(spark, sf, X.GRAPH_TRIALS).orderBy(F.desc("quality"), "trial_number").limit(20).select("trial_number", "quality")
+    return T.top_trials(given(spark, sf, X.GRAPH_TRIALS), "quality", 20).select("trial_number", "quality")
 
 
 @query("t3_valid_first", f"SELECT trial_number, CAST(row_number() OVER (ORDER BY valid_solution DESC, trial_number) AS INTEGER) AS place FROM ({X.GRAPH_TRIALS})")
 def valid_first(spark, sf):
-    return given(spark, sf, X.GRAPH_TRIALS).select("trial_number", F.row_number().over(Window.orderBy(F.desc("valid_solution"), "trial_number")).alias("place"))
+    return T.valid_first(given(spark, sf, X.GRAPH_TRIALS)).select("trial_number", "place")
 
 
 @query("pf10_feasible_grid", "WITH g AS (SELECT * FROM (VALUES (1), (2), (15), (400), (600)) n(n_neighbors) CROSS JOIN (VALUES (0.0), (0.3), (1.5)) d(min_dist) CROSS JOIN (VALUES (2), (15), (500)) c(n_components)) SELECT n_neighbors, CAST(min_dist AS DOUBLE) AS min_dist, n_components FROM g WHERE n_neighbors >= 2 AND n_neighbors < (SELECT count(*) FROM embeddings) AND min_dist <= 1.0 AND n_components < (SELECT count(*) FROM embeddings)")
@@ -488,7 +464,7 @@ def flatten_trials(spark, sf):
     """Unnest the seeds' details of each trial with the trial's own columns."""
     t = given(spark, sf, X.UMAP_TRIALS).where("valid_solution")
     t = t.withColumn("details", F.transform(F.array(*map(F.lit, (11, 22, 33))), lambda s: F.struct(s.alias("seed"), (F.col("config_no") * s / 10).alias("score"))))
-    return rounded(t.select("config_no", F.explode("details").alias("d")).select("config_no", "d.seed", "d.score"), "score")
+    return rounded(T.flattened(t, "details", "config_no"), "score")
 
 
 # Memberships and layouts
@@ -537,47 +513,42 @@ def contact_sheet(spark, sf):
     return S.contact_sheet(emb(spark, sf))
 
 
-@query("pf15_label_style", "SELECT DISTINCT label, CASE WHEN label = -1 THEN 'Noise' ELSE 'Cluster ' || label END AS name, CAST(CASE WHEN label = -1 THEN -1 ELSE (dense_rank() OVER (ORDER BY label = -1, label) - 1) % 20 END AS INTEGER) AS colour FROM (" + X.RUNS + ") WHERE seed = 2")
+@query("pf15_label_style", "SELECT DISTINCT label, CASE WHEN label = -1 THEN 'Noise' ELSE 'Cluster ' || label END AS name, CAST(CASE WHEN label = -1 THEN -1 ELSE (dense_rank() OVER (ORDER BY label = -1, label) - 1) % 20 END AS INTEGER) AS colour FROM (" + X.RUNS + ")")
 def label_style(spark, sf):
     name, colour = S.label_style()
-    return given(spark, sf, X.RUNS).where("seed = 2").select("label").distinct().select("label", name, colour)
+    return given(spark, sf, X.RUNS).select("label").distinct().select("label", name, colour)
 
 
 @query("sk10_selected_points", "SELECT vec_id, label IN (1, 4) AS selected, 'img_' || vec_id || '.png' AS file FROM embeddings")
 def selected_points(spark, sf):
-    return emb(spark, sf).select("vec_id", F.col("label").isin(1, 4).alias("selected"), F.concat(F.lit("img_"), "vec_id", F.lit(".png")).alias("file"))
+    return emb(spark, sf).select("vec_id", T.selected("label", (1, 4)).alias("selected"), T.image_name().alias("file"))
 
 
 @query("sk4_crop_names", "SELECT vec_id, printf('slide%d_%04d.png', label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER)) AS name FROM embeddings")
 def crop_names(spark, sf):
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return emb(spark, sf).select("vec_id", F.format_string("slide%d_%04d.png", "label", k).alias("name"))
+    return emb(spark, sf).select("vec_id", T.crop_name("label", "vec_id").alias("name"))
 
 
 @query("j1_paired_by_stem", "SELECT vec_id AS id, 'i' || vec_id || '.png' AS image, 'i' || vec_id || '_mask.png' AS mask FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id % 5 <> 0")
 def paired_by_stem(spark, sf):
-    from ..sources.files import paired
-
     e = emb(spark, sf)
     stem = F.concat(F.lit("i"), "vec_id")
     images = e.where("vec_id % 4 <> 0").select(stem.alias("stem"), F.concat(stem, F.lit(".png")).alias("path"))
     masks = e.where("vec_id % 5 <> 0").select(F.concat(stem, F.lit("_mask")).alias("stem"), F.concat(stem, F.lit("_mask.png")).alias("path"))
-    return paired(images, masks)[0].select(F.substring("stem", 2, 20).cast("long").alias("id"), F.col("image_path").alias("image"), F.col("mask_path").alias("mask"))
+    return files.paired(images, masks)[0].select(F.substring("stem", 2, 20).cast("long").alias("id"), F.col("image_path").alias("image"), F.col("mask_path").alias("mask"))
 
 
 @query("j2_labels_with_paths", "SELECT vec_id, label, 'img_' || vec_id || '.png' AS image_path FROM embeddings")
 def labels_with_paths(spark, sf):
     e = emb(spark, sf)
-    paths = e.select("vec_id", F.concat(F.lit("img_"), "vec_id", F.lit(".png")).alias("image_path"))
-    return e.select("vec_id", "label").join(paths, "vec_id")
+    paths = e.select("vec_id", T.image_name().alias("image_path"))
+    return T.lookup(e.select("vec_id", "label"), paths, "vec_id", "image_path")
 
 
 @query("sk5_resume", "SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0")
 def resume(spark, sf):
-    from ..sources.files import missing
-
     e = emb(spark, sf).select("vec_id")
-    return missing(e, e.where("vec_id % 3 = 0"), "vec_id")
+    return files.missing(e, e.where("vec_id % 3 = 0"), "vec_id")
 
 
 @query("r17_split", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS k, count(*) OVER () AS n FROM embeddings) SELECT vec_id, CASE WHEN k <= floor(n * 0.7) THEN 'train' WHEN k <= floor(n * 0.7) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS split FROM r")
@@ -587,20 +558,19 @@ def split(spark, sf):
 
 @query("r18_batches", "SELECT vec_id, CAST((row_number() OVER (ORDER BY md5('7:' || vec_id), vec_id) - 1) // 4 AS BIGINT) AS batch FROM embeddings")
 def batches(spark, sf):
-    w = Window.orderBy(F.md5(F.concat(F.lit("7:"), F.col("vec_id").cast("string"))), "vec_id")
-    return emb(spark, sf).select("vec_id", F.floor((F.row_number().over(w) - 1) / 4).alias("batch"))
+    return S.batched(emb(spark, sf), "vec_id", 4, seed=7).select("vec_id", "batch")
 
 
-@query("a18_masked_pool", "WITH " + LONG_ + ", w AS (SELECT vec_id // 7 AS img_id, pos, x, (vec_id * 13 % 10) / 10.0::DOUBLE AS c FROM l WHERE pos < 4) SELECT img_id, CAST(pos AS INTEGER) AS pos, round(sum(x * c) / greatest(sum(c), 1e-6), 6) + 0.0 AS p FROM w GROUP BY img_id, pos")
+@query("a18_masked_pool", "WITH " + LONG_ + ", w AS (SELECT vec_id // 7 AS img_id, pos, x, (vec_id * 13 % 10) / 10.0::DOUBLE AS c FROM l) SELECT img_id, CAST(pos AS INTEGER) AS pos, round(sum(x * c) / greatest(sum(c), 1e-6), 6) + 0.0 AS p FROM w GROUP BY img_id, pos")
 def masked_pool(spark, sf):
-    t = emb(spark, sf).select(F.floor(F.col("vec_id") / 7).alias("img_id"), ((F.col("vec_id") * 13 % 10) / 10.0).alias("coverage"), F.slice("embedding", 1, 4).alias("tok"))
+    t = emb(spark, sf).select(F.floor(F.col("vec_id") / 7).alias("img_id"), ((F.col("vec_id") * 13 % 10) / 10.0).alias("coverage"), F.col("embedding").alias("tok"))
     return rounded(R.masked_pool(t).select("img_id", F.posexplode("pooled").alias("pos", "p")), "p")
 
 
 @query("n7_learning_rate", "SELECT CAST(id AS INTEGER) AS epoch, round(0.1 * pow(0.1, (id + 1) // 2), 12) AS lr FROM range(10) t(id)")
 def learning_rate(spark, sf):
-    """The rate after `epoch`, a tenth of the last on each second epoch."""
-    return spark.range(10).select(F.col("id").cast("int").alias("epoch"), F.round(0.1 * F.pow(F.lit(0.1), F.floor((F.col("id") + 1) / 2)), 12).alias("lr"))
+    """The rate after each of ten epochs, a tenth of the last on each second one."""
+    return spark.range(10).select(F.col("id").cast("int").alias("epoch"), F.round(T.step_decay(F.col("id")), 12).alias("lr"))
 
 
 # Rasters and polygons
@@ -668,11 +638,11 @@ def opening(spark, sf):
     return R.opened(pixels(spark, sf).select("image_id", "y", "x", (F.col("v") != 3).alias("m")), 1)
 
 
-@query("r5_small_objects", "WITH RECURSIVE " + PIX_ + """, m AS (SELECT image_id, y, x, y * 100 + x AS id FROM px WHERE image_id = 0 AND v IN (0, 1)), w AS (SELECT image_id, id AS a, id AS b FROM m UNION SELECT w.image_id, w.a, n.id FROM w JOIN m c ON c.image_id = w.image_id AND c.id = w.b JOIN m n ON n.image_id = c.image_id AND abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1),
-s AS (SELECT image_id, a, count(*) AS size FROM w GROUP BY ALL) SELECT m.y, m.x, s.size FROM m JOIN s ON s.image_id = m.image_id AND s.a = m.id""")
+@query("r5_small_objects", "WITH RECURSIVE " + PIX_ + """, m AS (SELECT image_id, y, x, y * 100 + x AS id FROM px WHERE v IN (0, 1)), w AS (SELECT image_id, id AS a, id AS b FROM m UNION SELECT w.image_id, w.a, n.id FROM w JOIN m c ON c.image_id = w.image_id AND c.id = w.b JOIN m n ON n.image_id = c.image_id AND abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1),
+s AS (SELECT image_id, a, count(*) AS size FROM w GROUP BY ALL) SELECT m.image_id, m.y, m.x, s.size FROM m JOIN s ON s.image_id = m.image_id AND s.a = m.id""")
 def small_objects(spark, sf):
-    mask = pixels(spark, sf).where("image_id = 0").select("image_id", "y", "x", F.col("v").isin(0, 1).alias("m"))
-    return R.objects(mask).select("y", "x", "size")
+    mask = pixels(spark, sf).select("image_id", "y", "x", F.col("v").isin(0, 1).alias("m"))
+    return R.objects(mask).select("image_id", "y", "x", "size")
 
 
 def polygons(spark, sf):
@@ -685,9 +655,18 @@ POLY_ = "vx AS (SELECT slide_id, polygon_id, k, x::DOUBLE AS x, y::DOUBLE AS y F
 BOX_ = POLY_ + ", bx AS (SELECT slide_id, polygon_id, CAST(greatest(0, floor(min(x)) - 1) AS INTEGER) AS x0, CAST(greatest(0, floor(min(y)) - 1) AS INTEGER) AS y0, CAST(least(25, ceil(max(x)) + 1) AS INTEGER) AS x1, CAST(least(20, ceil(max(y)) + 1) AS INTEGER) AS y1 FROM v GROUP BY ALL)"
 
 
-@query("sc6_polygons", "WITH " + POLY_ + " SELECT slide_id, polygon_id, count(*) AS n_points FROM v GROUP BY ALL")
+@query("sc6_polygons", "WITH " + POLY_ + " SELECT slide_id, count(*) AS n_points, round(sum(x::FLOAT::DOUBLE + 2 * y::FLOAT::DOUBLE), 4) + 0.0 AS total FROM v GROUP BY slide_id, polygon_id")
 def polygon_table(spark, sf):
-    return polygons(spark, sf).select("slide_id", "polygon_id", F.size("pts").cast("long").alias("n_points"))
+    """Annotation files, as XML, read into polygons of at least three points."""
+    v = [r.asDict() for r in given(spark, sf, X.VERTICES).orderBy("slide_id", "polygon_id", "k").collect()]  # a fixture of a few points
+    texts = {}
+    for slide in sorted({r["slide_id"] for r in v}):
+        shapes = [[r for r in v if r["slide_id"] == slide and r["polygon_id"] == p] for p in sorted({r["polygon_id"] for r in v if r["slide_id"] == slide})]
+        body = "".join("<Annotation><Coordinates>" + "".join(f'<Coordinate X="{r["x"]}" Y="{r["y"]}"/>' for r in shape) + "</Coordinates></Annotation>" for shape in shapes)
+        texts[f"{slide}.xml"] = f"<Annotations>{body}</Annotations>"
+    p = files.read_polygons(spark, files.put_texts(spark, scratch(spark, "xml"), texts))
+    xs = F.aggregate("pts", F.lit(0.0), lambda acc, q: acc + q["x"] + 2 * q["y"])
+    return rounded(p.select(F.col("slide_id").cast("int").alias("slide_id"), F.size("pts").cast("long").alias("n_points"), xs.alias("total")), "total", n=4)
 
 
 @query("r8_bounding_box", "WITH " + BOX_ + " SELECT * FROM bx")
@@ -731,7 +710,7 @@ def tissue_filter(spark, sf):
 
 @query("sk3_patch_names", "WITH " + TILE_ + " SELECT 'slide' || slide_id || '_' || sx || '_' || sy || '.png' AS name FROM ok")
 def patch_names(spark, sf):
-    return tiles(spark, sf).select(F.concat(F.lit("slide"), "slide_id", F.lit("_"), "sx", F.lit("_"), "sy", F.lit(".png")).alias("name"))
+    return tiles(spark, sf).select(T.patch_name().alias("name"))
 
 
 @query("j5_augmentation", "WITH " + TILE_ + " SELECT slide_id, sx, sy, t AS target_id FROM ok CROSS JOIN (VALUES (1), (2)) v(t) WHERE t <> slide_id")
@@ -758,5 +737,4 @@ def turned(spark, sf):
 
 @query("a17_weighted_pool", "WITH " + PIX_ + " SELECT image_id, round(sum(v / 255.0::DOUBLE * r) / (sum(v / 255.0::DOUBLE) + 1e-8), 5) AS pooled FROM px GROUP BY image_id")
 def weighted_pool(spark, sf):
-    w = F.col("v") / 255.0
-    return rounded(pixels(spark, sf).groupBy("image_id").agg((F.sum(w * F.col("r")) / (F.sum(w) + 1e-8)).alias("pooled")), "pooled", n=5)
+    return rounded(T.weighted_mean(pixels(spark, sf), "image_id", F.col("r"), F.col("v") / 255.0), "pooled", n=5)
\ No newline at end of file

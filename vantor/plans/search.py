@@ -19,6 +19,7 @@ from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators import projection as P
 from ..operators import selection as S
+from ..operators.durable import cut
 
 
 def combos(**axes) -> list[dict]:
@@ -44,6 +45,12 @@ def max_clusters(n: int) -> int:
     return min(12, max(4, math.ceil(math.log2(n))))
 
 
+def cluster_bounds(n: int) -> tuple[int, int]:
+    """(least, most) clusters that are looked for among n samples."""
+    most = max_clusters(n)
+    return round(most / 2) + 1, most
+
+
 def embedded(df: DataFrame, variance: float = 0.95) -> DataFrame:
     """Standardised and reduced to the components that explain `variance`: (vec_id, vec)."""
     scaled = P.standardized(df).persist()
@@ -56,7 +63,7 @@ def search_manifold(df: DataFrame, space: list[dict], ks=(5, 10), epochs: int =
     space = [c for c in space if 2 <= c["n_neighbors"] < n and 0 <= c["min_dist"] <= c.get("spread", 1.0) and 1 <= c["n_components"] < n]
     if not space:
         raise ValueError("no feasible configuration")
-    layouts = P.manifold(df, space, vec_col=vec_col, epochs=epochs).persist()
+    layouts = cut(P.manifold(df, space, vec_col=vec_col, epochs=epochs))
     high = df.select("vec_id", F.col(vec_col).alias("embedding")).persist()
     rows = None
     for i, c in enumerate(space):
@@ -65,6 +72,7 @@ def search_manifold(df: DataFrame, space: list[dict], ks=(5, 10), epochs: int =
         m = m.agg(*[F.avg(x).alias(x) for x in ("trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")]).withColumn("config_no", F.lit(i))
         for k, v in c.items():
             m = m.withColumn(f"umap_{k}", F.lit(v))
+        m = cut(m)
         rows = m if rows is None else rows.unionByName(m)
     rows = rows.withColumn("valid_solution", F.col("trustworthiness").isNotNull())
     return S.vote(rows, weights), layouts
@@ -93,8 +101,8 @@ def search_communities(df: DataFrame, neighbors=(15, 20), resolutions=(0.6, 1.0)
     rows = None
     for k in sorted({c["n_neighbors"] for c in space}):
         own = [(i, c) for i, c in enumerate(space) if c["n_neighbors"] == k]
-        edges = N.adjacency(df, k, vec_col=vec_col).persist()
-        labels = C.graph_communities(edges, [{"resolution": c["resolution"], "kind": kind, "seed": 42 + i} for i, c in own]).persist()
+        edges = cut(N.adjacency(df, k, vec_col=vec_col))
+        labels = cut(C.graph_communities(edges, [{"resolution": c["resolution"], "kind": kind, "seed": 42 + i} for i, c in own]))
         for at, (i, c) in enumerate(own):
             part = labels.where(F.col("config") == at).select("id", "label")
             both = df.join(part, F.col("vec_id") == F.col("id"))
@@ -102,7 +110,7 @@ def search_communities(df: DataFrame, neighbors=(15, 20), resolutions=(0.6, 1.0)
             sizes = part.groupBy("label").count().agg(F.count("*").cast("int").alias("n_clusters"), F.min("count").alias("min_size"))
             q = M.graph_quality(edges, part, c["resolution"]).select(F.col("rb" if kind == "RBConfiguration" else "cpm" if kind == "CPM" else "modularity").alias("quality"))
             r = s.crossJoin(M.davies_bouldin(both, vec_col)).crossJoin(M.calinski_harabasz(both, vec_col)).crossJoin(sizes).crossJoin(q)
-            r = r.withColumns({"trial_number": F.lit(i), "n_neighbors": F.lit(k), "resolution": F.lit(c["resolution"])})
+            r = cut(r.withColumns({"trial_number": F.lit(i), "n_neighbors": F.lit(k), "resolution": F.lit(c["resolution"])}))
             rows = r if rows is None else rows.unionByName(r)
     valid = F.col("n_clusters").between(*bounds) & (F.col("min_size") >= min_size) & S.finite("silhouette")
     return S.select_graph_trial(rows.withColumn("valid_solution", F.coalesce(valid, F.lit(False))))
@@ -110,7 +118,7 @@ def search_communities(df: DataFrame, neighbors=(15, 20), resolutions=(0.6, 1.0)
 
 def stable_density_runs(layouts: DataFrame, seeds: list[int], min_cluster_size: int, min_samples: int, bounds=(2, 12), max_noise: float = 0.33) -> tuple[DataFrame, DataFrame]:
     """(records, run labels) of one density clustering per seed over layouts (config, vec_id, vec); config is the seed's place."""
-    labels = C.density_clusters(layouts, min_cluster_size, min_samples, by="config").persist()
+    labels = cut(C.density_clusters(layouts, min_cluster_size, min_samples, by="config"))
 
     def validity(key, table):
         x = np.array(table.column("vec").to_pylist())
@@ -127,9 +135,9 @@ def stable_density_runs(layouts: DataFrame, seeds: list[int], min_cluster_size:
 
 def evaluate_density_config(df: DataFrame, config: dict, seeds: list[int], min_cluster_size: int, min_samples: int, epochs: int = 100, vec_col: str = "vec", **limits) -> DataFrame:
     """One row: aggregates over the valid seeds, the modal number of clusters, and the runs' mean agreement."""
-    layouts = P.manifold(df, [{**config, "seed": s} for s in seeds], vec_col=vec_col, epochs=epochs).persist()
+    layouts = cut(P.manifold(df, [{**config, "seed": s} for s in seeds], vec_col=vec_col, epochs=epochs))
     records, runs = stable_density_runs(layouts, seeds, min_cluster_size, min_samples, **limits)
-    records = records.persist()
+    records = cut(records)
     good = runs.join(records.where("valid").select("seed"), "seed", "left_semi")
     modal = S.modal_count(records).select(F.col("mode").alias("modal_clusters"), F.col("ratio").alias("modal_ratio"))
     out = S.seed_aggregates(records).crossJoin(modal).crossJoin(M.stability_summary(M.agreement(good)))
@@ -164,20 +172,22 @@ def search_density(df: DataFrame, space: list[dict], seeds: list[int], n_trials:
     first valid one is chosen; best has its configuration, seed, labels, recovery in the other valid runs, and layout.
     """
     space = trials_of(space, n_trials)
+    df = cut(df)
     shared: dict[tuple, DataFrame] = {}
     rows, kept = None, []
     for i, c in enumerate(space):
         key = (c["n_neighbors"], c["n_components"], c.get("min_dist", 0.0))
         if key not in shared:
             configs = [{"n_neighbors": key[0], "n_components": key[1], "min_dist": key[2], "seed": s} for s in seeds]
-            shared[key] = P.manifold(df, configs, vec_col=vec_col, epochs=epochs).persist()
+            shared[key] = cut(P.manifold(df, configs, vec_col=vec_col, epochs=epochs))
         records, runs = stable_density_runs(shared[key], seeds, c["min_cluster_size"], c["min_samples"], bounds, max_noise)
-        records = records.persist()
-        pairs = M.agreement(runs.join(records.where("valid").select("seed"), "seed", "left_semi")).persist()
+        records = cut(records)
+        pairs = cut(M.agreement(runs.join(records.where("valid").select("seed"), "seed", "left_semi")))
         kept.append((c, key, records, runs, pairs))
         modal = S.modal_count(records).select(F.col("mode").alias("modal_clusters"), F.col("ratio").alias("modal_ratio"))
         row = S.seed_aggregates(records).crossJoin(modal).crossJoin(M.stability_summary(pairs))
-        row = row.withColumns({"trial_number": F.lit(i), **{k: F.lit(v) for k, v in c.items()}})
+        # One written row per trial: the plan of the table is a union of short scans, however many trials there are.
+        row = cut(row.withColumns({"trial_number": F.lit(i), **{k: F.lit(v) for k, v in c.items()}}))
         rows = row if rows is None else rows.unionByName(row)
     rows = rows.withColumn("reason", S.config_validity(min_valid, min_common, min_modal))
     rows = rows.withColumn("value", F.when(F.col("reason") == "ok", weights[0] * F.col("mean_dbcv") + weights[1] * F.col("mean_ari")).otherwise(-10.0)).persist()

@@ -48,6 +48,79 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(rows, "path string, index long, row array<double>")
 
 
+def embedding_stem(model: str, size: int | None = None, mode: str | None = None, crops: bool = False) -> str:
+    """The composed stem of an embedding table's files."""
+    return "_".join([model, *([str(size)] if size else []), *([mode] if mode else []), *(["crops"] if crops else []), "embeddings"])
+
+
+def write_npy(df: DataFrame, folder: str, stem: str, id_col: str = "vec_id", vec_col: str = "embedding", path_col: str = "image_path") -> DataFrame:
+    """(path, rows) of the .npy matrices and CSV tables (index, image_path) that are written, one pair per partition with the same rows in the same order.
+
+    Files are written under a name of the task attempt and renamed, so a task that runs again leaves the same ones.
+    """
+
+    def run(batches):
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+
+        task, rows = TaskContext.get(), []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in range(3)))
+        if not rows:
+            return
+        rows.sort(key=lambda r: r[0])
+        at, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        at.create_dir(base, recursive=True)
+        name = f"{stem}-{task.partitionId():05d}"
+        table = "index,image_path\n" + "".join(f"{i},{p}\n" for i, _, p in rows)
+        for suffix, data in ((".npy", npy_bytes(np.array([v for _, v, _ in rows], np.float32))), (".csv", table.encode())):
+            with at.open_output_stream(f"{base}/.{name}{suffix}.{task.taskAttemptId()}") as out:
+                out.write(data)
+            at.move(f"{base}/.{name}{suffix}.{task.taskAttemptId()}", f"{base}/{name}{suffix}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.npy"]), pa.array([len(rows)])], ["path", "rows"])
+
+    from ..operators.durable import cut
+
+    return cut(df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"), F.col(path_col)).mapInArrow(run, "path string, rows long"))
+
+
+def write_mask(masks: DataFrame, folder: str, height: int, width: int) -> DataFrame:
+    """(path, n): one .npy of 0 and 1 per image of (image_id, y, x, m), named by the image; rows are the image's lines."""
+
+    def run(key, table):
+        from pyarrow import fs as pafs
+
+        at, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        at.create_dir(base, recursive=True)
+        x = np.zeros((height, width), np.uint8)
+        x[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("m").to_numpy(zero_copy_only=False)
+        name = f"{base}/{key[0].as_py()}.npy"
+        with at.open_output_stream(name + ".new") as out:
+            out.write(npy_bytes(x))
+        at.move(name + ".new", name)
+        return pa.table({"path": [f"{folder}/{key[0].as_py()}.npy"], "n": [int(x.sum())]})
+
+    from ..operators.durable import cut
+
+    return cut(masks.select("image_id", "y", "x", "m").groupBy("image_id").applyInArrow(run, "path string, n long"))
+
+
+def read_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, y, x, m) of the .npy masks in folder, by the files' stems."""
+    rows = read_npy(spark, folder).select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("image_id"), F.col("index").cast("int").alias("y"), F.posexplode("row").alias("x", "v"))
+    return rows.select("image_id", "y", "x", (F.col("v") > 0).alias("m"))
+
+
+def put_texts(spark: SparkSession, folder: str, texts: dict[str, str]) -> str:
+    """Write a few small text files by name; returns the folder."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+    return folder
+
+
 def npy_bytes(x: np.ndarray) -> bytes:
     import io
 
