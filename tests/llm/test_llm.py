@@ -99,9 +99,17 @@ def test_multi_index_finds_all_links(spark):
         assert {tuple(r) for r in simhash.multi_index_links(df, 4, segments).collect()} == want
 
 
-def test_deduplicated_keeps_one_of_each_group(spark):
+def test_keys_grow_with_the_table():
+    assert [simhash.segments_for(n, 4) for n in (1000, 235_748, 10**9)] == [5, 3, 2]
+    assert all(a >= b for a, b in zip(*(lambda s: (s, s[1:]))([simhash.segments_for(10**k, 4) for k in range(12)])))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_deduplicated_keeps_one_of_each_group(spark, clash):
     data = corpus()
     df = table(spark, data)
+    if clash:
+        df = df.withColumns({"_fp": F.lit("x"), "_root": F.lit(1), "_best": F.lit(None).cast("long")})
     out = simhash.deduplicated(df)
     assert out.columns == df.columns
     groups = simhash.simhash_groups(df).select("component_id").distinct().count()
@@ -587,6 +595,42 @@ def test_media_ranges_do_not_vanish(monkeypatch):
     assert [(r["offset"], r["error"]) for r in rows] == [(8, "OSError: away")]
 
 
+def independent_png(data):
+    """Samples of an 8-bit grey PNG, read by the format's rules: chunks, one zlib stream, a filter byte before each row."""
+    at, width, packed = 8, 0, b""
+    while data[at + 4 : at + 8] != b"IEND":
+        n = int.from_bytes(data[at : at + 4], "big")
+        if data[at + 4 : at + 8] == b"IHDR":
+            width, bits, colour = int.from_bytes(data[at + 8 : at + 12], "big"), data[at + 16], data[at + 17]
+            assert (bits, colour, data[at + 18 : at + 21]) == (8, 0, b"\0\0\0")
+        if data[at + 4 : at + 8] == b"IDAT":
+            packed += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    rows = zlib.decompress(packed)
+    assert len(rows) % (width + 1) == 0 and not any(rows[:: width + 1])
+    return b"".join(rows[k + 1 : k + 1 + width] for k in range(0, len(rows), width + 1))
+
+
+def test_stored_media_by_an_independent_reader():
+    for text in (b"", b"a" * 191, b"a" * 192, bytes(range(256)) * 9):
+        samples = independent_png(media.png_encode(media.payload_of(text)))
+        assert samples[: len(text)] == text and not samples[len(text) :].strip(b" ") and len(samples) % 192 == 0
+
+
+def test_failed_members_keep_their_document(spark):
+    got = media.media_features(spark.createDataFrame([("0/17/2.png", None, "away")], "member string, payload binary, error string")).first()
+    assert got.doc_id == 17 and got.n_bytes == 2 and "away" in got.error
+
+
+def test_missing_archives_are_an_error(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    media.write_archives(table(spark, [(i, f"text {i}") for i in range(5)]).coalesce(1), "file://" + folder).collect()
+    spark.dataSource.register(media.MediaArchiveSource)
+    assert spark.read.format("media_archive").option("path", "file://" + folder).option("archiveCount", 1).load().count() == 5
+    with pytest.raises(Exception, match="1 of 2 archives"):
+        spark.read.format("media_archive").option("path", "file://" + folder).option("archiveCount", 2).load().count()
+
+
 def test_strict_media_fail(spark):
     bad = spark.createDataFrame([("0/1/2.png", None, "away")], "member string, payload binary, error string")
     assert media.media_features(bad).count() == 1

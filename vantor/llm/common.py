@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as every contract here takes it: a run of anything but space and \x09-\x0D.
@@ -69,6 +69,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(names, name: str) -> str:
+    """name, or name with underscores before it if a column is called so, in any case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(data: bytes) -> bytes:
     return data.translate(_LOWER)
 
@@ -117,9 +125,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds by aggregation and join: no neighbour list is gathered, each
     round is written to the shared folder, and Spark splits the joins of hub nodes.
     """
-    pairs = stored(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "edges"
-    )
+    pairs = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "edges", tidy=True)
     state = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select("v", "u"))
@@ -133,8 +139,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        pairs = stored(small, "edges")
-        seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # The write itself counts and sums what it writes, so a round is one pass; a round that changes nothing is the last.
+        watch = Observation()
+        before, pairs = pairs, stored(small.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges", tidy=True)
+        discard(before)
+        seen = (watch.get["n"], watch.get["h"])
         if seen == state:
             break
         state = seen

@@ -22,6 +22,8 @@ from .common import new_path, stored
 
 #: Payloads are padded by spaces to a positive multiple of this; it is also the width of the stored image.
 UNIT = 192
+#: Byte ranges that are planned at most; with more bytes, ranges are longer.
+MAX_RANGES = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -127,6 +129,7 @@ class ByteRange(InputPartition):
 
 class MediaArchiveReader(DataSourceReader):
     def __init__(self, options):
+        self.options = options
         self.folder = options.get("path")
         self.listed = json.loads(options["archives"]) if "archives" in options else None
         self.step = int(options.get("rangeBytes", 1 << 23))
@@ -139,9 +142,14 @@ class MediaArchiveReader(DataSourceReader):
         if found is None:
             at, path = open_fs(self.folder)
             head = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else ""
-            files = at.get_file_info(pafs.FileSelector(path, recursive=True))
+            files = at.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=True))
             found = sorted([head + f.path, f.size] for f in files if f.is_file and f.path.endswith(".zip"))
-        return [ByteRange(a, s, s + self.step) for a, size in found for s in range(0, size, self.step)] or [ByteRange("", 0, 0)]
+        wanted = int(self.options.get("archiveCount", len(found)))
+        if wanted != len(found):
+            raise OSError(f"{len(found)} of {wanted} archives are listed")
+        # Ranges grow with the archives, so that their list stays one that a driver can hold.
+        step = max(self.step, sum(size for _, size in found) // MAX_RANGES)
+        return [ByteRange(a, s, s + step) for a, size in found for s in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def _member(self, at, path: str, info: zipfile.ZipInfo, handle) -> tuple[bytes | None, str | None, object]:
         """A member's bytes by its offset, checked; a failed read is tried again alone, on a new handle."""
@@ -197,7 +205,7 @@ class MediaArchiveReader(DataSourceReader):
 
 
 class MediaArchiveSource(DataSource):
-    """spark.read.format("media_archive"): option path (a folder of ZIP archives) or archives (JSON of [path, bytes])."""
+    """spark.read.format("media_archive"): option path (a folder of ZIP archives; archiveCount: how many it must hold) or archives (JSON of [path, bytes])."""
 
     @classmethod
     def name(cls):
@@ -217,18 +225,19 @@ def media_features(media: DataFrame, strict: bool = False) -> DataFrame:
         for batch in batches:
             out = []
             for member, data, error in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if error is not None or data is None:
-                    out.append((member, None, None, None, None, None, None, None, error or "no payload"))
-                    continue
+                # A member's name tells its document, whether or not its bytes can be read.
+                _, doc, size = member.split("/") if member else ("", "", "0.png")
+                doc, size = int(doc) if doc else None, int(size.removesuffix(".png"))
                 try:
+                    if error is not None or data is None:
+                        raise ValueError(error or "no payload")
                     samples = png_decode(data)
                 except (ValueError, struct.error, zlib.error) as e:
-                    out.append((member, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    out.append((member, doc, size if member else None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
                     continue
-                _, doc, size = member.split("/")
                 out.append(
                     (
-                        member, int(doc) if doc else None, int(size.removesuffix(".png")), len(samples), hashlib.sha256(samples).hexdigest(),
+                        member, doc, size, len(samples), hashlib.sha256(samples).hexdigest(),
                         zlib.crc32(samples[-16:]), (len(data), hashlib.sha256(data).hexdigest()), feature_of(samples), None,
                     )
                 )
@@ -255,6 +264,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     folder = new_path(spark, "media")
     archives = stored(write_archives(docs, folder, id_col, text_col, archive_bytes), "archives")
-    listed = [[r.archive, r.bytes] for r in archives.select("archive", "bytes").orderBy("archive").collect()]  # one short row per archive
     spark.dataSource.register(MediaArchiveSource)
-    return media_features(spark.read.format("media_archive").option("archives", json.dumps(listed)).load(), strict)
+    # The source lists the folder itself and must find as many archives as were written.
+    return media_features(spark.read.format("media_archive").option("path", folder).option("archiveCount", archives.count()).load(), strict)

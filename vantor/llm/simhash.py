@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import connected_components, lower_ascii, stored
+from .common import connected_components, lower_ascii, stored, unused
 
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 _BLOCK = 262_144
-#: Bands of minima and rows in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^24 = 0.0007.
-BANDS, ROWS = 24, 6
+#: Bands of minima and rows in each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^20 = 0.0004.
+BANDS, ROWS = 20, 5
 #: Shingle hashes that are compared with one another in one task.
 PART_BYTES = 4 << 20
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -71,17 +72,30 @@ def segment_plan(bits: int, radius: int, segments: int) -> list[tuple[int, int,
     return [(s, w, q if k <= a else q - 1) for k, (s, w) in enumerate(zip(shifts, widths)) if (q if k <= a else q - 1) >= 0]
 
 
+def segments_for(n: int, radius: int, bits: int = 64) -> int:
+    """The number of segments at which n values cause the fewest probes and fetched candidates, if they are spread evenly.
+
+    Fewer segments are wider keys with larger balls: keys grow with the table, so buckets stay small. Any number finds all links.
+    """
+
+    def cost(m: int) -> float:
+        return sum(math.comb(w, r) * (1 + n / 2.0**w) for _, w, q in segment_plan(bits, radius, m) for r in range(q + 1))
+
+    return min(range(2, radius + 2), key=cost)
+
+
 def ball(width: int, radius: int) -> list[int]:
     """Masks of at most radius bits in width."""
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def multi_index_links(values: DataFrame, radius: int = 4, segments: int = 3, bits: int = 64) -> DataFrame:
-    """Pairs (a < b) of distinct values (column fp) at Hamming distance 1 to radius.
+def multi_index_links(values: DataFrame, radius: int = 4, segments: int | None = None, bits: int = 64) -> DataFrame:
+    """Pairs (a < b) of distinct values (column fp) at Hamming distance 1 to radius; segments: as many as suit the number of values.
 
     Each value stands once per segment in the table; each probes the small Hamming ball around its own
     segment; what is fetched is verified over all bits in the join itself, so only links leave it.
     """
+    segments = segments or segments_for(values.count(), radius, bits)
     table, probes = [], []
     for k, (shift, width, r) in enumerate(segment_plan(bits, radius, segments)):
         part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
@@ -94,7 +108,7 @@ def multi_index_links(values: DataFrame, radius: int = 4, segments: int = 3, bit
     return left.join(right, near).select("a", "b").distinct()
 
 
-def value_components(rows: DataFrame, radius: int, segments: int) -> DataFrame:
+def value_components(rows: DataFrame, radius: int, segments: int | None) -> DataFrame:
     """(fp, root, component) of each distinct fingerprint in rows (doc_id, fp): its smallest doc_id, and its group named by a fingerprint."""
     values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("root")), "values")
     links = stored(multi_index_links(values.select("fp"), radius, segments).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
@@ -104,7 +118,7 @@ def value_components(rows: DataFrame, radius: int, segments: int) -> DataFrame:
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int | None = None
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept): near-duplicate groups over all documents.
 
@@ -127,7 +141,7 @@ def simhash_groups(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int | None = None) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest id, null last; of repeated rows one stays. All columns are kept."""
     names = docs.columns
     place = names.index(text_col)
@@ -135,15 +149,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.encode() if t is not None else None, shingle) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], [*batch.schema.names, own])
 
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    own, root, chosen = unused(names, "_fp"), unused(names, "_root"), unused(names, "_best")
+    schema = StructType([*docs.schema.fields, StructField(own, LongType())])
     rows = stored(docs.mapInArrow(run, schema), "fingerprints")
-    named = value_components(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")), radius, segments)
+    named = value_components(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(own).alias("fp")), radius, segments)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "fp")).alias("best"))
-    best = best.select(F.col("best.root").alias("_root"), F.col("best.fp").alias("_best"))
-    kept = rows.join(best, (F.col("_fp") == F.col("_best")) & F.col(id_col).cast("long").eqNullSafe(F.col("_root")))
-    return kept.dropDuplicates(["_fp"]).select(*names)
+    best = best.select(F.col("best.root").alias(root), F.col("best.fp").alias(chosen))
+    kept = rows.join(best, (F.col(own) == F.col(chosen)) & F.col(id_col).cast("long").eqNullSafe(F.col(root)))
+    return kept.dropDuplicates([own]).select(*names)
 
 
 def shingle_hashes(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -284,7 +299,7 @@ def cross_links(left: list, right: list, similarity: float) -> list[tuple[int, i
 
 
 def near_deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3, part_bytes: int = PART_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int | None = None, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """docs with one document of each group of near copies: that of the smallest id, null last; of repeated rows one stays.
 
@@ -294,6 +309,7 @@ def near_deduplicated(
     """
     names = docs.columns
     place = names.index(text_col)
+    added = [unused(names, n) for n in ("_fp", "_value", "_bands", "_row")]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -306,12 +322,12 @@ def near_deduplicated(
                 values.append(xxhash.xxh64_intdigest(b" ".join(lower_ascii(text).split())))
                 bands.append(band_keys(shingle_hashes(text, shingle)))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, values)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(numbers)], [*batch.schema.names, "_fp", "_value", "_bands", "_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(bands, pa.list_(pa.int64())), pa.array(numbers)], [*batch.schema.names, *added])
 
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_value", LongType()), StructField("_bands", ArrayType(LongType())), StructField("_row", LongType())])
-    rows = stored(docs.mapInArrow(run, schema), "fingerprints")
-    ident = F.col(id_col).cast("long")
-    best = F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), "_row")).alias("best")
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(added, (LongType(), LongType(), ArrayType(LongType()), LongType()))]])
+    full = stored(docs.mapInArrow(run, schema), "fingerprints")
+    rows = full.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(n).alias(m) for n, m in zip(added, ("_fp", "_value", "_bands", "_row"))])
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("best")
     values = stored(rows.groupBy("_value").agg(best, F.first("_fp").alias("fp"), F.first("_bands").alias("bands")).select("_value", F.col("best.id").alias("root"), F.col("best._row").alias("_row"), "fp", "bands"), "values")
 
     # Each value is tied to the smallest of its band, and fingerprints within the radius tie their smallest values.
@@ -330,8 +346,8 @@ def near_deduplicated(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "node", "hashes"])
 
     members = candidates.join(values.select(F.col("_value").alias("node"), "_row"), "node")
-    texts = rows.select("_row", F.col(text_col).alias("text")).join(members, "_row").select("component", "node", "text")
+    texts = rows.select("_row", "text").join(members, "_row").select("component", "node", "text")
     groups = verified_groups(texts.mapInArrow(hashed, "component long, node long, hashes binary"), similarity, part_bytes)
     named = values.join(groups, values["_value"] == groups["node"], "left").select("root", "_row", F.coalesce("head", "_value").alias("component"))
     chosen = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "_row")).alias("best"))
-    return rows.join(stored(chosen.select(F.col("best._row").alias("_row")), "chosen"), "_row").select(*names)
+    return full.join(stored(chosen.select(F.col("best._row").alias(added[3])), "chosen"), added[3], "left_semi").select(*names)
