@@ -76,6 +76,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import embed, mixing
+    from . import embed, mixing, suffixes, windows
 
-    return {"op3_mixing": mixing.SQL, "op6_embeddings": embed.SQL}
+    return {"op2_suffixes": suffixes.SQL, "op3_mixing": mixing.SQL, "op6_embeddings": embed.SQL, "op7_windows": windows.SQL}

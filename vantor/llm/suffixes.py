@@ -337,3 +337,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_replies(chunks, back, "anchor", "context", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Strings are compared by their MD5 here.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800),
+strings AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS s FROM starts),
+repeats AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM strings SEMI JOIN repeats USING (s)),
+counts AS (SELECT r, sum(least(400, coalesce(next - i, 400))) AS n_removed, count(*) FILTER (prev IS NULL OR i - prev > 400) AS n_spans FROM marked GROUP BY r),
+borders AS (SELECT r, i + 400 AS a, coalesce(next, -1) AS b FROM marked WHERE next IS NULL OR next - i > 400 UNION ALL SELECT r, 0, i FROM marked WHERE prev IS NULL),
+pieces AS (SELECT x.r, x.a, CASE WHEN x.b < 0 THEN substr(d.h, 2 * x.a + 1) ELSE substr(d.h, 2 * x.a + 1, 2 * (x.b - x.a)) END AS piece FROM borders x JOIN d ON d.r = x.r),
+kept AS (SELECT r, string_agg(piece, '' ORDER BY a) AS kept FROM pieces GROUP BY r)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN counts c ON c.r = d.r LEFT JOIN kept k ON k.r = d.r
+"""

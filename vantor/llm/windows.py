@@ -254,3 +254,15 @@ def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = index.add(part, id_col, text_col)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+windows AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM starts),
+least AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+removed AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows w JOIN least l ON l.win = w.win WHERE l.least < w.doc_id),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT w.r, string_agg(w.word, ' ' ORDER BY w.p) FILTER (x.p IS NULL) AS kept, count(x.p) AS n_removed FROM words w LEFT JOIN removed x ON x.r = w.r AND x.p = w.p GROUP BY w.r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.r = d.r
+"""
