@@ -372,6 +372,7 @@ def test_personal_data(spark):
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x == k for _, x, _ in base) for k in pii.KINDS]
         spans = [tuple(s.split(":")) for s in got[i].spans.split(",") if s]
         kept = {(k, str(s), str(e)) for s, k, e in base}
+        assert got[i].n_spans == len(spans)
         assert kept <= set(spans) and all(0 <= int(s) < int(e) <= len(t or "") for _, s, e in spans)
         assert not any(int(s) < b and a < int(e) for k, s, e in set(spans) - kept for a, _, b in base)
     assert pii.personal_data(table(spark, [])).count() == 0

@@ -260,7 +260,7 @@ def field_spans(texts: list[str | None], base: list[list], model: dict | None):
 
 
 def find(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every document, whole texts."""
+    """docs' (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for every document, whole texts; n_spans counts all spans."""
 
     def run(batches):
         for batch in batches:
@@ -271,10 +271,10 @@ def find(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
                 spans[i] = sorted(base[i] + more, key=lambda s: (s[0], KINDS.index(s[1])))
             counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in KINDS]
             hashes = pa.array([hashlib.sha256(digest(b).encode()).hexdigest() for b in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array([digest(s) for s in spans], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array([digest(s) for s in spans], pa.string()), pa.array([len(s) for s in spans], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
