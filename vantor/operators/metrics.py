@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .durable import cut
-from .neighbors import knn, label_distances, pair_ranks
+from .neighbors import label_distances, neighbor_ranks
 
 
 def check_k(ks, n: int) -> list[int]:
@@ -18,41 +18,28 @@ def check_k(ks, n: int) -> list[int]:
     return ks
 
 
-def _penalty(top: DataFrame, ranks: DataFrame, n: int, k: int) -> DataFrame:
-    """1 - 2 / (n k (2n - 3k - 1)) * sum over neighbours of how far their rank in the other space exceeds k."""
-    lost = top.where(F.col("rank") <= k).select("i", "j").join(ranks.select("i", "j", F.col("rank").alias("other")), ["i", "j"])
-    return lost.agg(1 - F.lit(2.0) / (n * k * (2 * n - 3 * k - 1)) * F.sum(F.greatest(F.col("other") - k, F.lit(0))))
-
-
 def neighbor_preservation(high: DataFrame, low: DataFrame, ks, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean") -> DataFrame:
-    """(k, trustworthiness, continuity, qnn, lcmc) per k and auc_lcmc, from two neighbour tables and the ranks of their pairs.
+    """(k, trustworthiness, continuity, qnn, lcmc) per k and auc_lcmc, from the neighbours of both spaces with their ranks in the other.
 
-    One pass serves all k: a pair counts for k from the larger of its two ranks on.
+    One table serves all k: a pair counts for k from its rank on, and is shared from the larger of its two ranks on. The penalties are
+    2 / (n k (2n - 3k - 1)) times how far ranks in the other space exceed k.
     """
     n = high.count()
     ks = check_k(ks, n)
-    top = ks[-1]
-    src, emb = (knn(d, top, id_col, vec_col, metric).select("i", "j", "rank").persist() for d in (high, low))
-    src_in_emb = pair_ranks(low, src, id_col, vec_col, metric)
-    emb_in_src = pair_ranks(high, emb, id_col, vec_col, metric)
-    sizes = high.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-
-    def measure(near: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        both = near.join(other.withColumnRenamed("rank", "other"), ["i", "j"]).join(F.broadcast(sizes), F.col("rank") <= F.col("k"))
-        k = F.col("k")
-        worst = F.lit(n) * k * (2 * n - 3 * k - 1)
-        return both.groupBy("k").agg(F.sum(F.greatest(F.col("other") - k, F.lit(0))).alias("s")).select("k", (1 - 2.0 / worst * F.col("s")).alias(name))
-
-    t = measure(emb, emb_in_src, "trustworthiness")
-    c = measure(src, src_in_emb, "continuity")
-    shared = src.join(emb.withColumnRenamed("rank", "other"), ["i", "j"]).select(F.greatest("rank", "other").alias("at"))
-    counts = shared.groupBy("at").count()
-    every = high.sparkSession.range(1, top + 1).select(F.col("id").cast("int").alias("kk"))
-    cum = every.join(counts, F.col("at") <= F.col("kk"), "left").groupBy("kk").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hits"))
-    q = cum.select(F.col("kk").alias("k"), (F.col("hits") / (F.lit(n) * F.col("kk"))).alias("qnn"))
-    q = q.withColumn("lcmc", F.col("qnn") - F.col("k") / F.lit(n - 1))
-    auc = q.agg(F.avg("lcmc").alias("auc_lcmc"))
-    return t.join(c, "k").join(q, "k").crossJoin(F.broadcast(auc))
+    top, spark = ks[-1], high.sparkSession
+    pairs = neighbor_ranks(high, low, top, id_col, vec_col, metric)
+    # Rows of the table are summed once per own rank and other rank; what follows has at most top * top + top rows and no vector.
+    over = [F.sum(F.greatest(F.col("other") - k, F.lit(0))).alias(f"over{k}") for k in ks]
+    cells = cut(pairs.groupBy("space", "rank", F.least(F.col("other"), F.lit(top + 1)).alias("at")).agg(F.count("*").alias("n"), *over))
+    sizes = spark.createDataFrame([(k,) for k in range(1, top + 1)], "k int")
+    near = cells.join(F.broadcast(sizes), F.col("rank") <= F.col("k"))
+    hits = F.sum(F.when((F.col("space") == 0) & (F.col("at") <= F.col("k")), F.col("n")).otherwise(0)) / (F.lit(n) * F.col("k"))
+    lost = lambda space: sum((F.coalesce(F.sum(F.when((F.col("space") == space) & (F.col("k") == k), F.col(f"over{k}"))), F.lit(0)) for k in ks), F.lit(0))
+    worst = F.lit(n) * F.col("k") * (2 * n - 3 * F.col("k") - 1)
+    per = near.groupBy("k").agg(hits.alias("qnn"), (1 - 2.0 * lost(1) / F.nullif(worst, F.lit(0))).alias("trustworthiness"), (1 - 2.0 * lost(0) / F.nullif(worst, F.lit(0))).alias("continuity"))
+    per = per.withColumn("lcmc", F.col("qnn") - F.col("k") / F.lit(n - 1))
+    auc = per.agg(F.avg("lcmc").alias("auc_lcmc"))
+    return per.where(F.col("k").isin(ks)).crossJoin(F.broadcast(auc)).select("k", "trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")
 
 
 def silhouette_samples(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", metric: str = "euclidean") -> DataFrame:

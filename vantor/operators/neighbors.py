@@ -136,6 +136,96 @@ def knn(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _paired(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The rounded distance of each row of a to the same row of b."""
+    if metric != "euclidean":
+        return np.array([distances(x[None], y[None], metric)[0, 0] for x, y in zip(a, b)])
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += (a[:, d] - b[:, d]) ** 2
+    return np.round(np.sqrt(out), DECIMALS)
+
+
+def _before(q: np.ndarray, t: np.ndarray, qi: np.ndarray, ti: np.ndarray, owner: np.ndarray, aj: np.ndarray, bound: np.ndarray, metric: str) -> np.ndarray:
+    """How many table rows come before each asked neighbour (query owner, id aj, distance bound), the query itself left out."""
+    counts = np.zeros(len(owner), np.int64)
+    rough = np.sqrt(_squares(q, t)) if metric == "euclidean" else distances(q, t, metric)
+    rough[qi[:, None] == ti[None]] = np.inf
+    for s in range(0, len(owner), 2048):
+        e = slice(s, s + 2048)
+        gap = rough[owner[e]] - bound[e, None]
+        counts[e] = (gap < -1e-6).sum(1)
+        # What lies too close to the bound to tell is computed in full.
+        a, b = np.nonzero(np.abs(gap) <= 1e-6)
+        o = owner[e][a]
+        exact = _paired(q[o], t[b], metric) if metric == "euclidean" else rough[o, b]
+        limit = bound[e][a]
+        np.add.at(counts, s + a, (exact < limit) | ((exact == limit) & (ti[b] < aj[e][a])))
+    return counts
+
+
+def neighbor_ranks(high: DataFrame, low: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean") -> DataFrame:
+    """(space, i, j, rank, other): the k nearest of each vector in two spaces (0: high, 1: low), with their rank in the other one too.
+
+    Two passes over pairs of blocks: the first finds the neighbours of both spaces and their distances in the other one, the second counts
+    what lies before them there.
+    """
+    both = high.select(F.col(id_col).alias("id"), F.col(vec_col).alias("a")).join(low.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("b")), "id").persist()
+    table = blocks(both, "id", "a", F.col("b"))
+
+    def nearest(batches):
+        state: dict = {}
+
+        def flush():
+            for space in (0, 1) if state else ():
+                d, j, o = state[space]
+                ok = np.isfinite(d.ravel())
+                i = np.repeat(state["id"], d.shape[1])[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), space, np.int32)), pa.array(i), *[pa.array(x.ravel()[ok]) for x in (j, d, o)]], ["space", "i", "j", "dist", "bound"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qb, qi, ti = batch.column(0)[r].as_py(), _vec(batch.column(1)[r]), _vec(batch.column(5)[r])
+                q, t = [_mat(batch.column(c)[r]) for c in (2, 3)], [_mat(batch.column(c)[r]) for c in (6, 7)]
+                own, order = qi[:, None] == ti[None], np.argsort(ti)
+                fresh = state.get("block") != qb
+                if fresh:
+                    yield from flush()
+                    state = {"block": qb, "id": qi}
+                for space in (0, 1):
+                    d, j = _nearest(q[space], t[space], ti, own, k, metric)
+                    at = order[np.searchsorted(ti, j, sorter=order)]
+                    far = _paired(np.repeat(q[1 - space], j.shape[1], 0), t[1 - space][at.ravel()], metric).reshape(j.shape)
+                    if not fresh:
+                        d, j, far = (np.hstack(x) for x in zip(state[space], (d, j, far)))
+                        pick = np.lexsort((j, d), axis=1)[:, :k]
+                        d, j, far = (np.take_along_axis(x, pick, 1) for x in (d, j, far))
+                    state[space] = (d, j, far)
+        yield from flush()
+
+    near = met(table, table).mapInArrow(nearest, "space int, i long, j long, dist double, bound double")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("space", "i").orderBy("dist", "j"))).where(F.col("rank") <= k).persist()
+    asked = near.groupBy("i").agg(F.collect_list(F.struct("space", "j", "bound")).alias("asked"))  # 2 k rows at most
+    queries = both.join(asked, F.col("id") == F.col("i"))
+    queries = blocks(queries, "id", "a", F.col("b"), F.col("asked.space").alias("s"), F.col("asked.j").alias("j"), F.col("asked.bound").alias("d"))
+
+    def count(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qi, ti = _vec(batch.column(1)[r]), _vec(batch.column(8)[r])
+                lists = batch.column(4)[r].values
+                owner = np.repeat(np.arange(len(qi)), np.diff(lists.offsets.to_numpy()))
+                space, aj, bound = (batch.column(c)[r].values.flatten().to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+                for own in (0, 1):
+                    # Neighbours of one space are ranked in the other one.
+                    mine = space == own
+                    n = _before(_mat(batch.column(3 - own)[r]), _mat(batch.column(10 - own)[r]), qi, ti, owner[mine], aj[mine], bound[mine], metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), own, np.int32)), pa.array(qi[owner[mine]]), pa.array(aj[mine]), pa.array(n)], ["space", "i", "j", "n"])
+
+    counts = met(queries, table).mapInArrow(count, "space int, i long, j long, n long").groupBy("space", "i", "j").agg((F.sum("n") + 1).cast("int").alias("other"))
+    return near.select("space", "i", "j", "rank").join(counts, ["space", "i", "j"])
+
+
 def pair_ranks(df: DataFrame, pairs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean") -> DataFrame:
     """(i, j, rank): place of j among i's neighbours without i itself, for the given pairs only.
 
@@ -156,32 +246,8 @@ def pair_ranks(df: DataFrame, pairs: DataFrame, id_col: str = "vec_id", vec_col:
                 aj = lists.flatten().to_numpy()
                 av = batch.column(4)[r].values.flatten()
                 av = av.flatten().to_numpy(zero_copy_only=False).reshape(len(av), -1)
-                if metric == "euclidean":
-                    bound = np.zeros(len(owner))
-                    for d in range(q.shape[1]):
-                        bound += (q[owner, d] - av[:, d]) ** 2
-                    bound = np.round(np.sqrt(bound), DECIMALS)
-                else:
-                    bound = np.array([distances(q[o : o + 1], v[None], metric)[0, 0] for o, v in zip(owner, av)])
-                counts = np.zeros(len(owner), np.int64)
-                rough = np.sqrt(_squares(q, t)) if metric == "euclidean" else distances(q, t, metric)
-                rough[qi[:, None] == ti[None]] = np.inf
-                for s in range(0, len(owner), 2048):
-                    e = slice(s, s + 2048)
-                    gap = rough[owner[e]] - bound[e, None]
-                    counts[e] = (gap < -1e-6).sum(1)
-                    # What lies too close to the bound to tell is computed in full.
-                    a, b = np.nonzero(np.abs(gap) <= 1e-6)
-                    o = owner[e][a]
-                    exact = np.zeros(len(a))
-                    if metric == "euclidean":
-                        for d in range(q.shape[1]):
-                            exact += (q[o, d] - t[b, d]) ** 2
-                        exact = np.round(np.sqrt(exact), DECIMALS)
-                    else:
-                        exact = rough[o, b]
-                    limit = bound[e][a]
-                    np.add.at(counts, s + a, (exact < limit) | ((exact == limit) & (ti[b] < aj[e][a])))
+                bound = _paired(q[owner], av, metric)
+                counts = _before(q, t, qi, ti, owner, aj, bound, metric)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[owner]), pa.array(aj), pa.array(counts)], ["i", "j", "n"])
 
     return met(q, t).mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg((F.sum("n") + 1).cast("int").alias("rank"))
