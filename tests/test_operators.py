@@ -213,3 +213,32 @@ def test_image_model(spark):
     got = {r.id: r.vec for r in embed_images(d, BlockMeans(2)).collect()}
     assert got[1] == pytest.approx([1, 1, 1]) and got[2] == pytest.approx([0.5, 0.5, 0.5])
     assert coverage(mask, 2).tolist() == [1, 1, 0, 0]
+
+
+def filtered_png(image, kinds):
+    """A PNG whose rows use the given filters, made by the format's rules."""
+    import struct
+    import zlib
+
+    h, w, s = image.shape
+    x, out = image.astype(int).reshape(h, -1), b""
+    for y in range(h):
+        kind, above = kinds[y % len(kinds)], x[y - 1] if y else np.zeros(w * s, int)
+        left, corner = np.concatenate([np.zeros(s, int), x[y][:-s]]), np.concatenate([np.zeros(s, int), above[:-s]])
+        p = left + above - corner
+        paeth = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        out += bytes([kind]) + ((x[y] - [0, left, above, (left + above) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[s], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("samples", [1, 3, 4])
+def test_png_filters(samples):
+    from vantor.sources import images
+
+    x = np.random.default_rng(0).integers(0, 256, (11, 7, samples)).astype(np.uint8)
+    assert (images.png_decode(filtered_png(x, (0, 1, 2, 3, 4))) == x).all()
+    if samples < 4:
+        assert (images.png_decode(images.png_encode(x if samples == 3 else x[:, :, 0])) == x).all()
+    with pytest.raises(ValueError):
+        images.png_decode(b"GIF89a")

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import backbone
 from ..operators import metrics as M
 from ..operators import raster as R
 from ..operators import selection as S
 from ..operators import tables as T
 from ..operators.durable import scratch
-from ..sources import files
+from ..sources import files, images
 from . import fixtures as X
 from . import search as H
 from .models import SEEDS, small
@@ -149,6 +150,29 @@ def image_listing(spark, sf):
     return files.list_files(spark, folder).select("stem", "suffix")
 
 
+@query("sc11_image_pairs", "WITH " + PIX_ + " SELECT image_id, y, x, round(r / 255.0::DOUBLE, 5) AS r, round(g / 255.0::DOUBLE, 5) AS g, round(b / 255.0::DOUBLE, 5) AS b, v AS mask FROM px")
+def image_pairs(spark, sf):
+    """Images and masks through their PNG sinks, paired by stem, decoded and scaled."""
+    px, img, mask = pixels(spark, sf), scratch(spark, "img"), scratch(spark, "mask")
+    ids = px.select("image_id").distinct()
+    images.write_images(px, img, ids.select("image_id", F.format_string("i%04d.png", "image_id").alias("name")), 24, 32)
+    images.write_images(px, mask, ids.select("image_id", F.format_string("i%04d_mask.png", "image_id").alias("name")), 24, 32, ("v",))
+    rows = images.load_pairs(spark, img, mask)
+    rows = rows.select(F.substring("stem", 2, 4).cast("int").alias("image_id"), "width", "image", F.posexplode("mask").alias("at", "mask"))
+    value = lambda k: F.col("image")[F.col("at") * 3 + k].cast("double")
+    rows = rows.select("image_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), *[value(k).alias(c) for k, c in enumerate("rgb")], "mask")
+    return rounded(rows, "r", "g", "b", n=5)
+
+
+@query("n1_pooled_images", "WITH " + PIX_ + " SELECT image_id AS id, c.c AS pos, round(avg(CASE c.c WHEN 0 THEN r WHEN 1 THEN g ELSE b END) / 255.0::DOUBLE, 5) AS v FROM px CROSS JOIN (VALUES (0), (1), (2)) c(c) GROUP BY ALL")
+def pooled_images(spark, sf):
+    """The image-model interface with its stand-in: cells' mean colours, pooled without a mask."""
+    px = pixels(spark, sf).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))), lambda p: F.array(p["r"], p["g"], p["b"])).alias("p"))  # 768 pixels an image
+    raw = F.unhex(F.array_join(F.transform(F.flatten("p"), lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    rows = px.select(F.col("image_id").cast("long").alias("id"), F.lit(24).alias("height"), F.lit(32).alias("width"), raw.alias("pixels"), F.lit(None).cast("binary").alias("mask"))
+    return rounded(backbone.embed_images(rows, backbone.BlockMeans(4)).select(F.col("id").cast("int").alias("id"), F.posexplode("vec").alias("pos", "v")), "v", n=5)
+
+
 @query("sc9_cached_json", "SELECT slide, total, 1::BIGINT AS made FROM (VALUES ('s1', 3.5::DOUBLE), ('s2', 4.0::DOUBLE)) t(slide, total)")
 def cached_json(spark, sf):
     """The second read finds what the first has written, and makes nothing."""
