@@ -242,3 +242,19 @@ def test_png_filters(samples):
         assert (images.png_decode(images.png_encode(x if samples == 3 else x[:, :, 0])) == x).all()
     with pytest.raises(ValueError):
         images.png_decode(b"GIF89a")
+
+
+def test_tiles_have_no_seams(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, y, x, int(rng.integers(0, 5))) for i in range(2) for y in range(17) for x in range(23) if rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "image_id int, y int, x int, v int")
+    there = {(i, y, x): v for i, y, x, v in rows}
+    for side in (5, 256):
+        got = {(r.image_id, r.y, r.x): r.entropy for r in R.local_entropy(px, 2, side=side).collect()}
+        assert got.keys() == there.keys()
+        for (i, y, x), e in got.items():
+            near = [there[i, y + a, x + b] for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4 and (i, y + a, x + b) in there]
+            p = np.bincount(near) / len(near)
+            assert e == pytest.approx(-sum(q * np.log2(q) for q in p if q), abs=1e-9)
+        grown = {(r.image_id, r.y, r.x): r.m for r in R.morphology(px.withColumn("m", F.col("v") == 0), 1, True, side=side).collect()}
+        assert all(m == any(there.get((i, y + a, x + b)) == 0 for a in (-1, 0, 1) for b in (-1, 0, 1)) for (i, y, x), m in grown.items())

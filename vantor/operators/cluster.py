@@ -260,7 +260,7 @@ def condensed_labels(tree: np.ndarray, n: int, min_size: int, allow_single: bool
 def density_clusters(
     df: DataFrame, min_cluster_size: int = 10, min_samples: int = 5, id_col: str = "vec_id", vec_col: str = "vec", metric: str = "euclidean", count_self: bool = False, by: str | None = None
 ) -> DataFrame:
-    """([by,] id, label, strength): core distances from the blocked neighbour table, then one tree per group in one task.
+    """([by,] id, label, strength): core distances and one tree per group, in one task that holds the group; the work is quadratic in it.
 
     count_self takes the point itself as its first neighbour. Groups (configurations, seeds) run side by side.
     """

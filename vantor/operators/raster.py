@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import cut
 
+#: Side of the square tiles that neighbourhood operators work on.
+TILE = 256
 # sRGB to XYZ under D65, the white point, and the constants of CIE Lab.
 RGB_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
 XYZ_RGB = ((3.240481343200527, -1.5371515162713185, -0.49853632616888777), (-0.9692549499965682, 1.8759900014898907, 0.04155592655829284), (0.055646639135177, -0.20404133836651123, 1.0573110696453443))
@@ -71,16 +75,59 @@ def pick_targets(stats: DataFrame, n: int, by: str = "image_id") -> DataFrame:
     return stats.withColumn("place", at).where(F.col("place").isin(places))
 
 
-def local_entropy(pixels: DataFrame, radius: int = 3, value: str = "v") -> DataFrame:
+def _disk(radius: int, square: bool = False) -> list[tuple[int, int]]:
+    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if square or dy * dy + dx * dx <= radius * radius]
+
+
+def tiled(pixels: DataFrame, value: str, reach: int, kernel, result: str, side: int = TILE) -> DataFrame:
+    """(image_id, y, x, result): kernel over square tiles with a margin of `reach` pixels, so a pixel travels about once, not once per offset.
+
+    kernel(values, present) takes arrays with the margin, int64 and bool, and gives an array without it; only pixels that are there come back.
+    """
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+    rows = pixels.select("image_id", "y", "x", F.col(value).cast("long").alias("v"), near("y").alias("ty")).select("*", near("x").alias("tx"))
+    name, kind = result.split()
+
+    def run(key, table):
+        image, ty, tx = (k.as_py() for k in key)
+        y, x = (table.column(c).to_numpy() - t * side + reach for c, t in (("y", ty), ("x", tx)))
+        values, present = np.zeros((side + 2 * reach,) * 2, np.int64), np.zeros((side + 2 * reach,) * 2, bool)
+        values[y, x], present[y, x] = table.column("v").to_numpy(), True
+        own = (y >= reach) & (y < side + reach) & (x >= reach) & (x < side + reach)
+        y, x = y[own] - reach, x[own] - reach
+        out = kernel(values, present)[y, x] if own.any() else np.zeros(0)
+        fields = pa.schema([("image_id", table.schema.field("image_id").type), ("y", pa.int32()), ("x", pa.int32()), (name, pa.float64() if kind == "double" else pa.bool_())])
+        return pa.table([pa.array([image] * len(y), fields.field(0).type), pa.array((y + ty * side).astype(np.int32)), pa.array((x + tx * side).astype(np.int32)), pa.array(out.astype(float if kind == "double" else bool))], schema=fields)
+
+    image = pixels.schema["image_id"].dataType.simpleString()
+    return rows.groupBy("image_id", "ty", "tx").applyInArrow(run, f"image_id {image}, y int, x int, {result}")
+
+
+def _shifted(a: np.ndarray, offsets: list[tuple[int, int]], reach: int) -> np.ndarray:
+    h, w = a.shape[0] - 2 * reach, a.shape[1] - 2 * reach
+    return np.stack([a[reach + dy : reach + dy + h, reach + dx : reach + dx + w] for dy, dx in offsets])
+
+
+def local_entropy(pixels: DataFrame, radius: int = 3, value: str = "v", side: int = TILE) -> DataFrame:
     """(image_id, y, x, entropy): Shannon entropy in bits of the values in a disk, clipped at the border."""
-    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])).alias("o")
-    spread = pixels.select("image_id", "y", "x", F.col(value).alias("val"), shift)
-    spread = spread.select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "val")
-    counts = spread.groupBy("image_id", "y", "x", "val").agg(F.count("*").alias("c"))
-    n = F.sum("c")
-    ent = counts.groupBy("image_id", "y", "x").agg((F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"))
-    return ent.join(pixels.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
+    offsets = _disk(radius)
+
+    def kernel(values, present):
+        # Each pixel's neighbourhood in order: runs are equal values; what is not there counts as one run that is left out.
+        gone = np.iinfo(np.int64).min
+        near = _shifted(np.where(present, values, gone), offsets, radius)
+        shape, m = near.shape[1:], len(near)
+        near = np.sort(near.reshape(m, -1).T, axis=1)
+        first = np.ones(near.shape, bool)
+        first[:, 1:] = near[:, 1:] != near[:, :-1]
+        start = np.flatnonzero(first)
+        length = np.diff(np.append(start, near.size)).astype(float)
+        length[near.ravel()[start] == gone] = 0
+        n = np.bincount(start // m, length, len(near))
+        total = np.bincount(start // m, length * np.log2(np.maximum(length, 1)), len(near))
+        return (np.log2(np.maximum(n, 1)) - total / np.maximum(n, 1)).reshape(shape)
+
+    return tiled(pixels, value, radius, kernel, "entropy double", side)
 
 
 def entropy_threshold(entropies: DataFrame, bins: int = 30, low: float = 0.5, high: float = 5.0, default: float = 2.0) -> DataFrame:
@@ -96,14 +143,15 @@ def entropy_threshold(entropies: DataFrame, bins: int = 30, low: float = 0.5, hi
     return g.groupBy("image_id").agg(F.coalesce(F.max_by(F.when(hit, F.col("edge")), F.when(hit, F.col("bin"))), F.lit(default)).alias("threshold"))
 
 
-def morphology(mask: DataFrame, radius: int, grow: bool, square: bool = True) -> DataFrame:
+def morphology(mask: DataFrame, radius: int, grow: bool, square: bool = True, side: int = TILE) -> DataFrame:
     """Dilation or erosion of (image_id, y, x, m) by a square or disk; beyond the border nothing is set for growth and all is for erosion."""
-    offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if square or dy * dy + dx * dx <= radius * radius]
-    shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])).alias("o")
-    s = mask.select("image_id", "y", "x", F.col("m").cast("int").alias("m"), shift)
-    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)  # only pixels of the image itself send this, so no join is needed to drop the others
-    s = s.groupBy("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg((F.max("m") if grow else F.min("m")).alias("m"), F.max(own).alias("own"))
-    return s.where("own").select("image_id", "y", "x", (F.col("m") > 0).alias("m"))
+    offsets = _disk(radius, square)
+
+    def kernel(values, present):
+        near = _shifted(np.where(present, values, 0 if grow else 1), offsets, radius)
+        return (near.max(0) if grow else near.min(0)) > 0
+
+    return tiled(mask, "m", radius, kernel, "m boolean", side)
 
 
 def opened(mask: DataFrame, radius: int, square: bool = True) -> DataFrame:
