@@ -160,6 +160,14 @@ def test_near_deduplicated_against_all_pairs(spark, part_bytes):
     assert simhash.near_deduplicated(table(spark, [])).count() == 0
 
 
+def test_intersections_against_sets():
+    rng = np.random.default_rng(5)
+    make = lambda n: [np.unique(rng.choice(np.array([*range(40), *range(1000, 1000 + 50 * n)], np.uint64), rng.integers(0, 60))) for _ in range(n)]
+    for a, b in ((make(70), make(90)), (make(3), make(1)), (make(2), []), ([np.zeros(0, np.uint64)], make(4))):
+        got = simhash.intersections(a, b)
+        assert got.shape == (len(a), len(b)) and all(got[i, j] == len(set(x.tolist()) & set(y.tolist())) for i, x in enumerate(a) for j, y in enumerate(b))
+
+
 def test_links_between_parts_join_groups_of_different_heads(spark):
     """A chain of sets, each similar to the next alone, over many parts; and sets that only share a component."""
     sets = [(1, i, np.arange(20 * i, 20 * i + 400, dtype="<u8").tobytes()) for i in range(60)] + [(2, 1000 + i, np.arange(300 * i, 300 * i + 400, dtype="<u8").tobytes()) for i in range(30)]

@@ -21,6 +21,8 @@ _BLOCK = 262_144
 BANDS, ROWS = 20, 5
 #: Shingle hashes that are compared with one another in one task.
 PART_BYTES = 4 << 20
+#: Sets of them, on average at most: all pairs of a part are one matrix.
+PART_SETS = 1024
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -180,40 +182,57 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(low.reshape(BANDS, ROWS))]
 
 
-def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each set the place of its group's first one; groups are the components of all pairs at the similarity.
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the common part of each set on the left with each on the right; sets are arrays of distinct numbers.
 
-    Sets of a group found already are one for what follows, so only pairs that could still join two groups are compared.
+    A number in few sets adds one to each pair of them; numbers in many sets are columns of two matrices that are multiplied, some thousands at once.
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
-    groups: list[list[int]] = []
-    held = [frozenset(x.tolist()) for x in sets]
-    for i in order:
-        mine, least, joined, others = held[i], similarity * len(held[i]), [i], []
-        for group in groups:
-            # Sets come by size: the latest members are the closest in size, and the first too small one ends the search.
-            for j in reversed(group):
-                if len(held[j]) < least:
-                    found = False
-                    break
-                both = len(mine & held[j])
-                if both >= similarity * (len(mine) + len(held[j]) - both):
-                    found = True
-                    break
-            else:
-                found = False
-            if found:
-                joined = group + joined if len(joined) == 1 else sorted(group + joined, key=lambda k: (len(sets[k]), k))
-            else:
-                others.append(group)
-        groups = [*others, joined]
-    out = [0] * len(sets)
-    for group in groups:
-        for i in group:
-            out[i] = min(group)
+    sides, out = [], np.zeros(len(left) * len(right), np.int64)
+    both = np.unique(np.concatenate([*left, *right, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+    for sets, place in ((left, both[: sum(map(len, left))]), (right, both[sum(map(len, left)) :])):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], owner[order], np.bincount(place, minlength=int(both.max(initial=-1)) + 1)))
+    (cl, ol, nl), (cr, orr, nr) = sides
+    few = nl * nr <= 1024
+    take = few[cl] & (nr[cl] > 0)
+    times = nr[cl[take]]
+    start = (np.cumsum(nr) - nr)[cl[take]]
+    at = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    out += np.bincount(np.repeat(ol[take], times) * len(right) + orr[at], minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    many = np.flatnonzero(~few)
+    for k in range(0, len(many), 2048):
+        part = many[k : k + 2048]
+        x = [np.zeros((n, len(part)), np.float32) for n in (len(left), len(right))]
+        for m, (c, o, _) in zip(x, sides):
+            s, e = np.searchsorted(c, part[0]), np.searchsorted(c, part[-1], "right")
+            column = np.minimum(np.searchsorted(part, c[s:e]), len(part) - 1)
+            mine = part[column] == c[s:e]
+            m[o[s:e][mine], column[mine]] = 1
+        out += np.rint(x[0] @ x[1].T).astype(np.int64)
     return out
 
 
+def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets have that Jaccard similarity; empty ones have none."""
+    both = intersections(left, right)
+    sizes = [np.array([len(x) for x in sets]) for sets in (left, right)]
+    return (both > 0) & (both >= similarity * (sizes[0][:, None] + sizes[1][None] - both))
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the place of its group's first one; groups are the components of all pairs at the similarity."""
+    near, label = similar(sets, sets, similarity), np.arange(len(sets))
+    while len(sets):
+        low = np.minimum(label, np.where(near, label[None], len(sets)).min(1))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return label.tolist()
+
+
 def _grouped(members: DataFrame, similarity: float) -> DataFrame:
     """(node, head) of members (component, part, node, hashes): groups of similar sets within each part, named by their least node."""
 
@@ -227,8 +246,9 @@ def _grouped(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _dealt(sets: DataFrame, part_bytes: int) -> DataFrame:
-    """sets (component, node, hashes) with a part of its component: parts hold about part_bytes each."""
-    sizes = sets.groupBy("component").agg(F.ceil(F.sum(F.length("hashes") + 64) / part_bytes).alias("parts"))
+    """sets (component, node, hashes) with a part of its component: parts hold about part_bytes and PART_SETS each."""
+    parts = F.greatest(F.ceil(F.sum(F.length("hashes") + 64) / part_bytes), F.ceil(F.count("*") / PART_SETS))
+    sizes = sets.groupBy("component").agg(parts.alias("parts"))
     return sets.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
@@ -274,28 +294,12 @@ def verified_groups(sets: DataFrame, similarity: float, part_bytes: int = PART_B
 
 
 def cross_links(left: list, right: list, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of nodes at the similarity, one for each two groups that have one; left and right hold (node, group, sorted hashes)."""
-    sides = [sorted(((n, g, frozenset(h.tolist())) for n, g, h in side), key=lambda r: len(r[2])) for side in (left, right)]
-    sizes, met, out, low = [len(r[2]) for r in sides[1]], {}, [], 0
-
-    def top(g):
-        while met.get(g, g) != g:
-            g = met[g]
-        return g
-
-    for node, group, mine in sides[0]:
-        while low < len(sizes) and sizes[low] < similarity * len(mine):
-            low += 1
-        for k in range(low, len(sizes)):
-            if similarity * sizes[k] > len(mine):
-                break
-            other, its, theirs = sides[1][k]
-            if top(group) != top(its):
-                both = len(mine & theirs)
-                if both >= similarity * (len(mine) + len(theirs) - both):
-                    out.append((node, other))
-                    met[top(group)] = top(its)
-    return out
+    """Pairs of nodes at the similarity, one for each two groups that have one; left and right hold (node, group, hashes)."""
+    a, b = np.nonzero(similar([r[2] for r in left], [r[2] for r in right], similarity))
+    groups = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    apart = np.flatnonzero(groups[0][a] != groups[1][b])
+    first = np.unique(np.stack([groups[0][a[apart]], groups[1][b[apart]]]), axis=1, return_index=True)[1] if len(apart) else apart
+    return [(left[i][0], right[j][0]) for i, j in zip(a[apart[first]], b[apart[first]])]
 
 
 def near_deduplicated(
