@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -280,6 +282,31 @@ def resized_nearest(pixels: DataFrame, h: int, w: int, new_h: int, new_w: int) -
     return grid.withColumns({"y": y, "x": x}).join(pixels, ["image_id", "y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
 
 
+def filter_weights(size: int, new_size: int, kernel: str) -> list[tuple[int, int, float]]:
+    """(new, old, weight) of a separable filter over pixel centres; where an image shrinks, the filter widens with it, and weights sum to 1."""
+    reach = {"box": 0.5, "bilinear": 1.0, "lanczos": 3.0}[kernel]
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    value = {"box": lambda x: float(-0.5 < x <= 0.5), "bilinear": lambda x: max(0.0, 1 - abs(x)), "lanczos": lambda x: sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0}[kernel]
+    scale = size / new_size
+    wide = max(1.0, scale)
+    out = []
+    for i in range(new_size):
+        centre = (i + 0.5) * scale
+        own = [(k, value((k + 0.5 - centre) / wide)) for k in range(max(0, math.floor(centre - reach * wide)), min(size, math.ceil(centre + reach * wide) + 1))]
+        total = sum(w for _, w in own)
+        out += [(i, k, w / total) for k, w in own if w]
+    return out
+
+
+def resampled(pixels: DataFrame, h: int, w: int, new_h: int, new_w: int, kernel: str = "lanczos", value: str = "v") -> DataFrame:
+    """(image_id, y, x, value): separable resampling by a box, triangle or Lanczos filter, columns first; values are not rounded."""
+    spark = pixels.sparkSession
+    across, down = (spark.createDataFrame(filter_weights(a, b, kernel), f"n{c} int, {c} int, w{c} double") for a, b, c in ((w, new_w, "x"), (h, new_h, "y")))
+    # The tables of weights have a few rows per new line or column.
+    rows = pixels.join(F.broadcast(across), "x").groupBy("image_id", "y", F.col("nx").alias("x")).agg(F.sum(F.col(value) * F.col("wx")).alias(value))
+    return rows.join(F.broadcast(down), "y").groupBy("image_id", F.col("ny").alias("y"), "x").agg(F.sum(F.col(value) * F.col("wy")).alias(value))
+
+
 def block_means(pixels: DataFrame, side_y: int, side_x: int, value: str = "v") -> DataFrame:
     """Area resampling by whole blocks."""
     return pixels.groupBy("image_id", F.floor(F.col("y") / side_y).cast("int").alias("y"), F.floor(F.col("x") / side_x).cast("int").alias("x")).agg(F.avg(value).alias(value))

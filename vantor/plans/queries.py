@@ -724,6 +724,27 @@ def nearest(spark, sf):
     return R.resized_nearest(pixels(spark, sf), 24, 32, 10, 14).select("image_id", "y", "x", "v")
 
 
+def _filter_sql(kernel: str, reach: float) -> str:
+    """Weights of a filter from 24 lines to 10 and from 32 columns to 40, and both passes."""
+
+    def weights(c: str, size: int, new: int) -> str:
+        scale = f"({size} / {new}::DOUBLE)"
+        d = f"((o.o + 0.5 - (n.n + 0.5) * {scale}) / greatest(1.0::DOUBLE, {scale}))"
+        return f"w{c} AS (SELECT n, o, {kernel.format(d=d)} AS w FROM range({new}) n(n) CROSS JOIN range({size}) o(o) WHERE abs({d}) < {reach}), u{c} AS (SELECT n, o, w / sum(w) OVER (PARTITION BY n) AS w FROM w{c})"
+
+    return "WITH " + PIX_ + ", " + weights("y", 24, 10) + ", " + weights("x", 32, 40) + " SELECT image_id, CAST(uy.n AS INTEGER) AS y, CAST(ux.n AS INTEGER) AS x, round(sum(v * uy.w * ux.w), 6) + 0.0 AS v FROM px JOIN uy ON uy.o = px.y JOIN ux ON ux.o = px.x GROUP BY ALL"
+
+
+@query("r15_bilinear", _filter_sql("1 - abs({d})", 1.0))
+def bilinear(spark, sf):
+    return rounded(R.resampled(pixels(spark, sf), 24, 32, 10, 40, "bilinear"), "v")
+
+
+@query("r15_lanczos", _filter_sql("CASE WHEN {d} = 0 THEN 1.0 ELSE 3 * sin(pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d} * pi() * {d}) END", 3.0))
+def lanczos(spark, sf):
+    return rounded(R.resampled(pixels(spark, sf), 24, 32, 10, 40, "lanczos"), "v")
+
+
 @query("r15_area", "WITH " + PIX_ + " SELECT image_id, CAST(y // 4 AS INTEGER) AS y, CAST(x // 8 AS INTEGER) AS x, round(avg(v), 6) AS v FROM px GROUP BY ALL")
 def area(spark, sf):
     return rounded(R.block_means(pixels(spark, sf), 4, 8), "v")
