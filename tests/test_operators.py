@@ -1,5 +1,7 @@
 """Hand-checked cases and properties of the operators."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +260,29 @@ def test_tiles_have_no_seams(spark):
             assert e == pytest.approx(-sum(q * np.log2(q) for q in p if q), abs=1e-9)
         grown = {(r.image_id, r.y, r.x): r.m for r in R.morphology(px.withColumn("m", F.col("v") == 0), 1, True, side=side).collect()}
         assert all(m == any(there.get((i, y + a, x + b)) == 0 for a in (-1, 0, 1) for b in (-1, 0, 1)) for (i, y, x), m in grown.items())
+
+
+def test_history_leads_the_search():
+    from vantor.plans import search as H
+
+    space = H.combos(a=list(range(8)), b=list(range(8)), c=list(range(6)))
+    value = lambda c: -abs(c["a"] - 5) - abs(c["b"] - 2) - abs(c["c"] - 4)
+
+    def found(sampler, n=60):
+        best = -math.inf
+        for _ in range(n):
+            c = sampler.ask()
+            sampler.tell(c, value(c))
+            best = max(best, value(c))
+        assert len({tuple(c.values()) for c, _ in sampler.history}) == n
+        return best
+
+    led = [found(H.HistorySampler(space, seed)) for seed in range(20)]
+    drawn = [found(H.GridSampler(space, 60, seed)) for seed in range(20)]
+    assert np.mean(led) > np.mean(drawn) and np.mean(led) > -0.6
+    assert [c for c, _ in (lambda s: (found(s), s.history))(H.HistorySampler(space, 3))[1]] == [c for c, _ in (lambda s: (found(s), s.history))(H.HistorySampler(space, 3))[1]]
+    s = H.HistorySampler(space[:3])
+    assert [s.ask() is None for _ in range(4)] == [False, False, False, True]
+    s.tell(space[0], None)
+    with pytest.raises(ValueError):
+        H.sampler_of("x", space, 3)

@@ -1,6 +1,7 @@
 """Parameter searches and pipelines: grids as tables, fits side by side, votes in SQL.
 
-Searches take a grid whole, or a seeded sample of it without replacement where it is larger than the number of trials.
+The density search draws its trials by their history; the others take a grid whole, or a seeded sample of it without replacement where it is larger than
+the number of trials.
 """
 
 from __future__ import annotations
@@ -31,6 +32,59 @@ def trials_of(space: list[dict], n_trials: int, seed: int = 42) -> list[dict]:
     return space if len(space) <= n_trials else random.Random(seed).sample(space, n_trials)
 
 
+class HistorySampler:
+    """Trials of a finite space, one after another, led by the values of earlier ones (larger is better).
+
+    The first `startup` trials are random. Then the history is parted into its best share and the rest; of the configurations not
+    tried yet, the one is taken whose choices are likeliest among the best against the rest, each axis counted on its own
+    and smoothed by one. Equal ones are drawn by the seed, so a search can be repeated.
+    """
+
+    def __init__(self, space: list[dict], seed: int = 42, startup: int = 10, best: float = 0.25):
+        self.left, self.startup, self.best = list(space), startup, best
+        self.axes = {k: sorted({c[k] for c in space}, key=repr) for c in space[:1] for k in c}
+        self.random = random.Random(seed)
+        self.history: list[tuple[dict, float]] = []
+
+    def ask(self) -> dict | None:
+        if not self.left:
+            return None
+        return self.left.pop(self.random.randrange(len(self.left)) if len(self.history) < self.startup else self._likeliest())
+
+    def tell(self, config: dict, value: float | None) -> None:
+        self.history.append((config, -math.inf if value is None or math.isnan(value) else value))
+
+    def _likeliest(self) -> int:
+        ranked = sorted(self.history, key=lambda h: -h[1])
+        n = max(1, math.ceil(self.best * len(ranked)))
+        share = []
+        for part in (ranked[:n], ranked[n:]):
+            counts = {k: {v: 1.0 for v in values} for k, values in self.axes.items()}
+            for config, _ in part:
+                for k in counts:
+                    counts[k][config[k]] += 1
+            share.append({k: {v: c / (len(part) + len(own)) for v, c in own.items()} for k, own in counts.items()})
+        score = [sum(math.log(share[0][k][c[k]] / share[1][k][c[k]]) for k in self.axes) for c in self.left]
+        top = max(score)
+        return self.random.choice([i for i, s in enumerate(score) if s > top - 1e-12])
+
+
+class GridSampler(HistorySampler):
+    """The whole space, or a seeded sample of it, in order; values are not used."""
+
+    def __init__(self, space: list[dict], n_trials: int, seed: int = 42):
+        super().__init__(trials_of(space, n_trials, seed), seed)
+
+    def ask(self) -> dict | None:
+        return self.left.pop(0) if self.left else None
+
+
+def sampler_of(kind: str, space: list[dict], n_trials: int, seed: int = 42) -> HistorySampler:
+    if kind not in ("history", "grid"):
+        raise ValueError(f"unknown sampler {kind}")
+    return HistorySampler(space, seed) if kind == "history" else GridSampler(space, n_trials, seed)
+
+
 def grid(spark: SparkSession, **axes) -> DataFrame:
     rows = [(i, *c.values()) for i, c in enumerate(combos(**axes))]
     return spark.createDataFrame(rows, ["config_no", *axes])
@@ -163,19 +217,20 @@ def coordinates(df: DataFrame) -> DataFrame:
 
 
 
-def search_density(df: DataFrame, space: list[dict], seeds: list[int], n_trials: int = 50, epochs: int = 100, vec_col: str = "vec", bounds=(6, 12), max_noise: float = 0.33, min_valid: float = 0.8, min_common: float = 0.2, min_modal: float = 0.7, weights=(0.7, 0.3)) -> tuple[DataFrame, dict | None]:
+def search_density(df: DataFrame, space: list[dict], seeds: list[int], n_trials: int = 50, epochs: int = 100, vec_col: str = "vec", bounds=(6, 12), max_noise: float = 0.33, min_valid: float = 0.8, min_common: float = 0.2, min_modal: float = 0.7, weights=(0.7, 0.3), sampler: str = "history") -> tuple[DataFrame, dict | None]:
     """(trial table, best): layouts and density clusterings of each configuration over all seeds, and the chosen run.
 
     space holds {n_neighbors, n_components, min_dist, min_cluster_size, min_samples}. Layouts are shared by configurations that
-    differ in the clustering alone. A trial fails for the first reason that applies, else its value is the weighted sum of mean
+    differ in the clustering alone. sampler: "history" leads trials by earlier values, "grid" takes the space or a seeded sample of it. A trial fails for the first reason that applies, else its value is the weighted sum of mean
     validity and mean agreement. The best trial's runs are walked in the order of their agreement with the others, and the
     first valid one is chosen; best has its configuration, seed, labels, recovery in the other valid runs, and layout.
     """
-    space = trials_of(space, n_trials)
+    draw = sampler_of(sampler, space, n_trials)
     df = cut(df)
     shared: dict[tuple, DataFrame] = {}
     rows, kept = None, []
-    for i, c in enumerate(space):
+    for i in range(min(n_trials, len(space))):
+        c = draw.ask()
         key = (c["n_neighbors"], c["n_components"], c.get("min_dist", 0.0))
         if key not in shared:
             configs = [{"n_neighbors": key[0], "n_components": key[1], "min_dist": key[2], "seed": s} for s in seeds]
@@ -187,10 +242,10 @@ def search_density(df: DataFrame, space: list[dict], seeds: list[int], n_trials:
         modal = S.modal_count(records).select(F.col("mode").alias("modal_clusters"), F.col("ratio").alias("modal_ratio"))
         row = S.seed_aggregates(records).crossJoin(modal).crossJoin(M.stability_summary(pairs))
         # One written row per trial: the plan of the table is a union of short scans, however many trials there are.
-        row = cut(row.withColumns({"trial_number": F.lit(i), **{k: F.lit(v) for k, v in c.items()}}))
+        row = row.withColumns({"trial_number": F.lit(i), **{k: F.lit(v) for k, v in c.items()}}).withColumn("reason", S.config_validity(min_valid, min_common, min_modal))
+        row = cut(row.withColumn("value", F.when(F.col("reason") == "ok", weights[0] * F.col("mean_dbcv") + weights[1] * F.col("mean_ari")).otherwise(-10.0)))
+        draw.tell(c, row.first()["value"])
         rows = row if rows is None else rows.unionByName(row)
-    rows = rows.withColumn("reason", S.config_validity(min_valid, min_common, min_modal))
-    rows = rows.withColumn("value", F.when(F.col("reason") == "ok", weights[0] * F.col("mean_dbcv") + weights[1] * F.col("mean_ari")).otherwise(-10.0)).persist()
     top = rows.where("reason = 'ok'").orderBy(F.desc("value"), "trial_number").first()
     if top is None:
         return rows, None
