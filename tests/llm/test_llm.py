@@ -747,12 +747,13 @@ def test_strict_media_fail(spark):
         media.media_features(bad, strict=True).collect()
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("rank_rows", [50_000, 3])
+def test_packing(spark, rank_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     data = corpus() + [(700, "word " * 3000), (701, "naïve ½ ² <|endoftext|> 漢字​  x\r\n\t y's _a_ ÷ 1٣")]
-    out = packing.pack(table(spark, data)).toPandas()
+    out = packing.pack(table(spark, data), rank_rows=rank_rows).toPandas()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter()
     for i, t, *_ in data:

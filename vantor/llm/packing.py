@@ -18,8 +18,8 @@ _UNSAFE = re.compile(rf"[^\t\n\r\x20-\x7e¡¿–—‘-„…{_LETTER}]")
 _SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\r{_LETTER}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: Entries of a worker's memory of split pieces; it is emptied when full.
 CACHE_ENTRIES = 300_000
-#: Parts of each length's pieces that are ranked apart; so the table of counts has at most sequence * RANK_BINS rows.
-RANK_BINS = 512
+#: Pieces of one length that are ranked together, on average at most: a length has as many parts as it needs.
+RANK_ROWS = 50_000
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -193,7 +193,7 @@ def column_generation(demand: np.ndarray, capacity: int, max_rounds: int = 600)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = 2048, end_id: int = 1, grain: int = 8
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = 2048, end_id: int = 1, grain: int = 8, rank_rows: int = RANK_ROWS
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece of a document.
 
@@ -206,7 +206,9 @@ def pack(
         raise ValueError("sequence must be a multiple of grain")
     pieces = stored(token_pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, sequence, end_id), "pieces")
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
-    pieces = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BINS)).cast("int"))
+    # A row per length: at most `sequence` of them, so they are broadcast.
+    lengths = stored(pieces.groupBy("length").agg(F.ceil(F.count("*") / rank_rows).alias("bins")), "lengths")
+    pieces = pieces.join(F.broadcast(lengths), "length").withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("bins"))).drop("bins")
     counts = stored(pieces.groupBy("size", "length", "bin").count(), "lengths")
     capacity = sequence // grain
     demand = np.zeros(capacity + 1, np.int64)
