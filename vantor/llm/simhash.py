@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import connected_components, lower_ascii, stored, unused
+from .common import checked_broadcast, connected_components, lower_ascii, stored, unused
 
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 _BLOCK = 262_144
@@ -21,6 +21,8 @@ _BLOCK = 262_144
 BANDS, ROWS = 20, 5
 #: Shingle hashes that are compared with one another in one task.
 PART_BYTES = 4 << 20
+#: Rows of one to three numbers that are broadcast, at most: some 10 MB.
+NUMBERS = 1 << 19
 #: Sets of them, on average at most: all pairs of a part are one matrix.
 PART_SETS = 1024
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -259,15 +261,15 @@ def verified_groups(sets: DataFrame, similarity: float, part_bytes: int = PART_B
     by itself; then one set of each group meets the others' until that joins no more, which settles groups of near copies
     however large they are. Only what is still apart in a component of several parts is compared part by part.
     """
-    dealt = stored(_dealt(sets, part_bytes), "sets")
-    links = stored(_grouped(dealt, similarity), "groups")
+    dealt = stored(_dealt(sets, part_bytes), "sets", tidy=True)
+    links = stored(_grouped(dealt, similarity), "groups", tidy=True)
     wide = dealt.where("parts > 1").select("component").distinct()
     heads = links.join(wide, "component", "left_semi")
     known = links.select(F.col("node").alias("src"), F.col("head").alias("dst"))
     count = heads.where("node = head").count()
     while count:
         met = heads.where("node = head").select("node")
-        again = stored(_grouped(_dealt(dealt.join(met, "node", "left_semi").select("component", "node", "hashes"), part_bytes), similarity), "groups")
+        again = stored(_grouped(_dealt(dealt.join(met, "node", "left_semi").select("component", "node", "hashes"), part_bytes), similarity), "groups", tidy=True)
         known = known.union(again.select(F.col("node").alias("src"), F.col("head").alias("dst")))
         heads, before = again, count
         count = again.where("node = head").count()
@@ -332,7 +334,7 @@ def near_deduplicated(
     full = stored(docs.mapInArrow(run, schema), "fingerprints")
     rows = full.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(n).alias(m) for n, m in zip(added, ("_fp", "_value", "_bands", "_row"))])
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("best")
-    values = stored(rows.groupBy("_value").agg(best, F.first("_fp").alias("fp"), F.first("_bands").alias("bands")).select("_value", F.col("best.id").alias("root"), F.col("best._row").alias("_row"), "fp", "bands"), "values")
+    values = stored(rows.groupBy("_value").agg(best, F.first("_fp").alias("fp"), F.first("_bands").alias("bands")).select("_value", F.col("best.id").alias("root"), F.col("best._row").alias("_row"), "fp", "bands"), "values", tidy=True)
 
     # Each value is tied to the smallest of its band, and fingerprints within the radius tie their smallest values.
     keys = values.where(F.size("bands") > 0).select("_value", F.posexplode(F.array_append("bands", F.col("fp"))).alias("band", "key"))
@@ -341,7 +343,7 @@ def near_deduplicated(
     fps = stored(values.where(F.size("bands") > 0).groupBy("fp").agg(F.min("_value").alias("v")), "fingerprints")
     near = multi_index_links(fps.select("fp"), radius, segments)
     near = near.join(fps.select(F.col("fp").alias("a"), F.col("v").alias("src")), "a").join(fps.select(F.col("fp").alias("b"), F.col("v").alias("dst")), "b").select("src", "dst")
-    found = stored(connected_components(ties.union(near).distinct()), "candidates")
+    found = stored(connected_components(ties.union(near).distinct()), "candidates", tidy=True)
     candidates = found.union(found.select(F.col("component").alias("node"), "component").distinct())
 
     def hashed(batches):
@@ -349,9 +351,12 @@ def near_deduplicated(
             sets = [shingle_hashes(t.encode(), shingle).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "node", "hashes"])
 
-    members = candidates.join(values.select(F.col("_value").alias("node"), "_row"), "node")
-    texts = rows.select("_row", "text").join(members, "_row").select("component", "node", "text")
+    # Lists of row numbers are sent to the texts where they are counted to be short; beyond that Spark joins by shuffling both.
+    members = stored(candidates.join(values.select(F.col("_value").alias("node"), "_row"), "node"), "members", tidy=True)
+    texts = rows.select("_row", "text").join(checked_broadcast(members, NUMBERS), "_row").select("component", "node", "text")
     groups = verified_groups(texts.mapInArrow(hashed, "component long, node long, hashes binary"), similarity, part_bytes)
     named = values.join(groups, values["_value"] == groups["node"], "left").select("root", "_row", F.coalesce("head", "_value").alias("component"))
     chosen = named.groupBy("component").agg(F.min(F.struct(F.col("root").isNull().alias("none"), "root", "_row")).alias("best"))
-    return full.join(stored(chosen.select(F.col("best._row").alias(added[3])), "chosen"), added[3], "left_semi").select(*names)
+    lost = rows.select("_row").join(chosen.select(F.col("best._row").alias("_row")), "_row", "left_anti")
+    lost = stored(lost.withColumnRenamed("_row", added[3]), "lost", tidy=True)
+    return full.join(checked_broadcast(lost, NUMBERS), added[3], "left_anti").select(*names)
