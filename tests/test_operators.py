@@ -12,6 +12,7 @@ from vantor.operators import neighbors as N
 from vantor.operators import projection as P
 from vantor.operators import raster as R
 from vantor.operators import selection as S
+from vantor.operators import trees
 from vantor.sources import files
 
 
@@ -150,6 +151,57 @@ def test_density_validity():
     assert good > 0.5 > bad and np.isnan(C.density_validity(x, np.zeros(len(x))))
 
 
+def cells_of(monkeypatch, module):
+    """The sizes of the matrices of distances that a module asks for."""
+    seen, real = [], module.distances
+    monkeypatch.setattr(module, "distances", lambda a, b, metric: seen.append(len(a) * len(b)) or real(a, b, metric))
+    return seen
+
+
+def test_density_validity_holds_no_pairs(monkeypatch):
+    x, y = blobs(n=1200)
+    whole = np.sqrt(((x[:1200, None] - x[None, :1200]) ** 2).sum(2)).round(9)
+    inverse = np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)
+    assert np.allclose(C._spread(x[:1200]), ((inverse**2).sum(1) / 1199) ** -0.5)
+    seen = cells_of(monkeypatch, C), cells_of(monkeypatch, trees)
+    assert 0.5 < C.density_validity(x, y) < 1 and max(map(max, seen)) <= C.CELLS
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_trees_of_blocks(monkeypatch, metric):
+    """Weights of the tree and core distances against all pairs; rounded points have copies and equal distances."""
+    x = np.round(np.vstack([blobs(n=500)[0], np.random.default_rng(3).uniform(-9, 9, (300, 2))]), 1)
+    full = N.distances(x, x, metric)
+    core = np.partition(full, 5, axis=1)[:, 5]
+    seen = cells_of(monkeypatch, trees)
+    assert (trees.Space(x, metric).core(5) == core).all()
+    a, b = np.triu_indices(len(x), 1)
+    want = trees.sparse_tree(a, b, np.maximum(np.maximum(full[a, b], core[a]), core[b]), len(x))
+    got = trees.tree_by_blocks(x, core, metric)
+    assert max(seen) <= trees.LEAF * trees.LEAF * trees.GROUP and np.array_equal(got, want)
+    grown = trees.tree_by_rows(x, core, metric)
+    assert np.array_equal(np.sort(grown[:, 2]), want[:, 2])
+    labels, strength = C.condensed_labels(want, len(x), 10)
+    for tree in (grown, trees.sparse_tree(len(x) - 1 - a, len(x) - 1 - b, np.maximum(np.maximum(full[a, b], core[a]), core[b]), len(x))):
+        tree = tree if tree is grown else np.column_stack([len(x) - 1 - tree[:, :2], tree[:, 2]])
+        other, also = C.condensed_labels(tree, len(x), 10)
+        assert (other == labels).all() and (also == strength).all()
+
+
+def test_density_clusters_of_pairs_of_blocks(spark, monkeypatch):
+    """Trees of pairs of blocks in all tasks give the labels of one tree in one task."""
+    x, y = blobs(n=150)
+    d = vectors(spark, np.hstack([np.round(x, 1), np.random.default_rng(5).normal(0, 0.1, (450, 18))]), y).withColumnRenamed("embedding", "vec")
+    edges = C.tree_candidates(d, 5, rows=64)
+    assert edges.count() < 450 * 449 / 4
+    one = C.density_clusters(d.withColumn("g", F.lit(0)), 10, 5, by="g").orderBy("vec_id").collect()
+    monkeypatch.setattr(C.tree_candidates, "__defaults__", (*C.tree_candidates.__defaults__[:-1], 64))
+    many = C.density_clusters(d, 10, 5).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.label) for r in many] == [(r.vec_id, r.label) for r in one] and len({r.label for r in one}) >= 3
+    assert [r.strength for r in many] == pytest.approx([r.strength for r in one])
+    assert [r.label for r in C.density_clusters(d.limit(1), 10, 5).collect()] == [-1] and not C.density_clusters(d.where("vec_id < 0"), 10, 5).collect()
+
+
 def test_mixture(spark):
     x, y = blobs()
     d = vectors(spark, x, y).withColumnRenamed("embedding", "vec")

@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbors import distances, knn
+from .durable import cut
+from .neighbors import _mat, _vec, distances, knn, met
+from .trees import Space, spanning_tree, sparse_tree, tree_by_rows
 
 #: Rows that a mixture's start is drawn from, at most; EM itself uses all rows.
 START_ROWS = 20_000
 COVARIANCES = ("full", "tied", "diag", "spherical")
+#: Points of a block whose tree with another block is found in one step, and cells of a matrix of distances at most.
+TREE_ROWS, CELLS = 4096, 1 << 17
 
 
 def parameter_count(k: int, d: int, covariance: str) -> int:
@@ -151,26 +155,14 @@ def assign_mixture(df: DataFrame, model: dict, id_col: str = "vec_id", vec_col:
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, f"{id_col} long, label int, prob array<double>")
 
 
-def spanning_tree(x: np.ndarray, core: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree of mutual reachability, one row of distances at a time."""
-    n = len(x)
-    best, link, done = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
-    out, at = np.empty((n - 1, 3)), 0
-    for k in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.maximum(distances(x[at : at + 1], x, metric)[0], core), core[at])
-        closer = ~done & (d < best)
-        best[closer], link[closer] = d[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        out[k] = link[at], at, best[at]
-    return out
-
-
 def condensed_labels(tree: np.ndarray, n: int, min_size: int, allow_single: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, strengths) by excess of mass over the hierarchy of a spanning tree; -1 is noise."""
+    """(labels, strengths) by excess of mass over the hierarchy of a spanning tree; -1 is noise.
+
+    Edges of equal weight part a cluster at once, so that labels follow from the points, whichever of the equal trees is given.
+    """
     order = np.argsort(tree[:, 2], kind="stable")
     parent, size, kids, height = list(range(n)), [1] * n, {}, {}
-    top = list(range(n))
+    top, least = list(range(n)), list(range(n))
 
     def find(i):
         while parent[i] != i:
@@ -183,6 +175,7 @@ def condensed_labels(tree: np.ndarray, n: int, min_size: int, allow_single: bool
         node = len(size)
         kids[node], height[node] = (top[ra], top[rb]), w
         size.append(size[top[ra]] + size[top[rb]])
+        least.append(min(least[top[ra]], least[top[rb]]))
         parent[rb] = ra
         top[ra] = node
     root = len(size) - 1
@@ -204,19 +197,25 @@ def condensed_labels(tree: np.ndarray, n: int, min_size: int, allow_single: bool
     while stack:
         node, c = stack.pop()
         while node >= n:
-            a, b = kids[node]
+            parts, same = [], [node]
+            while same:
+                v = same.pop()
+                if v >= n and height[v] == height[node]:
+                    same += kids[v]
+                else:
+                    parts.append(v)
             level = lam(height[node])
-            big = [v for v in (a, b) if size[v] >= min_size]
-            if len(big) == 2:
+            big = sorted((v for v in parts if size[v] >= min_size), key=least.__getitem__)
+            for v in parts:
+                if size[v] < min_size:
+                    left[c] += [(p, level) for p in leaves(v)]
+            if len(big) > 1:
                 for v in big:
                     new = len(birth)
                     birth[new], left[new], child[new] = level, [], []
                     child[c].append(new)
                     stack.append((v, new))
                 break
-            for v in (a, b):
-                if v not in big:
-                    left[c] += [(p, level) for p in leaves(v)]
             if not big:
                 break
             node = big[0]
@@ -257,27 +256,45 @@ def condensed_labels(tree: np.ndarray, n: int, min_size: int, allow_single: bool
     return labels, strength
 
 
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """A column of vectors, without Python numbers in between."""
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks] or [np.zeros(0)])
+    return flat.reshape(table.num_rows, -1)
+
+
 def density_clusters(
     df: DataFrame, min_cluster_size: int = 10, min_samples: int = 5, id_col: str = "vec_id", vec_col: str = "vec", metric: str = "euclidean", count_self: bool = False, by: str | None = None
 ) -> DataFrame:
-    """([by,] id, label, strength): core distances and one tree per group, in one task that holds the group; the work is quadratic in it.
+    """([by,] id, label, strength) by core distances and a tree per group.
 
-    count_self takes the point itself as its first neighbour. Groups (configurations, seeds) run side by side.
+    count_self takes the point itself as its first neighbour. Groups (configurations, seeds) run side by side, one task each, which
+    holds a group's points but never its pairs. Without groups, neighbours and trees are found by blocks in all tasks, and one task
+    holds the edges of these trees.
     """
-    if by is None:
-        return density_clusters(df.withColumn("_g", F.lit(0)), min_cluster_size, min_samples, id_col, vec_col, metric, count_self, "_g").drop("_g")
     steps = min_samples - 1 if count_self else min_samples
+    if by is None:
+        rows = cut(df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias(vec_col)))
+        edges = tree_candidates(rows, steps, id_col, vec_col, metric)
+        every = edges.unionByName(rows.select(F.col(id_col).alias("a"), F.col(id_col).alias("b"), F.lit(0.0).alias("weight")))
+
+        def label(table):
+            a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "weight"))
+            ids, real = np.unique(a[a == b]), a != b
+            a, b = np.searchsorted(ids, a[real]), np.searchsorted(ids, b[real])
+            labels, strength = condensed_labels(sparse_tree(a, b, w[real], len(ids)), len(ids), min_cluster_size) if len(ids) > 1 else (np.full(len(ids), -1), np.zeros(len(ids)))
+            return pa.table({id_col: ids, "label": labels.astype(np.int32), "strength": strength})
+
+        return every.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(label, f"{id_col} long, label int, strength double")
 
     def fit(key, table):
         order = np.argsort(table.column(id_col).to_numpy(), kind="stable")
         ids = table.column(id_col).to_numpy()[order]
-        x = np.array(table.column(vec_col).to_pylist())[order]
+        x = _matrix(table, vec_col)[order]
         n = len(x)
         if n < 2:
             labels, strength = np.full(n, -1), np.zeros(n)
         else:
-            k = min(steps, n - 1)
-            core = np.concatenate([np.partition(distances(p, x, metric), k, axis=1)[:, k] for p in np.array_split(x, max(1, n // 256))])
+            core = Space(x, metric).core(min(steps, n - 1))
             labels, strength = condensed_labels(spanning_tree(x, core, metric), n, min_cluster_size)
         return pa.table({by: pa.array([key[0].as_py()] * n, table.schema.field(by).type), id_col: ids, "label": labels.astype(np.int32), "strength": strength})
 
@@ -286,40 +303,73 @@ def density_clusters(
     return rows.groupBy(by).applyInArrow(fit, f"{by} {kind}, {id_col} long, label int, strength double")
 
 
+def tree_candidates(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec", metric: str = "euclidean", rows: int = TREE_ROWS) -> DataFrame:
+    """(a, b, weight), a < b: edges of mutual reachability that hold the spanning tree of all points.
+
+    Each pair of blocks has a tree of its own. An edge that such a tree leaves out closes a cycle of earlier edges, so the tree of all leaves it out too.
+    """
+    core = F.lit(0.0)
+    if k > 0:
+        df = df.join(knn(df, k, id_col, vec_col, metric).groupBy(F.col("i").alias(id_col)).agg(F.max("dist").alias("core")), id_col, "left")
+        core = F.coalesce("core", F.lit(0.0))
+    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, math.ceil(df.count() / rows))))
+    got = df.select(block.alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), core.alias("core")).alias("item")).groupBy("block").agg(F.collect_list("item").alias("items"))
+    b = got.select("block", *[F.col(f"items.{c}").alias(c) for c in ("id", "vec", "core")])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = [0] if batch.column(0)[r] == batch.column(4)[r] else [0, 4]
+                ids, core = (np.concatenate([_vec(batch.column(s + c)[r]) for s in sides]) for c in (1, 3))
+                x = np.concatenate([_mat(batch.column(s + 2)[r]) for s in sides])
+                order = np.argsort(ids, kind="stable")
+                ids, tree = ids[order], spanning_tree(x[order], core[order], metric)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[tree[:, 0].astype(np.int64)]), pa.array(ids[tree[:, 1].astype(np.int64)]), pa.array(tree[:, 2])], ["a", "b", "weight"])
+
+    return met(b, b).where("q_block <= block").mapInArrow(run, "a long, b long, weight double").distinct()
+
+
 def core_distances(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(i, core): distance to the k-th neighbour, self not counted."""
     return knn(df, k, id_col, vec_col).where(F.col("rank") == k).select("i", F.col("dist").alias("core"))
 
 
+def _spread(p: np.ndarray) -> np.ndarray:
+    """Each point's mean of the inverse distances to all others, to the power of the dimension, as a distance."""
+    n, d = p.shape
+    out = np.zeros(n)
+    for s in range(0, n, max(1, CELLS // n)):
+        dist = distances(p[s : s + max(1, CELLS // n)], p, "euclidean")
+        inverse = np.divide(1.0, dist, out=np.zeros_like(dist), where=dist > 0)
+        high = inverse.max(1)
+        inverse /= np.where(high > 0, high, 1)[:, None]
+        np.power(inverse, d, out=inverse)
+        some = high > 0
+        out[s : s + len(dist)][some] = 1 / high[some] * (inverse.sum(1)[some] / (n - 1)) ** (-1 / d)
+    return out
+
+
 def density_validity(x: np.ndarray, labels: np.ndarray) -> float:
     """Density-based validity: per cluster (separation - sparseness) / max, weighted by size over all points, noise included."""
     names = [c for c in np.unique(labels) if c != -1]
     if len(names) < 2:
         return math.nan
-    d = x.shape[1]
-    inner, core, sparse = {}, {}, {}
-    for c in names:
-        p = x[labels == c]
-        inner[c] = p
+    points = x[labels != -1]
+    place = np.searchsorted(names, labels[labels != -1])
+    core, sparse = np.zeros(len(points)), np.zeros(len(names))
+    for c in range(len(names)):
+        mine = place == c
+        p = points[mine]
         if len(p) < 2:
-            core[c], sparse[c] = np.zeros(len(p)), 0.0
             continue
-        dist = distances(p, p, "euclidean")
-        with np.errstate(divide="ignore", over="ignore"):
-            inverse = np.where(dist > 0, 1 / np.where(dist > 0, dist, 1), 0.0)
-        high = inverse.max(1, keepdims=True)
-        ratio = np.where(high > 0, inverse / np.where(high > 0, high, 1), 0)
-        core[c] = np.where(high[:, 0] > 0, 1 / np.where(high[:, 0] > 0, high[:, 0], 1) * ((ratio**d).sum(1) / (len(p) - 1)) ** (-1 / d), 0.0)
-        tree = spanning_tree(p, core[c])
+        core[mine] = _spread(p)
+        tree = tree_by_rows(p, core[mine])  # which of equal trees matters here
         degree = np.bincount(tree[:, :2].astype(int).ravel(), minlength=len(p))
         own = (degree[tree[:, 0].astype(int)] > 1) & (degree[tree[:, 1].astype(int)] > 1)
         sparse[c] = float(tree[own, 2].max() if own.any() else tree[:, 2].max())
-    out = 0.0
-    for c in names:
-        apart = min(float(np.maximum(np.maximum(distances(inner[c], inner[o], "euclidean"), core[c][:, None]), core[o][None]).min()) for o in names if o != c)
-        top = max(apart, sparse[c])
-        out += len(inner[c]) / len(x) * ((apart - sparse[c]) / top if top > 0 else 0.0)
-    return out
+    apart = Space(points).ways_out(core, place)[2]
+    top = np.maximum(apart, sparse)
+    return float((np.bincount(place) / len(x) * np.where(top > 0, (apart - sparse) / np.where(top > 0, top, 1), 0.0)).sum())
 
 
 def communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float = 1.0, kind: str = "RBConfiguration", rounds: int = 2, seed: int = 42) -> np.ndarray:

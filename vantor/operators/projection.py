@@ -239,6 +239,6 @@ def manifold(
         src, dst, weight = src[order], dst[order], table.column("weight").to_numpy()[order]
         ids = np.unique(np.concatenate([src, dst]))
         y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0), c.get("init", "spectral"))
-        return pa.table({"config": np.full(len(ids), number, np.int32), id_col: ids, "vec": pa.array(y.tolist(), pa.list_(pa.float64()))})
+        return pa.table({"config": np.full(len(ids), number, np.int32), id_col: ids, "vec": pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * y.shape[1], y.ravel())})
 
     return out.groupBy("config").applyInArrow(fit, f"config int, {id_col} long, vec array<double>")

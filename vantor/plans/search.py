@@ -175,8 +175,7 @@ def stable_density_runs(layouts: DataFrame, seeds: list[int], min_cluster_size:
     labels = cut(C.density_clusters(layouts, min_cluster_size, min_samples, by="config"))
 
     def validity(key, table):
-        x = np.array(table.column("vec").to_pylist())
-        v = C.density_validity(x, table.column("label").to_numpy())
+        v = C.density_validity(C._matrix(table, "vec"), table.column("label").to_numpy())
         return pa.table({"config": pa.array([key[0].as_py()], pa.int32()), "dbcv": pa.array([None if math.isnan(v) else v], pa.float64())})
 
     scores = layouts.join(labels, ["config", "vec_id"]).select("config", "vec", "label").groupBy("config").applyInArrow(validity, "config int, dbcv double")
