@@ -338,3 +338,13 @@ def test_history_leads_the_search():
     s.tell(space[0], None)
     with pytest.raises(ValueError):
         H.sampler_of("x", space, 3)
+
+
+def test_preservation_of_many_rows(spark, monkeypatch):
+    """n * k * (2 n - 3 k - 1) is beyond an int; ten pairs stand for the neighbours."""
+    pairs = spark.createDataFrame([(s, i, i + 1, 1, 31) for s in (0, 1) for i in range(5)], "space int, i long, j long, rank int, other int")
+    monkeypatch.setattr(M, "neighbor_ranks", lambda *_: pairs)
+    n = 200_000
+    rows = {r.k: r for r in M.neighbor_preservation(spark.range(n), None, (5, 15)).collect()}
+    for k, r in rows.items():
+        assert r.trustworthiness == r.continuity == pytest.approx(1 - 2 * 5 * (31 - k) / (n * k * (2 * n - 3 * k - 1)), abs=1e-15)

@@ -35,7 +35,8 @@ def neighbor_preservation(high: DataFrame, low: DataFrame, ks, id_col: str = "ve
     near = cells.join(F.broadcast(sizes), F.col("rank") <= F.col("k"))
     hits = F.sum(F.when((F.col("space") == 0) & (F.col("at") <= F.col("k")), F.col("n")).otherwise(0)) / (F.lit(n) * F.col("k"))
     lost = lambda space: sum((F.coalesce(F.sum(F.when((F.col("space") == space) & (F.col("k") == k), F.col(f"over{k}"))), F.lit(0)) for k in ks), F.lit(0))
-    worst = F.lit(n) * F.col("k") * (2 * n - 3 * F.col("k") - 1)
+    k = F.col("k").cast("long")  # n * n * k is beyond an int from some 10,000 rows on
+    worst = F.lit(n) * k * (2 * n - 3 * k - 1)
     per = near.groupBy("k").agg(hits.alias("qnn"), (1 - 2.0 * lost(1) / F.nullif(worst, F.lit(0))).alias("trustworthiness"), (1 - 2.0 * lost(0) / F.nullif(worst, F.lit(0))).alias("continuity"))
     per = per.withColumn("lcmc", F.col("qnn") - F.col("k") / F.lit(n - 1))
     auc = per.agg(F.avg("lcmc").alias("auc_lcmc"))
