@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,14 +185,24 @@ def label_style(col: str = "label") -> list[Column]:
     return [F.when(noise, "Noise").otherwise(F.concat(F.lit("Cluster "), F.col(col).cast("string"))).alias("name"), F.when(noise, -1).otherwise(order % 20).cast("int").alias("colour")]
 
 
-def split_items(items: DataFrame, key: str, train: float, valid: float, seed: int = 1) -> DataFrame:
-    """(key, split): a seeded order cut at floored counts, the rest given by largest remainder, ties in order train, valid, test."""
-    shares = [train, valid, 1 - train - valid]
-    n = items.count()
-    wanted = [n * s for s in shares]
+def split_counts(n: int, train: float, valid: float, rest: str = "remainder") -> list[int]:
+    """Sizes of train, valid and test: floored shares of n, and what is left by largest remainder, ties in that order, or all of it to "test"."""
+    if rest not in ("remainder", "test"):
+        raise ValueError(f"unknown rest {rest}")
+    if rest == "test":
+        # Shares as they are written: a product of floats can lie just below a whole number.
+        first = [math.floor(n * Fraction(str(s))) for s in (train, valid)]
+        return [*first, n - sum(first)]
+    wanted = [n * s for s in (train, valid, 1 - train - valid)]
     counts = [math.floor(w) for w in wanted]
     for i in sorted(range(3), key=lambda i: -(wanted[i] - counts[i]))[: n - sum(counts)]:
         counts[i] += 1
+    return counts
+
+
+def split_items(items: DataFrame, key: str, train: float, valid: float, seed: int = 1, rest: str = "remainder") -> DataFrame:
+    """(key, split): a seeded order cut at the sizes of split_counts."""
+    counts = split_counts(items.count(), train, valid, rest)
     split = F.when(F.col("at") <= counts[0], "train").when(F.col("at") <= counts[0] + counts[1], "valid").otherwise("test")
     return seeded_order(items, key, seed).select(key, split.alias("split"))
 
