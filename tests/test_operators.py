@@ -369,3 +369,19 @@ def test_label_pairs_in_blocks(spark, monkeypatch):
     assert set(got) == set(want)
     for k, (n, d) in want.items():
         assert got[k].n == n and got[k].total == (pytest.approx(sum(d)) if d else None) and got[k].least == (min(d) if d else None)
+
+
+def test_community_search_meets_vectors_once(spark, monkeypatch):
+    """Neighbours once and compactness once for all trials, with the values of one trial at a time."""
+    from vantor.plans import search as H
+
+    x, y = blobs(n=40)
+    d = vectors(spark, x, y).withColumnRenamed("embedding", "vec").drop("label")
+    calls, real = [], N.met
+    monkeypatch.setattr(N, "met", lambda a, b: calls.append(1) or real(a, b))
+    got = {r.trial_number: r for r in H.search_communities(d, (6, 9), (0.05, 0.5), bounds=(2, 40), min_size=5).collect()}
+    assert len(got) == 4 and len(calls) == 2
+    for i, (k, resolution) in enumerate([(6, 0.05), (6, 0.5), (9, 0.05), (9, 0.5)]):
+        labels = C.graph_communities(N.adjacency(d, k, vec_col="vec"), [{"resolution": resolution, "seed": 42 + i}]).select(F.col("id").alias("vec_id"), "label")
+        want = M.silhouette_samples(d.join(labels, "vec_id"), vec_col="vec").agg(F.avg("silhouette")).first()[0]
+        assert (got[i].n_neighbors, got[i].resolution) == (k, resolution) and got[i].silhouette == pytest.approx(want, abs=1e-9)

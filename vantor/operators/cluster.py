@@ -454,7 +454,11 @@ def communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, re
 
 def graph_communities(edges: DataFrame, configs: list[dict]) -> DataFrame:
     """(config, id, label) for each of configs {resolution, kind, rounds, seed} over one edge table; each runs in a task of its own."""
-    rows = edges.crossJoin(F.broadcast(edges.sparkSession.range(len(configs)).select(F.col("id").cast("int").alias("config"))))
+    return communities_of(edges.crossJoin(F.broadcast(edges.sparkSession.range(len(configs)).select(F.col("id").cast("int").alias("config")))), configs)
+
+
+def communities_of(rows: DataFrame, configs: list[dict]) -> DataFrame:
+    """The same of edges that name their configuration (config), so that different graphs run side by side too."""
 
     def fit(key, table):
         number = key[0].as_py()

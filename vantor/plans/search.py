@@ -152,20 +152,30 @@ def search_mixtures(df: DataFrame, ks, covariances=C.COVARIANCES, regs=(1e-6,),
 def search_communities(df: DataFrame, neighbors=(15, 20), resolutions=(0.6, 1.0), kind: str = "RBConfiguration", bounds=(4, 10), min_size: int = 10, n_trials: int = 50, vec_col: str = "vec") -> DataFrame:
     """Trials over neighbours and resolution with their measures, ranked by normalised votes."""
     space = trials_of(combos(n_neighbors=list(neighbors), resolution=list(resolutions)), n_trials)
-    rows = None
-    for k in sorted({c["n_neighbors"] for c in space}):
-        own = [(i, c) for i, c in enumerate(space) if c["n_neighbors"] == k]
-        edges = cut(N.adjacency(df, k, vec_col=vec_col))
-        labels = cut(C.graph_communities(edges, [{"resolution": c["resolution"], "kind": kind, "seed": 42 + i} for i, c in own]))
-        for at, (i, c) in enumerate(own):
-            part = labels.where(F.col("config") == at).select("id", "label")
-            both = df.join(part, F.col("vec_id") == F.col("id"))
-            s = M.silhouette_samples(both, vec_col=vec_col).agg(F.avg("silhouette").alias("silhouette"))
-            sizes = part.groupBy("label").count().agg(F.count("*").cast("int").alias("n_clusters"), F.min("count").alias("min_size"))
-            q = M.graph_quality(edges, part, c["resolution"]).select(F.col("rb" if kind == "RBConfiguration" else "cpm" if kind == "CPM" else "modularity").alias("quality"))
-            r = s.crossJoin(M.davies_bouldin(both, vec_col)).crossJoin(M.calinski_harabasz(both, vec_col)).crossJoin(sizes).crossJoin(q)
-            r = cut(r.withColumns({"trial_number": F.lit(i), "n_neighbors": F.lit(k), "resolution": F.lit(c["resolution"])}))
-            rows = r if rows is None else rows.unionByName(r)
+    rows, missing = None, -(2**31)
+    df = cut(df)
+    # Neighbours are found once, for the largest graph; the others are parts of it.
+    near = cut(N.knn(df, max(c["n_neighbors"] for c in space), vec_col=vec_col))
+    edges = {k: cut(N.edges_of(near.where(F.col("rank") <= k))) for k in sorted({c["n_neighbors"] for c in space})}
+    named = None
+    for i, c in enumerate(space):
+        own = edges[c["n_neighbors"]].withColumn("config", F.lit(i))
+        named = own if named is None else named.unionByName(own)
+    labels = cut(C.communities_of(named, [{"resolution": c["resolution"], "kind": kind, "seed": 42 + i} for i, c in enumerate(space)]))
+    wide, names = df, [f"_l{i}" for i in range(len(space))]
+    for i, name in enumerate(names):
+        wide = wide.join(labels.where(F.col("config") == i).select(F.col("id").alias("vec_id"), F.col("label").alias(name)), "vec_id", "left")
+    wide = wide.withColumns({x: F.coalesce(x, F.lit(missing)) for x in names})
+    compact = cut(M.silhouettes(wide, names, missing, vec_col=vec_col).groupBy("which").agg(F.avg("silhouette").alias("silhouette")))
+    for i, c in enumerate(space):
+        part = labels.where(F.col("config") == i).select("id", "label")
+        both = df.join(part, F.col("vec_id") == F.col("id"))
+        s = compact.where(F.col("which") == i).agg(F.max("silhouette").alias("silhouette"))
+        sizes = part.groupBy("label").count().agg(F.count("*").cast("int").alias("n_clusters"), F.min("count").alias("min_size"))
+        q = M.graph_quality(edges[c["n_neighbors"]], part, c["resolution"]).select(F.col("rb" if kind == "RBConfiguration" else "cpm" if kind == "CPM" else "modularity").alias("quality"))
+        r = s.crossJoin(M.davies_bouldin(both, vec_col)).crossJoin(M.calinski_harabasz(both, vec_col)).crossJoin(sizes).crossJoin(q)
+        r = cut(r.withColumns({"trial_number": F.lit(i), "n_neighbors": F.lit(c["n_neighbors"]), "resolution": F.lit(c["resolution"])}))
+        rows = r if rows is None else rows.unionByName(r)
     valid = F.col("n_clusters").between(*bounds) & (F.col("min_size") >= min_size) & S.finite("silhouette")
     return S.select_graph_trial(rows.withColumn("valid_solution", F.coalesce(valid, F.lit(False))))
 
