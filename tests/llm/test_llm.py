@@ -658,6 +658,36 @@ def test_gibbs_reaches_the_seatings_distribution():
     assert np.bincount(count, minlength=5)[1:] / n == pytest.approx(want, abs=0.012)
 
 
+@pytest.mark.parametrize("discount", [0.05, 0.5, 0.76, 0.95])
+def test_stirling_numbers_beyond_the_table(discount):
+    """Integrals and short sums against the recursion, for every number of tables; and the recursion itself far beyond any table."""
+    for c in (700, 1500):
+        got = seating.log_stirling(np.full(c, c), np.arange(1, c + 1), discount)
+        assert got == pytest.approx(seating.stirling_table(discount, c)[c - 1], abs=1e-7)
+    c, t = np.full(30, 10.0**6), np.geomspace(2, 3e5, 30).astype(int)
+    want = np.logaddexp(seating.log_stirling(c, t - 1, discount), np.log(c - discount * t) + seating.log_stirling(c, t, discount))
+    assert seating.log_stirling(c + 1, t, discount) == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize(("customers", "strength", "base", "discount"), [(2, 0.5, 0.3, 0.7), (40, 3.0, 0.4, 0.7), (1500, 300.0, 0.2, 0.5), (1500, 5.0, 0.01, 0.8)])
+def test_one_draw_seats_all_customers_of_a_dish(customers, strength, base, discount):
+    """From one draw, tables follow their exact chances, of which a few customers' moves are far."""
+    n = 2000 if customers < 1000 else 600
+    seed = np.arange(1, n + 1, dtype=np.uint64)
+    t = np.arange(1, customers + 1)
+    p = seating.stirling_table(discount, customers)[-1] + np.cumsum(np.log((strength + discount * (t - 1)) * base))
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    mean = (p * t).sum()
+    error = 4 * math.sqrt(max((p * t * t).sum() - mean * mean, 1e-4) / n)
+    got = seating.drawn(np.full(n, customers), np.full(n, strength), np.full(n, base), discount, seating.uniform(seating.mix64(seed), 1))
+    assert got.min() >= 1 and got.max() <= customers and abs(got.mean() - mean) < error
+    if customers == 40:
+        n = 200
+        one, full, seed = np.ones(n, np.int64), np.full(n, customers), seed[:n]
+        few, many = (seating.gibbs(one, full, one, np.full(n, base), strength, discount, seed, steps)[0].mean() for steps in (4, 1200))
+        assert few < mean - 10 * error and abs(many - mean) < 4 * error
+
+
 def test_seatings_keep_their_customers():
     rng = np.random.default_rng(2)
     c, seed = rng.integers(0, 500, 300), np.arange(1, 301, dtype=np.uint64)

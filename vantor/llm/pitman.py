@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import discard, lower_ascii, mix64, stored
 from .exchange import NO_ID, cuts, gathered, numbers, pack, planes, unpack
-from .seating import changed, gibbs, seated
+from .seating import drawn, uniform
 
 #: Bytes of text in a chunk, and on average in a hash range of words.
 CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 12 << 20
 #: A word's dishes are split by their contexts into one part more for each so many training tokens of it.
 HOT = 1 << 19
-#: Sweeps whose predictive probabilities are averaged; in each, every dish has so many customers removed and seated again.
+#: Sweeps whose predictive probabilities are averaged; each seats every customer of every dish again.
 SAMPLES = 2
-STEPS = 4
 #: Contexts share parents by the last byte of their word: the end, a letter, digit, other sign, byte beyond ASCII.
 CLASSES = 30
 _U64 = np.uint64
@@ -227,33 +226,40 @@ class _Parents:
         self.w, self.kind = np.divmod(key, CLASSES)
         self.mine, self.place = mine, place[: len(mine)]
         self.up = np.bincount(place[len(mine) :], np.concatenate([u[2] for u in ups]) if ups else None, len(key)).astype(np.int64)
-        seats = [numbers(a) for a in state] if state else [np.zeros(n, np.int64) for n in (len(key), 0, len(self.word), 0)]
-        self.count, self.size, self.root_count, self.root_size = seats
-
-    def customers(self) -> np.ndarray:
-        return np.bincount(np.repeat(np.arange(len(self.w)), self.count), self.size, len(self.w)).astype(np.int64)
+        if state:
+            self.customers, self.count, self.root_customers, self.root_count = map(numbers, state)
+        else:
+            # At first every dish has one table, as in the first totals.
+            self.customers = self.wanted(one.by_class(np.minimum(one.count, 1)))
+            self.count = np.minimum(self.customers, 1)
+            self.root_customers = self.below_root()
+            self.root_count = np.minimum(self.root_customers, 1)
+
+    def wanted(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of each class's dishes: the tables below, those of the range and those that guests told."""
+        out = self.up.copy()
+        np.add.at(out, self.place, tables[self.mine])
+        return out
 
-    def root_customers(self) -> np.ndarray:
-        return np.bincount(np.repeat(np.arange(len(self.word)), self.root_count), self.root_size, len(self.word)).astype(np.int64)
+    def below_root(self) -> np.ndarray:
+        return np.bincount(self.w, self.count, len(self.word)).astype(np.int64)
 
     def values(self, g: dict) -> np.ndarray:
-        return class_value(self.customers(), self.count, self.kind, root_value(self.root_customers(), self.root_count, g)[self.w], g)
+        return class_value(self.customers, self.count, self.kind, root_value(self.root_customers, self.root_count, g)[self.w], g)
 
     def sweep(self, tables: np.ndarray, g: dict, sample: int) -> None:
-        """Tables below come and go as customers of the classes, whose tables are customers of the root; then dishes are swept."""
-        below = root_value(self.root_customers(), self.root_count, g)[self.w]
-        want = self.up.copy()
-        np.add.at(want, self.place, tables[self.mine])
-        seed = mix64(self.word[self.w] + self.kind.astype(_U64)) + _U64(sample)
-        self.count, self.size = _swept(self.count, self.size, want, g["t2"][self.kind], below, g["a"][1][self.kind], g["d"][1], seed)
-        want = np.bincount(self.w, self.count, len(self.word)).astype(np.int64)
-        seed, flat = mix64(self.word) + _U64(sample), np.ones(len(self.word))
-        self.root_count, self.root_size = _swept(self.root_count, self.root_size, want, g["t1"] * flat, flat / (g["V"] + 1), g["a"][0] * flat, g["d"][0], seed)
+        """Tables below are customers of the classes, whose tables are customers of the root; each dish is seated anew."""
+        below = root_value(self.root_customers, self.root_count, g)[self.w]
+        chance = uniform(mix64(self.word[self.w] + self.kind.astype(_U64)), sample)
+        self.customers = self.wanted(tables)
+        self.count = drawn(self.customers, others(g["a"][1][self.kind], g["d"][1], g["t2"][self.kind], self.count), below, g["d"][1], chance)
+        self.root_customers, base = self.below_root(), np.full(len(self.word), 1 / (g["V"] + 1))
+        self.root_count = drawn(self.root_customers, others(g["a"][0], g["d"][0], g["t1"], self.root_count), base, g["d"][0], uniform(mix64(self.word), sample))
 
     def told(self, words: np.ndarray, bucket: int, ranges: int, hot: int):
         """Hot words' seats in the root and by class, for the ranges of their other parts."""
         out: dict[int, list] = {}
-        c, root_c = self.customers(), self.root_customers()
+        c, root_c = self.customers, self.root_customers
         parts = parts_of(words, hot)[(self.word & _U64(0xFFFFFFFF)).astype(np.int64)] if len(self.word) else np.zeros(0, np.int64)
         for w in np.flatnonzero(parts > 1):
             row, at = np.zeros((2, 1 + CLASSES)), np.flatnonzero(self.w == w)
@@ -264,19 +270,9 @@ class _Parents:
         return [(b, -1, bucket, "down", pack(planes(np.array([x for x, _ in r], _U64)), np.concatenate([y for _, y in r]))) for b, r in sorted(out.items())]
 
 
-def _swept(count, size, want, total, base, strength, discount: float, seed):
-    """A parent's dishes with `want` customers each, after a Gibbs sweep of those that have a choice."""
-    customers = np.bincount(np.repeat(np.arange(len(count)), count), size, len(count)).astype(np.int64)
-    count, size = changed(count, size, want - customers, (strength + discount * total) * base, discount, seed)
-    on = want > 1
-    some_count, some_size = gibbs(count[on], size[np.repeat(on, count)], total[on], base[on], strength[on], discount, seed[on], STEPS)
-    left = size[np.repeat(~on, count)]
-    count = count.copy()
-    count[on] = some_count
-    own, out = np.repeat(on, count), np.empty(int(count.sum()), np.int64)
-    out[own], out[~own] = some_size, left
-    return count, out
-
+def others(strength, discount: float, total, own) -> np.ndarray:
+    """A restaurant's strength and the discounts of its tables that are not the dish's own."""
+    return strength + discount * np.maximum(total - own, 0)
 
 
 def root_value(c, t, g):
@@ -295,9 +291,10 @@ def language_scores(
 
     Tokens are lower-cased words and an end. Each previous word is a restaurant whose customers are the words that followed it in
     training texts; its parent is the restaurant of the word's ending, the parent of those is the root, and the root's base is
-    uniform over the known words and one unknown. After a first seating each sweep removes and reseats STEPS random customers of every
-    dish (Gibbs), given the parents and totals of the sweep before; tables are customers of the parent. Predictive probabilities of
-    the sweeps are averaged; discounts follow the counts of counts, strengths the expectation of their Gamma posterior.
+    uniform over the known words and one unknown. From one table a dish, each sweep seats all customers of every dish again (blocked
+    Gibbs: the number of tables is drawn from its exact conditional), given the parents and totals of the sweep before; tables
+    are customers of the parent. Predictive probabilities of the sweeps are averaged; discounts follow the counts of counts,
+    strengths the expectation of their Gamma posterior.
 
     A dish lives in the range of its word, as do its parents, so only totals of contexts travel: each range tells them once per distinct
     context to that word's range, which answers. Dishes of a word of `hot` and more training tokens are split by context over ranges. Words
@@ -409,29 +406,26 @@ def language_scores(
             one = _Range(dishes[0][1] if dishes else None, bucket)
             customers, tables = one.told(rows)
             state = state[0][1] if state else None
-            parents = _Parents(one, rows, state[2:6] if state else None)
-            seed = mix64(mix64(one.word[one.w]) ^ one.asked[one.place]) + _U64(sample * 0xD1342543DE82EF95 & (2**64 - 1))
+            parents = _Parents(one, rows, state[1:5] if state else None)
             (d, a), total, t, on = (g["d"][2], g["a"][2]), tables[one.place], np.minimum(one.count, 1), one.dish
             if state is None:
                 c = one.by_class(t)
                 classes = np.bincount(one.parent_w, c > 0, len(one.word))
                 base = class_value(c, c > 0, one.parent_kind, root_value(classes, classes > 0, g)[one.parent_w], g)[one.parent]
                 sums = np.zeros(len(one.count))
-                n, size = seated(one.count[on], (a + d * total[on]) * base[on], seed[on])
             else:
-                n, size = numbers(state[0]), numbers(state[1])
-                t[on] = n
+                t[on] = numbers(state[0])
                 base = values(one, parents, rows, g)[one.parent]
-                sums = numbers(state[6], np.float32) + (np.maximum(one.count - d * t, 0.0) + (a + d * total) * base) / (a + customers[one.place])
+                sums = numbers(state[5], np.float32) + (np.maximum(one.count - d * t, 0.0) + (a + d * total) * base) / (a + customers[one.place])
             if sample > SAMPLES:
                 p = (sums / SAMPLES).astype(np.float32)
                 asked = [(r[1], np.cumsum(numbers(unpack(r[3])[0], np.uint32).astype(np.int64))) for r in rows if r[0] == "members"]
                 return [(-1, chunk, bucket, "answer", pack(planes(p[at]))) for chunk, at in asked]
-            n, size = gibbs(n, size, total[on], base[on], a, d, seed[on], STEPS)
-            t[on] = n
+            chance = uniform(mix64(mix64(one.word[one.w[on]]) ^ one.asked[one.place[on]]), sample)
+            t[on] = drawn(one.count[on], others(a, d, total[on], t[on]), base[on], d, chance)
             parents.sweep(one.by_class(t), g, sample)
-            seats = [n, size, parents.count, parents.size, parents.root_count, parents.root_size]
-            stat = [parents.root_customers().sum(), parents.root_count.sum(), *np.bincount(parents.kind, parents.customers(), CLASSES), *np.bincount(parents.kind, parents.count, CLASSES)]
+            seats = [t[on], parents.customers, parents.count, parents.root_customers, parents.root_count]
+            stat = [parents.root_customers.sum(), parents.root_count.sum(), *np.bincount(parents.kind, parents.customers, CLASSES), *np.bincount(parents.kind, parents.count, CLASSES)]
             out = [(bucket, -1, bucket, "state", pack(*map(planes, seats), planes(sums.astype(np.float32)))), (-1, -1, bucket, "stat", None, [float(x) for x in stat])]
             down = parents.told(numbers(counts[0][1][0]), bucket, ranges, hot) if counts else []
             return [*out, *one.asks(bucket, t), *one.ups(bucket, t), *down]
