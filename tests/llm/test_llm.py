@@ -318,6 +318,19 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mixing_rates_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(9)
+    data = [(i, "w " * rng.randint(1, 3000), f"s{i % 3}") for i in range(900)]
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 8, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r.doc_id, r.rate, r.taken) for r in mixing.mix(table(spark, data)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(g == got[0] for g in got)
+
+
 def test_rates_are_tilted_by_size(spark):
     """Within a source log(rate) is in proportion to the size until the cap, and the words meet the target: the solution of the dual, and no other is nearer."""
     rng = random.Random(3)

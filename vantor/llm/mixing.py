@@ -49,6 +49,11 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     return per.select("source", "source_size", "docs", F.when(over, F.col("room")).otherwise(F.col("w") * level).alias("target"))
 
 
+def _sum(value):
+    """A sum that does not depend on the order of rows, as one of doubles does in its last bits."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
+
+
 def rate_of(cap: float = CAP):
     """exp(lam * size / scale) and at most cap, of a row with its source's lam and scale; lam is null where everything is taken cap times."""
     return F.when(F.col("lam").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.lit(math.log(cap)), F.col("lam") * F.col("size") / F.col("scale")))))
@@ -75,7 +80,7 @@ def tilts(units: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: flo
         words = F.col("n") * F.col("size") * F.col("r")
         bent = F.when(F.col("r") < cap, words * F.col("size") / F.col("scale")).otherwise(F.lit(0.0))
         first = [F.first(c).alias(c) for c in ("target", "scale", "lam", "lo", "hi")]
-        step = rows.groupBy("source").agg(*first, F.sum(words).alias("mass"), F.sum(bent).alias("curve"))
+        step = rows.groupBy("source").agg(*first, _sum(words).alias("mass"), _sum(bent).alias("curve"))
         over = F.col("mass") > F.col("target")
         step = step.withColumns({"lo": F.when(over, F.col("lo")).otherwise(F.col("lam")), "hi": F.when(over, F.col("lam")).otherwise(F.col("hi"))})
         newton = F.col("lam") - (F.col("mass") - F.col("target")) / F.nullif(F.col("curve"), F.lit(0.0))
