@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -295,6 +296,49 @@ def test_windows_are_verified_by_their_words(spark, monkeypatch):
     assert rows_of(index.add(table(spark, data))) == brute_windows(data, 3)
 
 
+def test_windows_make_no_python_call_per_word():
+    """Python calls follow the contexts that are sent, not the words of a chunk."""
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"w%d" % w for w in rng.integers(0, 1 << 40, 2000)) for _ in range(10)]
+    data = windows.pack(np.arange(10), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        chunk = windows._Chunk(data, 13)
+        chunk.contexts(np.zeros(len(chunk.keys), bool), True, 8)
+    finally:
+        sys.setprofile(None)
+    assert len(chunk.symbols) == 20_000 and calls < 2000
+
+
+def test_words_and_windows_are_told_by_their_bytes():
+    rng = random.Random(5)
+    texts = [b"", b" \t\n", b"end", b"end end\x00 \x00end", "\u00e9\u3000x \x1cy".encode(), b"\x0b\x0c\r"]
+    texts += [b"".join(rng.choice((b"a", b"ab", b"q" * 9, b"x" * 64, b"x" * 65, b"x" * 64 + b"y", b"z" * 700, b"z" * 699 + b"y", b" ", b"\t")) + rng.choice((b" ", b"\n ", b"")) for _ in range(60)) for _ in range(12)]
+    data = windows.pack(np.arange(len(texts)), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+    chunk = windows._Chunk(data, 3)
+    words = [t.split() for t in texts]
+    flat = [w for doc in words for w in doc]
+    assert chunk.counts.tolist() == [len(w) for w in words]
+    assert [chunk.text[s:e].tobytes() for s, e in zip(chunk.starts, chunk.ends)] == flat
+    assert len(set(zip(chunk.symbols.tolist(), flat))) == len(set(flat)) == len(set(chunk.symbols.tolist()))
+    keep = np.array([rng.random() < 0.5 for _ in flat])
+    text, starts, ends = chunk.joined(keep)
+    assert text.tobytes() == b"".join(w + b" " for w, k in zip(flat, keep) if k)
+    text, starts, ends = chunk.joined(keep | True)
+    at = np.arange(len(flat) - 2)
+    keys = [tuple(flat[i : i + 3]) for i in at]
+    # With good values, and with values that say nothing, or too little.
+    for value in (windows.rolling(chunk.symbols, 3), np.zeros(len(at), np.uint64), (ends[at + 2] - starts[at]).astype(np.uint64)):
+        place = windows.places(text, starts[at], ends[at + 2], value)
+        assert len(set(place.tolist())) == len(set(keys)) == len(set(zip(place.tolist(), keys))) == place.max() + 1
+
+
 def test_windows_of_an_empty_table(spark):
     assert windows.remove_windows(table(spark, []), length=7).count() == 0
 

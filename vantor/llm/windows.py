@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +10,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, stored
-from .exchange import NO_ID, anchor_runs, bucket_of, chunked, cuts, numbers, pack, planes, unpack, with_replies
+from .common import discard, mix64, partitions, stored
+from .exchange import NO_ID, anchor_runs, bucket_of, chunked, cuts, numbers, pack, planes, rolling, unpack, with_replies
 from .seating import within
 
 #: Words of an anchor within a window.
 ANCHOR_WORDS = 6
 #: Keys of a run in one cell of its table.
 CELL_KEYS = 1 << 22
-
-
-class _Symbols(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word, 7)
-        return value
+#: Bytes of a word, and of a window, that are taken eight at a time for all words or windows at once; longer ones are finished one by one.
+WORD_BYTES, WINDOW_BYTES = 64, 512
+#: Bytes of contexts whose words are in memory at once when windows meet.
+PART_BYTES = 1 << 20
+
+#: The first k bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_bounds(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts that lie one after another, and the number of words of each text."""
+    blank = (text == 32) | (text - np.uint8(9) < 5)
+    borders = np.cumsum(lengths)
+    edge = np.zeros(len(text) + 1, bool)
+    edge[0] = True
+    edge[borders] = True
+    begin, end = edge[:-1].copy(), edge[1:].copy()
+    begin[1:] |= blank[:-1]
+    end[:-1] |= blank[1:]
+    begin &= ~blank
+    end &= ~blank
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.diff(np.searchsorted(starts, borders), prepend=0)
+
+
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; zeros follow the text."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_symbols(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit value of each word, which follows from its bytes alone. Values lead words together; only bytes tell that words are equal."""
+    eight = _eights(text)
+    value = mix64((eight[starts] & _MASKS[np.minimum(sizes, 8)]) ^ sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    done, at = 8, np.flatnonzero(sizes > 8)
+    while len(at) and done < WORD_BYTES:
+        value[at] = mix64(value[at] ^ (eight[starts[at] + done] & _MASKS[np.minimum(sizes[at] - done, 8)]))
+        done += 8
+        at = at[sizes[at] > done]
+    for i, s, n in zip(at.tolist(), starts[at].tolist(), sizes[at].tolist()):
+        value[i] = xxhash.xxh64_intdigest(text[s : s + n], 7)
+    return value
+
+
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the `sizes` bytes from a and those from b are equal."""
+    eight, same = _eights(text), np.ones(len(a), bool)
+    done, at = 0, np.flatnonzero(sizes > 0)
+    while len(at) and done < WINDOW_BYTES:
+        same[at] = ((eight[a[at] + done] ^ eight[b[at] + done]) & _MASKS[np.minimum(sizes[at] - done, 8)]) == 0
+        done += 8
+        at = at[same[at] & (sizes[at] > done)]
+    for i, x, y, n in zip(at.tolist(), a[at].tolist(), b[at].tolist(), sizes[at].tolist()):
+        same[i] = np.array_equal(text[x + done : x + n], text[y + done : y + n])
+    return same
+
+
+def places(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A number of each window (its bytes from starts to ends), the same for equal bytes and only for those; equal windows have equal values."""
+    order = np.argsort(value)
+    alike = value[order[1:]] == value[order[:-1]]
+    a, b = order[:-1][alike], order[1:][alike]
+    sizes = ends - starts
+    equal = sizes[a] == sizes[b]
+    if equal.all() and same_bytes(text, starts[a], starts[b], sizes[a]).all():
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(np.concatenate(([False], ~alike))) if len(order) else 0
+        return place
+    # Different windows share a value: their bytes are looked up.
+    memo, raw = _Places(), text.tobytes()
+    return np.fromiter((memo[raw[s:e]] for s, e in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+
+
+def spaced(text: bytes) -> bytes:
+    """A text's words, joined by one space."""
+    return b" ".join(text.split())
 
 
 class _Places(dict):
@@ -34,19 +104,30 @@ class _Places(dict):
 
 
 class _Chunk:
-    """Words and anchored windows of a chunk, the same each time they are computed."""
+    """Words and anchored windows of a chunk of spaced() texts, the same each time they are computed."""
 
     def __init__(self, data: bytes, length: int):
-        self.ids, sizes, text = unpack(data)
-        raw, ends = text.tobytes(), np.cumsum(sizes)
-        self.words = [raw[e - n : e].split() for n, e in zip(sizes.tolist(), ends.tolist())]
-        self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        memo = _Symbols()
-        self.symbols = np.fromiter((memo[w] for doc in self.words for w in doc), np.uint64, int(self.counts.sum()))
+        self.ids, lengths, self.text = unpack(data)
+        self.starts, self.ends, self.counts = word_bounds(self.text, lengths)
+        self.symbols = word_symbols(self.text, self.starts, self.ends - self.starts)
         self.length = length
         self.first, self.last, _, self.value = anchor_runs(self.symbols, self.counts, min(ANCHOR_WORDS, length), length)
         self.keys, self.inverse, self.times = np.unique(self.value, return_inverse=True, return_counts=True)
 
+    def joined(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words to keep, each with one space after it, and their starts and ends there."""
+        starts, ends = self.starts[keep], self.ends[keep]
+        mark = np.zeros(len(self.text) + 1, np.int8)
+        mark[starts] = 1
+        mark[ends] -= 1
+        own = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+        after = np.cumsum(ends - starts + 1)
+        word = np.ones(int(after[-1]) if len(after) else 0, bool)
+        word[after - 1] = False
+        out = np.full(len(word), 32, np.uint8)
+        out[word] = self.text[own]
+        return out, after - (ends - starts + 1), after - 1
+
     def contexts(self, flags: np.ndarray, local: bool, ranges: int) -> _Contexts:
         """Runs of windows that share an anchor which is seen elsewhere, or twice here if local."""
         met = flags | (self.times > 1) if local else flags
@@ -60,12 +141,9 @@ class _Contexts:
     def __init__(self, chunk: _Chunk, take: np.ndarray, ranges: int):
         self.first, self.count = chunk.first[take], chunk.last[take] - chunk.first[take] + 1
         self.docs = chunk.ids[np.searchsorted(np.cumsum(chunk.counts), self.first, "right")]
-        flat = b" ".join([w for doc in chunk.words for w in doc])
-        ends = np.cumsum(np.fromiter((len(w) for doc in chunk.words for w in doc), np.int64, len(chunk.symbols)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        memo = _Places()
-        cut = zip(starts[self.first].tolist(), ends[self.first + self.count + chunk.length - 2].tolist())
-        place = np.fromiter((memo[flat[a:b]] for a, b in cut), np.int64, len(take))
+        text, memo = chunk.text.tobytes(), _Places()
+        cut = zip(chunk.starts[self.first].tolist(), chunk.ends[self.first + self.count + chunk.length - 2].tolist())
+        place = np.fromiter((memo[text[a:b]] for a, b in cut), np.int64, len(take))
         head = np.unique(place, return_index=True)[1]
         owner = bucket_of(chunk.value[take][head], ranges)
         order = np.argsort(owner, kind="stable")
@@ -111,7 +189,7 @@ class WindowIndex:
         length = self.length
         number = self.batches
         ranges = self.buckets = getattr(self, "buckets", None) or partitions(docs.sparkSession)
-        new = chunked(docs, id_col, text_col, first=number << 55)
+        new = chunked(docs, id_col, text_col, first=number << 55, form=spaced)
 
         def send(batches):
             for batch in batches:
@@ -183,18 +261,23 @@ class WindowIndex:
 
         def verify(table: pa.Table) -> pa.Table:
             chunk = table.column("chunk").to_pylist()
-            memo, place, docs, ends = _Places(), [], [], []
-            for data in table.column("sent").to_pylist():
-                sizes, counts, least, words = unpack(data)
-                raw, at = words.tobytes(), 0
-                for size, n in zip(sizes.tolist(), counts.tolist()):
-                    own = raw[at : at + size].split(b" ")
-                    place += [memo[b" ".join(own[k : k + length])] for k in range(n)]
-                    at += size
+            text, found, docs, held, size = bytearray(), [], [], [], 0
+            for i, data in enumerate(table.column("sent")):
+                sizes, counts, least, words = unpack(data.as_buffer())
                 docs.append(np.repeat(numbers(least), counts))
-                ends.append(len(place))
-            place, docs = np.array(place, np.int64), np.concatenate(docs)
-            least = np.full(len(memo), NO_ID)
+                held.append((sizes.astype(np.int64), counts.astype(np.int64), words))
+                size += len(words)
+                if size >= PART_BYTES or i == len(chunk) - 1:
+                    sizes, counts, words = (np.concatenate(c) for c in zip(*held))
+                    first, last, own = word_bounds(words, sizes)
+                    at = np.repeat(np.cumsum(own) - own, counts) + within(counts)
+                    value = rolling(word_symbols(words, first, last - first), length)[at]
+                    found.append((first[at] + len(text), last[at + length - 1] + len(text), value))
+                    text += words.data
+                    held, size = [], 0
+            ends, docs = np.cumsum([len(d) for d in docs]), np.concatenate(docs)
+            place = places(np.frombuffer(text, np.uint8), *(np.concatenate(c) for c in zip(*found)))
+            least = np.full(int(place.max()) + 1, NO_ID)
             np.minimum.at(least, place, docs)
             parts = np.split(least[place] < docs, ends[:-1])
             told = [(c, pack(f.view(np.uint8))) for c, f in zip(chunk, parts) if c >> 55 == number]
@@ -215,12 +298,14 @@ class WindowIndex:
                     np.add.at(mark, covered, 1)
                     np.add.at(mark, covered + length, -1)
                     keep = np.cumsum(mark)[:-1] == 0
-                    out, at = [], 0
-                    for doc, words in zip(own.ids.tolist(), own.words):
-                        k = keep[at : at + len(words)]
-                        at += len(words)
-                        left = words if k.all() else list(compress(words, k.tolist()))
-                        out.append((None if doc == NO_ID else doc, len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+                    flat, starts, ends = own.joined(keep)
+                    flat, last = flat.tobytes(), np.cumsum(own.counts)
+                    kept = np.concatenate(([0], np.cumsum(keep)))
+                    kept = np.stack([kept[last - own.counts], kept[last]], axis=1)
+                    out = []
+                    for doc, n, (a, b) in zip(own.ids.tolist(), own.counts.tolist(), kept.tolist()):
+                        left = flat[starts[a] : ends[b - 1]] if b > a else b""
+                        out.append((None if doc == NO_ID else doc, n, n - (b - a), hashlib.sha256(left).hexdigest()))
                     kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
