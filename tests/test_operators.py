@@ -385,3 +385,43 @@ def test_community_search_meets_vectors_once(spark, monkeypatch):
         labels = C.graph_communities(N.adjacency(d, k, vec_col="vec"), [{"resolution": resolution, "seed": 42 + i}]).select(F.col("id").alias("vec_id"), "label")
         want = M.silhouette_samples(d.join(labels, "vec_id"), vec_col="vec").agg(F.avg("silhouette")).first()[0]
         assert (got[i].n_neighbors, got[i].resolution) == (k, resolution) and got[i].silhouette == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_ranks_of_layouts_in_blocks(spark, monkeypatch, metric):
+    """Neighbours and ranks of two layouts, with copies and ties, over many blocks and steps, against sorted rows of distances."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "STEP", 8)
+    rng = np.random.default_rng(4)
+    n, k = 260, 4
+    spaces = [np.round(rng.normal(size=(n, d)), 1) for d in (3, 2, 1)]
+    spaces[0][40:60] = spaces[0][:20]
+    frames = [spark.createDataFrame([(i, x[i].tolist()) for i in rng.permutation(n).tolist()], "vec_id long, embedding array<double>") for x in spaces]
+    places = []
+    for x in spaces:
+        d = N.distances(x, x, metric)
+        np.fill_diagonal(d, np.inf)
+        order = np.lexsort((np.broadcast_to(np.arange(n), d.shape), d), axis=1)
+        places.append(np.argsort(order, axis=1) + 1)
+    want = set()
+    for w in (0, 1):
+        for space, (own, other) in enumerate([(places[0], places[1 + w]), (places[1 + w], places[0])]):
+            want |= {(w, space, i, j, int(own[i, j]), int(other[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(own <= k)))}
+    got = [tuple(r) for r in N.layouts_ranks(frames[0], frames[1:], k, metric=metric).select("which", "space", "i", "j", "rank", "other").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_manifold_search_meets_vectors_once(spark, monkeypatch):
+    """One pass for neighbours and two for what all layouts keep of them, with the values of one layout at a time."""
+    from vantor.plans import search as H
+
+    d = vectors(spark, blobs(n=30)[0])
+    calls, real = [], N.met
+    monkeypatch.setattr(N, "met", lambda a, b: calls.append(1) or real(a, b))
+    rows, layouts = H.search_manifold(d, H.combos(n_neighbors=[5, 8], min_dist=[0.0, 0.1], n_components=[2], seed=[1]), ks=(3, 6), epochs=10, vec_col="embedding")
+    got = {r.config_no: r for r in rows.collect()}
+    assert len(got) == 4 and len(calls) == 3
+    for i in (0, 3):
+        low = layouts.where(F.col("config") == i).select("vec_id", F.col("vec").alias("embedding"))
+        want = M.neighbor_preservation(d, low, (3, 6)).agg(*[F.avg(x).alias(x) for x in ("trustworthiness", "continuity", "qnn", "lcmc")]).first()
+        assert all(got[i][x] == pytest.approx(want[x], abs=1e-12) for x in want.asDict())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .durable import cut
-from .neighbors import label_distances, labellings_distances, neighbor_ranks
+from .neighbors import label_distances, labellings_distances, layouts_ranks, neighbor_ranks
 
 
 def check_k(ks, n: int) -> list[int]:
@@ -26,21 +26,32 @@ def neighbor_preservation(high: DataFrame, low: DataFrame, ks, id_col: str = "ve
     """
     n = high.count()
     ks = check_k(ks, n)
-    top, spark = ks[-1], high.sparkSession
-    pairs = neighbor_ranks(high, low, top, id_col, vec_col, metric)
+    return _preservation(neighbor_ranks(high, low, ks[-1], id_col, vec_col, metric), n, ks)
+
+
+def neighbor_preservations(high: DataFrame, lows: list[DataFrame], ks, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean", near: DataFrame | None = None) -> DataFrame:
+    """(which, k, ...): the same for several low spaces (which: their place) of the same vectors; near: the neighbours of the high one, if they are known."""
+    n = high.count()
+    ks = check_k(ks, n)
+    return _preservation(layouts_ranks(high, lows, ks[-1], id_col, vec_col, metric, near), n, ks, "which")
+
+
+def _preservation(pairs: DataFrame, n: int, ks: list[int], *by: str) -> DataFrame:
+    top, spark = ks[-1], pairs.sparkSession
     # Rows of the table are summed once per own rank and other rank; what follows has at most top * top + top rows and no vector.
     over = [F.sum(F.greatest(F.col("other") - k, F.lit(0))).alias(f"over{k}") for k in ks]
-    cells = cut(pairs.groupBy("space", "rank", F.least(F.col("other"), F.lit(top + 1)).alias("at")).agg(F.count("*").alias("n"), *over))
+    cells = cut(pairs.groupBy(*by, "space", "rank", F.least(F.col("other"), F.lit(top + 1)).alias("at")).agg(F.count("*").alias("n"), *over))
     sizes = spark.createDataFrame([(k,) for k in range(1, top + 1)], "k int")
     near = cells.join(F.broadcast(sizes), F.col("rank") <= F.col("k"))
     hits = F.sum(F.when((F.col("space") == 0) & (F.col("at") <= F.col("k")), F.col("n")).otherwise(0)) / (F.lit(n) * F.col("k"))
     lost = lambda space: sum((F.coalesce(F.sum(F.when((F.col("space") == space) & (F.col("k") == k), F.col(f"over{k}"))), F.lit(0)) for k in ks), F.lit(0))
     k = F.col("k").cast("long")  # n * n * k is beyond an int from some 10,000 rows on
     worst = F.lit(n) * k * (2 * n - 3 * k - 1)
-    per = near.groupBy("k").agg(hits.alias("qnn"), (1 - 2.0 * lost(1) / F.nullif(worst, F.lit(0))).alias("trustworthiness"), (1 - 2.0 * lost(0) / F.nullif(worst, F.lit(0))).alias("continuity"))
+    per = near.groupBy(*by, "k").agg(hits.alias("qnn"), (1 - 2.0 * lost(1) / F.nullif(worst, F.lit(0))).alias("trustworthiness"), (1 - 2.0 * lost(0) / F.nullif(worst, F.lit(0))).alias("continuity"))
     per = per.withColumn("lcmc", F.col("qnn") - F.col("k") / F.lit(n - 1))
-    auc = per.agg(F.avg("lcmc").alias("auc_lcmc"))
-    return per.where(F.col("k").isin(ks)).crossJoin(F.broadcast(auc)).select("k", "trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")
+    auc = F.broadcast(per.groupBy(*by).agg(F.avg("lcmc").alias("auc_lcmc")))
+    per = per.where(F.col("k").isin(ks))
+    return (per.join(auc, list(by)) if by else per.crossJoin(auc)).select(*by, "k", "trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")
 
 
 def silhouette_samples(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", metric: str = "euclidean") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,17 +167,22 @@ def spectral_start(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int,
     degree = np.maximum(np.bincount(src, weight, n) + np.bincount(dst, weight, n), 1e-12)
     w, first = weight / np.sqrt(degree[src] * degree[dst]), np.sqrt(degree / degree.sum())
     v = rng.normal(size=(n, min(n - 1, dims + 4)))
+
+    def across(v):
+        out = np.empty((v.shape[1], n))
+        for c, own in enumerate(np.ascontiguousarray(v.T)):
+            out[c] = np.bincount(src, w * own[dst], n) + np.bincount(dst, w * own[src], n)
+        return np.ascontiguousarray(out.T)
+
     for k in range(rounds):
-        moved = v.copy()  # of the graph plus one, so that the largest eigenvalues lead
-        for c in range(v.shape[1]):
-            moved[:, c] += np.bincount(src, w * v[dst, c], n) + np.bincount(dst, w * v[src, c], n)
+        moved = v + across(v)  # of the graph plus one, so that the largest eigenvalues lead
         moved -= np.outer(first, first @ moved)
         new = np.linalg.qr(moved)[0]
         settled = k % 10 == 9 and np.linalg.svd(new[:, :dims].T @ v[:, :dims], compute_uv=False).min() > 1 - 1e-10
         v = new
         if settled:
             break
-    image = np.stack([np.bincount(src, w * v[dst, c], n) + np.bincount(dst, w * v[src, c], n) for c in range(v.shape[1])], 1)
+    image = across(v)
     value, turn = np.linalg.eigh(v.T @ image)
     return (v @ turn)[:, ::-1][:, :dims]
 
@@ -216,29 +222,49 @@ def _layout(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarra
 
 
 def manifold(
-    df: DataFrame, configs: list[dict], id_col: str = "vec_id", vec_col: str = "embedding", epochs: int = 200
+    df: DataFrame, configs: list[dict], id_col: str = "vec_id", vec_col: str = "embedding", epochs: int = 200, near: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """(config, id, vec) for each of configs {n_neighbors, min_dist, n_components, metric, seed, spread, init}.
 
-    Neighbours and memberships are shared by configurations of equal n_neighbors and metric; layouts run side by side, one task each.
+    Neighbours are found once per metric, for the largest n_neighbors (near: those of a metric, if they are known), and memberships are shared by configurations of
+    equal n_neighbors; layouts run side by side, one task each.
     """
-    out = None
+    return layouts_of(graphs(df, configs, id_col, vec_col, near), configs, id_col, epochs)
+
+
+def graphs(df: DataFrame, configs: list[dict], id_col: str = "vec_id", vec_col: str = "embedding", near: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(src, dst, weight, config): the fuzzy graph of each configuration."""
+    out, near = None, dict(near or {})
     shared: dict[tuple, DataFrame] = {}
     for number, c in enumerate(configs):
         key = (c.get("n_neighbors", 15), c.get("metric", "euclidean"))
+        if key[1] not in near:
+            most = max(d.get("n_neighbors", 15) for d in configs if d.get("metric", "euclidean") == key[1])
+            near[key[1]] = knn(df, most, id_col, vec_col, key[1]).persist()
         if key not in shared:
-            shared[key] = fuzzy_union(smooth_weights(knn(df, key[0], id_col, vec_col, key[1]))).persist()
+            shared[key] = fuzzy_union(smooth_weights(near[key[1]].where(F.col("rank") <= key[0]))).persist()
         edges = shared[key].withColumn("config", F.lit(number))
         out = edges if out is None else out.unionByName(edges)
+    return out
 
-    def fit(key, table):
-        number = key[0].as_py()
-        c = configs[number]
-        src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
-        order = np.lexsort((dst, src))
-        src, dst, weight = src[order], dst[order], table.column("weight").to_numpy()[order]
-        ids = np.unique(np.concatenate([src, dst]))
-        y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0), c.get("init", "spectral"))
-        return pa.table({"config": np.full(len(ids), number, np.int32), id_col: ids, "vec": pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * y.shape[1], y.ravel())})
-
-    return out.groupBy("config").applyInArrow(fit, f"config int, {id_col} long, vec array<double>")
+
+def layouts_of(rows: DataFrame, configs: list[dict], id_col: str = "vec_id", epochs: int = 200) -> DataFrame:
+    """(config, id, vec) of graphs that name their configuration; each is laid out in a task of its own, so none waits for another."""
+
+    def fit(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        for number in pc.unique(table.column("config")).to_pylist():
+            c, part = configs[number], table.filter(pc.equal(table.column("config"), number))
+            src, dst = part.column("src").to_numpy(), part.column("dst").to_numpy()
+            order = np.lexsort((dst, src))
+            src, dst, weight = src[order], dst[order], part.column("weight").to_numpy()[order]
+            ids = np.unique(np.concatenate([src, dst]))
+            y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0), c.get("init", "spectral"))
+            vec = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * y.shape[1], y.ravel())
+            yield from pa.table({"config": np.full(len(ids), number, np.int32), id_col: ids, "vec": vec}).to_batches()
+
+    alone = rows.select("config", "src", "dst", "weight").repartitionById(len(configs), F.col("config"))
+    return alone.mapInArrow(fit, f"config int, {id_col} long, vec array<double>")

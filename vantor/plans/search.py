@@ -117,17 +117,26 @@ def search_manifold(df: DataFrame, space: list[dict], ks=(5, 10), epochs: int =
     space = [c for c in space if 2 <= c["n_neighbors"] < n and 0 <= c["min_dist"] <= c.get("spread", 1.0) and 1 <= c["n_components"] < n]
     if not space:
         raise ValueError("no feasible configuration")
-    layouts = cut(P.manifold(df, space, vec_col=vec_col, epochs=epochs))
-    high = df.select("vec_id", F.col(vec_col).alias("embedding")).persist()
+    df = cut(df.select("vec_id", vec_col))
+    metric_of, most = [c.get("metric", "euclidean") for c in space], {}
+    for c, metric in zip(space, metric_of):
+        most[metric] = max(most.get(metric, max(ks)), c["n_neighbors"])
+    # Neighbours are found once per metric, for the layouts and for what they keep of them.
+    near = {metric: cut(N.knn(df, k, vec_col=vec_col, metric=metric)) for metric, k in (most | {"euclidean": most.get("euclidean", max(ks))}).items()}
+    layouts = cut(P.manifold(df, space, vec_col=vec_col, epochs=epochs, near=near))
+    high = df.select("vec_id", F.col(vec_col).alias("embedding"))
     rows = None
-    for i, c in enumerate(space):
-        low = layouts.where(F.col("config") == i).select("vec_id", F.col("vec").alias("embedding"))
-        m = M.neighbor_preservation(high, low, ks)
-        m = m.agg(*[F.avg(x).alias(x) for x in ("trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")]).withColumn("config_no", F.lit(i))
-        for k, v in c.items():
-            m = m.withColumn(f"umap_{k}", F.lit(v))
-        m = cut(m)
-        rows = m if rows is None else rows.unionByName(m)
+    # Layouts of one metric hold the same vectors, and meet in the same passes.
+    for metric in most:
+        own = [i for i, m in enumerate(metric_of) if m == metric]
+        lows = [layouts.where(F.col("config") == i).select("vec_id", F.col("vec").alias("embedding")) for i in own]
+        kept = M.neighbor_preservations(high, lows, ks, near=near["euclidean"])
+        kept = cut(kept.groupBy("which").agg(*[F.avg(x).alias(x) for x in ("trustworthiness", "continuity", "qnn", "lcmc", "auc_lcmc")]))
+        for w, i in enumerate(own):
+            m = kept.where(F.col("which") == w).drop("which").withColumn("config_no", F.lit(i))
+            for k, v in space[i].items():
+                m = m.withColumn(f"umap_{k}", F.lit(v))
+            rows = m if rows is None else rows.unionByName(m)
     rows = rows.withColumn("valid_solution", F.col("trustworthiness").isNotNull())
     return S.vote(rows, weights), layouts
 
