@@ -425,3 +425,41 @@ def test_manifold_search_meets_vectors_once(spark, monkeypatch):
         low = layouts.where(F.col("config") == i).select("vec_id", F.col("vec").alias("embedding"))
         want = M.neighbor_preservation(d, low, (3, 6)).agg(*[F.avg(x).alias(x) for x in ("trustworthiness", "continuity", "qnn", "lcmc")]).first()
         assert all(got[i][x] == pytest.approx(want[x], abs=1e-12) for x in want.asDict())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_silhouettes_of_many_labels(spark, monkeypatch, metric):
+    """Many labels, single ones too, over many blocks, against all pairs; a row per vector and labelling leaves the blocks, not one per label."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "STEP", 8)
+    rng = np.random.default_rng(6)
+    n = 240
+    x = np.round(rng.normal(size=(n, 2)), 1)
+    labels = [rng.integers(0, 90, n), np.where(rng.random(n) < 0.3, -9, rng.integers(0, 3, n)), np.zeros(n, int)]
+    df = spark.createDataFrame([(i, x[i].tolist(), *[int(l[i]) for l in labels]) for i in rng.permutation(n).tolist()], "vec_id long, embedding array<double>, l0 long, l1 long, l2 long")
+    d = np.abs(x[:, None] - x[None]).sum(2) if metric == "manhattan" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {}
+    for k, l in enumerate(labels):
+        for i in np.flatnonzero(l != -9):
+            means = {c: d[i, l == c].sum() / max(1, (l == c).sum() - (c == l[i])) for c in set(l.tolist()) - {-9}}
+            a, b = means.pop(l[i]), min(means.values(), default=None)
+            want[k, int(i)] = 0.0 if b is None or (l == l[i]).sum() < 2 else (b - a) / max(a, b)
+    assert N.label_means(df, ["l0", "l1", "l2"], metric=metric, missing=-9).count() == len(want)
+    got = {(r.which, r.i): r.silhouette for r in M.silhouettes(df, ["l0", "l1", "l2"], -9, metric=metric).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+
+
+def test_pipelines_side_by_side(spark, monkeypatch):
+    """All layouts in one job, and two passes over pairs of blocks for each pipeline, with the rows of one pipeline at a time."""
+    from vantor.plans import search as H
+
+    d = vectors(spark, blobs(n=30)[0])
+    calls, real, jobs, layouts = [], N.met, [], P.layouts_of
+    monkeypatch.setattr(N, "met", lambda a, b: calls.append(1) or real(a, b))
+    monkeypatch.setattr(P, "layouts_of", lambda *a, **k: jobs.append(1) or layouts(*a, **k))
+    got = H.evaluate_pipelines(d, [("a", 0.95), ("b", 0.5)], n_components=2, epochs=20, min_cluster_size=5, min_samples=3).collect()
+    assert len(calls) == 4 and len(jobs) == 1
+    for r, variance in zip(got, (0.95, 0.5)):
+        w = H.evaluate_pipeline(d, r.name, variance, n_components=2, epochs=20, min_cluster_size=5, min_samples=3).first()
+        assert (r.n_clusters, r.noise_ratio) == (w.n_clusters, w.noise_ratio) and r.silhouette == (None if w.silhouette is None else pytest.approx(w.silhouette, abs=1e-9))
+    assert [r.name for r in got] == ["a", "b"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .durable import cut
-from .neighbors import label_distances, labellings_distances, layouts_ranks, neighbor_ranks
+from .neighbors import label_means, layouts_ranks, neighbor_ranks
 
 
 def check_k(ks, n: int) -> list[int]:
@@ -56,22 +56,17 @@ def _preservation(pairs: DataFrame, n: int, ks: list[int], *by: str) -> DataFram
 
 def silhouette_samples(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", metric: str = "euclidean") -> DataFrame:
     """(i, label, a, b, silhouette): mean distance to the own cluster and to the nearest other; a singleton has 0."""
-    return _silhouette(label_distances(df, id_col, vec_col, label_col, metric), "i")
+    return _silhouette(label_means(df, [label_col], id_col, vec_col, metric)).drop("which")
 
 
 def silhouettes(df: DataFrame, label_cols: list[str], missing: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "euclidean") -> DataFrame:
     """(which, i, label, a, b, silhouette): the same for several labellings, whose vectors meet once; those labelled `missing` are left out."""
-    return _silhouette(labellings_distances(df, label_cols, id_col, vec_col, metric, missing), "which", "i")
+    return _silhouette(label_means(df, label_cols, id_col, vec_col, metric, missing))
 
 
-def _silhouette(sums: DataFrame, *keys: str) -> DataFrame:
-    own = F.col("label_i") == F.col("label_j")
-    s = sums.groupBy(*keys, F.col("label_i").alias("label")).agg(
-        F.max(F.when(own, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-    )
+def _silhouette(means: DataFrame) -> DataFrame:
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
+    return means.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
 
 
 def per_cluster_silhouette(samples: DataFrame) -> DataFrame:

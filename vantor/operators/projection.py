@@ -22,13 +22,20 @@ def standardized(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return df.crossJoin(F.broadcast(one)).select(F.col(id_col).alias(id_col), scaled.alias("vec"))  # one row of a mean and deviation per feature
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of vectors as a matrix, without Python numbers in between."""
+    if column.null_count or not len(column):
+        return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def moments(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """(n, total, products): one row of sums per partition, from which covariances add up."""
 
     def run(batches):
         n, s, p = 0, None, None
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64)
+            x = _rows(batch.column(0))
             if not len(x):
                 continue
             s = x.sum(0) if s is None else s + x.sum(0)
@@ -83,9 +90,9 @@ def project(df: DataFrame, model: dict, id_col: str = "vec_id", vec_col: str = "
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
+            x = _rows(batch.column(1))
             y = (x - model["mean"]) @ model["loadings"].T if len(x) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.tolist(), pa.list_(pa.float64()))], [id_col, "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * y.shape[1], np.ascontiguousarray(y).ravel())], [id_col, "vec"])
 
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, f"{id_col} long, vec array<double>")
 

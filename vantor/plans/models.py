@@ -100,9 +100,7 @@ def seed_stability(spark, sf):
 
 @query("x15_pipeline_comparison")
 def pipeline_comparison(spark, sf):
-    a = H.evaluate_pipeline(emb(spark, sf), "pca95", epochs=30, n_components=2)
-    b = H.evaluate_pipeline(emb(spark, sf), "pca50", 0.5, epochs=30, n_components=2)
-    return a.unionByName(b)
+    return H.evaluate_pipelines(emb(spark, sf), [("pca95", 0.95), ("pca50", 0.5)], epochs=30, n_components=2)
 
 
 @query("sk7_plot_points")

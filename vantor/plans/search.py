@@ -218,13 +218,27 @@ def evaluate_density_config(df: DataFrame, config: dict, seeds: list[int], min_c
 
 def evaluate_pipeline(df: DataFrame, name: str, variance: float = 0.95, n_neighbors: int = 15, min_dist: float = 0.1, n_components: int = 5, min_cluster_size: int = 10, min_samples: int = 5, seed: int = 42, epochs: int = 100) -> DataFrame:
     """One comparison row: standardise, reduce, lay out, cluster by density, and measure what isn't noise."""
-    reduced = embedded(df, variance)
-    layout = P.manifold(reduced, [{"n_neighbors": n_neighbors, "min_dist": min_dist, "n_components": n_components, "seed": seed}], vec_col="vec", epochs=epochs).drop("config").persist()
-    labels = C.density_clusters(layout, min_cluster_size, min_samples, count_self=True).persist()
-    both = layout.join(labels, "vec_id")
-    c = S.clusters_and_noise(labels)
-    s = M.silhouette_samples(both.where("label <> -1"), vec_col="vec").agg(F.avg("silhouette").alias("silhouette"))
-    return c.crossJoin(s).select(F.lit(name).alias("name"), "n_clusters", "noise_ratio", F.when(F.col("n_clusters") >= 2, F.col("silhouette")).alias("silhouette"))
+    return evaluate_pipelines(df, [(name, variance)], n_neighbors, min_dist, n_components, min_cluster_size, min_samples, seed, epochs)
+
+
+def evaluate_pipelines(df: DataFrame, named: list[tuple[str, float]], n_neighbors: int = 15, min_dist: float = 0.1, n_components: int = 5, min_cluster_size: int = 10, min_samples: int = 5, seed: int = 42, epochs: int = 100) -> DataFrame:
+    """The same for several (name, variance), a row each; their layouts and clusterings run side by side."""
+    scaled = cut(P.standardized(df))
+    config = {"n_neighbors": n_neighbors, "min_dist": min_dist, "n_components": n_components, "seed": seed}
+    edges = None
+    for i, (_, variance) in enumerate(named):
+        reduced = cut(P.project(scaled, P.principal_components(scaled, variance, "vec"), vec_col="vec"))
+        own = P.graphs(reduced, [config], vec_col="vec").withColumn("config", F.lit(i))
+        edges = own if edges is None else edges.unionByName(own)
+    layouts = cut(P.layouts_of(edges, [config] * len(named), epochs=epochs))
+    labels = cut(C.density_clusters(layouts, min_cluster_size, min_samples, count_self=True, by="config"))
+    clear, sizes, out = cut(layouts.join(labels.where("label <> -1"), ["config", "vec_id"])), S.clusters_and_noise(labels, ("config",)), None
+    for i, (name, _) in enumerate(named):
+        c = sizes.where(F.col("config") == i)
+        s = M.silhouette_samples(clear.where(F.col("config") == i), vec_col="vec").agg(F.avg("silhouette").alias("silhouette"))
+        row = c.crossJoin(s).select(F.lit(name).alias("name"), "n_clusters", "noise_ratio", F.when(F.col("n_clusters") >= 2, F.col("silhouette")).alias("silhouette"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def coordinates(df: DataFrame) -> DataFrame:
