@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,15 +258,21 @@ def layouts_of(rows: DataFrame, configs: list[dict], id_col: str = "vec_id", epo
     """(config, id, vec) of graphs that name their configuration; each is laid out in a task of its own, so none waits for another."""
 
     def fit(batches):
-        batches = list(batches)
-        if not batches:
+        held = list(batches)
+        if not held:
             return
-        table = pa.Table.from_batches(batches)
-        for number in pc.unique(table.column("config")).to_pylist():
-            c, part = configs[number], table.filter(pc.equal(table.column("config"), number))
-            src, dst = part.column("src").to_numpy(), part.column("dst").to_numpy()
-            order = np.lexsort((dst, src))
-            src, dst, weight = src[order], dst[order], part.column("weight").to_numpy()[order]
+        table = pa.Table.from_batches(held)
+        number, src, dst, weight = (table.column(c).to_numpy() for c in ("config", "src", "dst", "weight"))
+        del held, table  # a layout needs the memory
+        order = np.lexsort((dst, src, number))
+        number, src, dst, weight = number[order], src[order], dst[order], weight[order]
+        del order
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        parts = list(zip(number[starts].tolist(), *(np.split(x, starts[1:]) for x in (src, dst, weight))))
+        del number, src, dst, weight
+        while parts:
+            number, src, dst, weight = parts.pop(0)
+            c = configs[number]
             ids = np.unique(np.concatenate([src, dst]))
             y = _layout(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), weight, c.get("n_components", 2), c.get("min_dist", 0.1), c.get("seed", 42), epochs, c.get("spread", 1.0), c.get("init", "spectral"))
             vec = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * y.shape[1], y.ravel())
